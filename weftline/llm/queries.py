@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe_codec, decontaminate, license_scan, near_dedup, quality_rules, suffix_dedup, token_counts
+from weftline.llm import bpe_codec, decontaminate, license_scan, lm_score, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 from weftline.llm.common import table
 
 #: The names of the vocabulary files; their folder is that of the package public_tokenizers.
@@ -30,10 +30,18 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -42,6 +50,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -52,9 +64,12 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_bpe_codec": op2_bpe_codec,
         "op3_near_dedup": op3_near_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_quality_rules": op5_quality_rules,
+        "op6_toxicity": op6_toxicity,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_license_scan": op8_license_scan,
+        "op9_lm_score": op9_lm_score,
         "op10_decontamination": op10_decontamination,
     }
 
