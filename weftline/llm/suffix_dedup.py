@@ -27,7 +27,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import mix, pack, random_table, shuffle_partitions, unpack
@@ -35,7 +35,9 @@ from weftline.llm.common import mix, pack, random_table, shuffle_partitions, unp
 LENGTH, LEAD = 50, 26
 _SPREAD = LENGTH - LEAD  # furthest that an anchor stands from its string's start
 #: Bytes of text that are searched for anchors at once, and that a task gathers before it sends records.
-BLOCK, GATHER = 1 << 17, 12 << 20
+BLOCK, GATHER = 1 << 17, 8 << 20
+#: Suffixes whose strings are compared at once, as far as a run of equal leads allows.
+COMPARED = 40_000
 #: Longest piece of one text whose positions fit the sort key.
 PIECE = 1 << 22
 #: Documents in the sample; share of them that makes a lead hot; leads kept for splitters.
@@ -159,6 +161,40 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
     return order
 
 
+def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that an id belongs to; _group_column is its twin in Spark."""
+    h = ids ^ (ids << 13)
+    h = h ^ (h.view(np.uint64) >> np.uint64(7)).view(np.int64)
+    return (h ^ (h << 17)) % groups
+
+
+def _group_column(key: Column, groups: int) -> Column:
+    h = key.bitwiseXOR(F.shiftleft(key, 13))
+    h = h.bitwiseXOR(F.shiftrightunsigned(h, 7))
+    return F.pmod(h.bitwiseXOR(F.shiftleft(h, 17)), F.lit(groups)).cast("int")
+
+
+def _by_group(ids: np.ndarray, groups: int, *columns: np.ndarray) -> pa.Table:
+    """Rows (group, blob): the columns, sorted by group and id, as one block for each group that occurs."""
+    group = _group_of(ids, groups)
+    order = np.lexsort((ids, group))
+    group, ids, columns = group[order], ids[order], [c[order] for c in columns]
+    heads = _runs(group)
+    cuts = [*heads, len(group)]
+    blobs = [pack(np.diff(ids[a:b], prepend=0), *[c[a:b] for c in columns]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.table({"group": pa.array(group[heads], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+def _from_blobs(table: pa.Table, kinds: tuple) -> list[np.ndarray]:
+    """What _by_group packed for one group, sorted by id."""
+    blobs = [unpack(b) for b in table.column("blob").to_pylist()]
+    if not blobs:
+        return [np.zeros(0, k) for k in (np.int64, *kinds)]
+    out = [np.concatenate([np.cumsum(b[0]) for b in blobs]), *[np.concatenate([b[i + 1] for b in blobs]) for i in range(len(kinds))]]
+    order = np.argsort(out[0], kind="stable")
+    return [x[order] for x in out]
+
+
 # Step 1: which leads stand in several documents
 
 
@@ -206,25 +242,25 @@ def _screen_map(hot: np.ndarray, buckets: int):
     return run
 
 
-def _screen_bucket(table: pa.Table) -> pa.Table:
-    docs, leads, ordinals = [], [], []
-    for blob in table.column("blob").to_pylist():
-        own, count, low, ordinal = unpack(blob)
-        wide = np.zeros((len(low) // 5, 8), np.uint8)
-        wide[:, :5] = low.reshape(-1, 5)
-        docs.append(np.repeat(np.cumsum(own), count))
-        leads.append(wide.view(np.uint64).ravel())
-        ordinals.append(np.cumsum(ordinal.astype(np.int64)))
-    doc, lead, ordinal = np.concatenate(docs), np.concatenate(leads), np.concatenate(ordinals)
-    order = np.argsort(lead, kind="quicksort")
-    starts = _runs(lead[order])
-    size = np.diff(np.append(starts, len(lead)))
-    shared = order[np.repeat(size > 1, size)]
-    shared = shared[np.lexsort((ordinal[shared], doc[shared]))]
-    doc, ordinal = doc[shared], ordinal[shared].astype(np.uint32)
-    heads = _runs(doc)
-    blobs = [x.tobytes() for x in np.split(ordinal, heads[1:])] if len(heads) else []
-    return pa.table({"id": pa.array(doc[heads], pa.int64()), "ordinals": pa.array(blobs, pa.binary())})
+def _screen_bucket(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        docs, leads, ordinals = [], [], []
+        for blob in table.column("blob").to_pylist():
+            own, count, low, ordinal = unpack(blob)
+            wide = np.zeros((len(low) // 5, 8), np.uint8)
+            wide[:, :5] = low.reshape(-1, 5)
+            docs.append(np.repeat(np.cumsum(own), count))
+            leads.append(wide.view(np.uint64).ravel())
+            ordinals.append(np.cumsum(ordinal.astype(np.int64)).astype(np.uint32))
+        doc, lead, ordinal = np.concatenate(docs), np.concatenate(leads), np.concatenate(ordinals)
+        del docs, leads, ordinals
+        order = np.argsort(lead, kind="quicksort")
+        starts = _runs(lead[order])
+        size = np.diff(np.append(starts, len(lead)))
+        shared = order[np.repeat(size > 1, size)]
+        return _by_group(doc[shared], groups, ordinal[shared])
+
+    return run
 
 
 # Step 2: shared suffixes
@@ -285,107 +321,129 @@ def _suffix_map(hot: np.ndarray, splitters: np.ndarray, buckets: int):
             out.append((b, pack(docs[k], rows_[k], contents[k].ravel(), ats[k], los[k].astype(np.uint8), his[k].astype(np.uint8), h_docs[q], h_rows[q], hashes[q], h_ats[q], *marks)))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in batches:
-            valid = batch.column(0).is_valid().to_pylist()
-            keys, rows = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
-            texts, told = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            here = [i for i, t in enumerate(texts) if len(t) >= LENGTH and valid[i]]
-            texts, told, keys, rows = [texts[i] for i in here], [told[i] for i in here], keys[here], rows[here]
-            for part in _blocks([len(t) for t in texts], BLOCK):
-                found = Anchors(texts[part])
+    def run(docs: pa.Table, screened: pa.Table) -> pa.Table:
+        told_id, told_ordinal = _from_blobs(screened, (np.uint32,))
+        parts, size, out = [], 0, []
+        for batch in docs.to_batches():
+            valid = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+            lengths = np.diff(np.frombuffer(batch.column("text").buffers()[1], np.int32)[batch.column("text").offset:][: batch.num_rows + 1])
+            here = np.flatnonzero(valid & (lengths >= LENGTH))
+            keys, rows = batch.column("id").fill_null(0).to_numpy()[here], batch.column("row").to_numpy()[here]
+            for part in _blocks(lengths[here].tolist(), BLOCK):
+                k, r = keys[part], rows[part]
+                found = Anchors(batch.column("text").take(pa.array(here[part])).to_pylist())
                 is_hot = _is_in(found.lead, hot)
                 shared = np.zeros(len(found.at), bool)
-                bounds = np.searchsorted(found.owner, np.arange(len(texts[part]) + 1))
-                for i, blobs in enumerate(told[part]):
-                    if blobs:
-                        own = found.lead[bounds[i]: bounds[i + 1]]
-                        ordinals = np.frombuffer(b"".join(blobs), np.uint32)
-                        shared[bounds[i]: bounds[i + 1]] = _is_in(own, np.unique(own[ordinals[ordinals < len(own)]]))
-                shared &= ~is_hot
-                here = np.flatnonzero(shared)
-                at = found.at[here]
-                start = found.start[found.owner[here]]
-                k, r = keys[part], rows[part]
+                bounds = np.searchsorted(found.owner, np.arange(len(k) + 1))
+                lo, hi = np.searchsorted(told_id, k), np.searchsorted(told_id, k, side="right")
+                for i in np.flatnonzero(hi > lo):
+                    own = found.lead[bounds[i]: bounds[i + 1]]
+                    ordinals = told_ordinal[lo[i]: hi[i]]
+                    shared[bounds[i]: bounds[i + 1]] = _is_in(own, np.unique(own[ordinals[ordinals < len(own)]]))
+                cool = np.flatnonzero(shared & ~is_hot)
+                at = found.at[cool]
+                start = found.start[found.owner[cool]]
                 hot_rows = np.flatnonzero(is_hot)
                 if len(hot_rows):
-                    lengths = found.hi[hot_rows] - found.lo[hot_rows] + 1
-                    p = np.repeat(found.lo[hot_rows] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                    h_owner, hashes = np.repeat(found.owner[hot_rows], lengths), found.string_hashes()[p]
+                    count = found.hi[hot_rows] - found.lo[hot_rows] + 1
+                    p = np.repeat(found.lo[hot_rows] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    h_owner, hashes = np.repeat(found.owner[hot_rows], count), found.string_hashes()[p]
                 else:
                     p, h_owner, hashes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-                parts.append((k[found.owner[here]], r[found.owner[here]], _contents(found, here), at - start, at - found.lo[here], at - found.hi[here], k[h_owner], r[h_owner], hashes, p - found.start[h_owner]))
-                size += 74 * len(here) + 16 * len(p)
+                parts.append((k[found.owner[cool]], r[found.owner[cool]], _contents(found, cool), at - start, at - found.lo[cool], at - found.hi[cool], k[h_owner], r[h_owner], hashes, p - found.start[h_owner]))
+                size += 74 * len(cool) + 16 * len(p)
                 if size >= GATHER:
-                    if out := send(parts):
-                        yield out
+                    out.append(send(parts))
                     parts, size = [], 0
-        if out := send(parts):
-            yield out
+        out.append(send(parts))
+        out = [x for x in out if x is not None]
+        return pa.Table.from_batches(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
 
     return run
 
 
-def _suffix_bucket(table: pa.Table) -> pa.Table:
-    blobs = [unpack(b) for b in table.column("blob").to_pylist()]
-    docs, rows, contents, ats, los, his, h_docs, h_rows, hashes, h_ats, m_docs, m_rows, m_ats, m_masks = (np.concatenate([b[i] for b in blobs]) for i in range(14))
-    out = [(m_docs, m_rows, m_ats, m_masks)]
-    if len(hashes):
-        late = ~_keep_least(hashes, h_docs)
-        out.append((h_docs[late], h_rows[late], h_ats[late], np.ones(int(late.sum()), np.uint32)))
-    if len(docs):
-        width = _SPREAD + LENGTH
-        contents = contents.reshape(-1, width)
-        lead = np.zeros((len(docs), 32), np.uint8)
-        lead[:, :LEAD] = contents[:, _SPREAD: _SPREAD + LEAD]
-        words = [lead.view(">u8")[:, i].astype(np.uint64) for i in range(4)]
-        order = multikey_order(words)
-        starts = _runs(*[w[order] for w in words])
-        size = np.diff(np.append(starts, len(order)))
-        run = np.repeat(np.arange(len(starts), dtype=np.uint64), size)
-        order, run = order[np.repeat(size > 1, size)], run[np.repeat(size > 1, size)]
-        docs, rows, ats, los, his = docs[order], rows[order], ats[order], los[order], his[order]
-        columns = np.ascontiguousarray(contents[order].T)
-        prefix = np.zeros((width + 1, len(order)), np.uint64)
+def _compare(docs: np.ndarray, contents: np.ndarray, los: np.ndarray, his: np.ndarray) -> np.ndarray:
+    """For each suffix a mask of its strings that a smaller document's suffix holds too."""
+    width = _SPREAD + LENGTH
+    lead = np.zeros((len(docs), 32), np.uint8)
+    lead[:, :LEAD] = contents[:, _SPREAD: _SPREAD + LEAD]
+    words = [lead.view(">u8")[:, i].astype(np.uint64) for i in range(4)]
+    order = multikey_order(words)
+    starts = _runs(*[w[order] for w in words])
+    del lead, words
+    size = np.diff(np.append(starts, len(order)))
+    run = np.repeat(np.arange(len(starts)), size)
+    many = np.repeat(size > 1, size)
+    order, run = order[many], run[many]
+    out = np.zeros(len(docs), np.uint32)
+    at = 0
+    while at < len(order):  # whole runs, some ten thousand suffixes at a time
+        upto = int(np.searchsorted(run, run[min(at + COMPARED, len(order)) - 1], side="right"))
+        rows = order[at:upto]
+        columns = np.ascontiguousarray(contents[rows].T)
+        prefix = np.zeros((width + 1, len(rows)), np.uint64)
         for c in range(width):
             prefix[c + 1] = prefix[c] * _power(1) + _CODES[columns[c]]
-        masks = np.zeros(len(order), np.uint32)
-        salt = mix(run + np.uint64(1))
+        salt = mix(run[at:upto].astype(np.uint64) + np.uint64(1))
+        lo, hi, doc, masks = los[rows], his[rows], docs[rows], np.zeros(len(rows), np.uint32)
         for o in range(_SPREAD + 1):
-            here = np.flatnonzero((los >= o) & (his <= o))
+            here = np.flatnonzero((lo >= o) & (hi <= o))
             if len(here):
                 a = _SPREAD - o
                 keys = mix(prefix[a + LENGTH][here] - prefix[a][here] * _power(LENGTH)) ^ salt[here]
-                late = here[~_keep_least(keys, docs[here])]
-                masks[late] |= np.uint32(1) << (o - his[late]).astype(np.uint32)
-        hit = masks > 0
-        out.append((docs[hit], rows[hit], ats[hit].astype(np.int64) - his[hit].astype(np.int64), masks[hit]))
-    docs, rows, ats, masks = (np.concatenate([x[i] for x in out]) for i in range(4))
-    order = np.lexsort((rows, docs))
-    docs, rows, ats, masks = docs[order], rows[order], ats[order], masks[order]
-    heads = _runs(docs, rows)
-    cuts = [*heads, len(rows)]
-    marks = [ats[a:b].astype(np.uint32).tobytes() + masks[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pa.table({"id": pa.array(docs[heads], pa.int64()), "row": pa.array(rows[heads], pa.int64()), "marks": pa.array(marks, pa.binary())})
+                late = here[~_keep_least(keys, doc[here])]
+                masks[late] |= np.uint32(1) << (o - hi[late]).astype(np.uint32)
+        out[rows] = masks
+        at = upto
+    return out
+
+
+def _suffix_bucket(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        blobs = [unpack(b) for b in table.column("blob").to_pylist()]
+        docs, rows, contents, ats, los, his, h_docs, h_rows, hashes, h_ats, m_docs, m_rows, m_ats, m_masks = (np.concatenate([b[i] for b in blobs]) for i in range(14))
+        del blobs
+        out = [(m_docs, m_rows, m_ats, m_masks)]
+        if len(hashes):
+            late = ~_keep_least(hashes, h_docs)
+            out.append((h_docs[late], h_rows[late], h_ats[late], np.ones(int(late.sum()), np.uint32)))
+        if len(docs):
+            masks = _compare(docs, contents.reshape(len(docs), -1), los, his)
+            hit = masks > 0
+            out.append((docs[hit], rows[hit], ats[hit].astype(np.int64) - his[hit].astype(np.int64), masks[hit]))
+        docs, rows, ats, masks = (np.concatenate([x[i] for x in out]) for i in range(4))
+        return _by_group(docs, groups, rows, ats.astype(np.uint32), masks)
+
+    return run
 
 
 # Step 3: what is left
 
 
-def removed_spans(size: int, marks: list[bytes]) -> np.ndarray:
-    """(start, end) of the maximal removed runs of a text of ``size`` bytes."""
-    edges = np.zeros(size + 1, np.int64)
-    for blob in marks:
-        ats, masks = np.frombuffer(blob, np.uint32).reshape(2, -1)
-        for o in range(_SPREAD + 1):
-            p = ats[(masks >> np.uint32(o)) & np.uint32(1) == 1].astype(np.int64) - o
-            np.add.at(edges, p, 1)
-            np.add.at(edges, p + LENGTH, -1)
+def removed_spans(size: int, ats: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """(start, end) of the maximal removed runs of a text of ``size`` bytes; bit o of a mask is the string at its place less o."""
+    bits = np.unpackbits(masks.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    row, o = np.nonzero(bits)
+    p = ats[row].astype(np.int64) - o
+    edges = np.bincount(p, minlength=size + 1) - np.bincount(p + LENGTH, minlength=size + 1)
     gone = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
     return np.flatnonzero(gone[1:] != gone[:-1]).reshape(-1, 2)
 
 
+_NO_SPANS = np.zeros((0, 2), np.int64)
+
+
+def _spans(docs: pa.Table, marks: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Row number, text and removed spans of each document of a group."""
+    ids, rows, ats, masks = _from_blobs(marks, (np.int64, np.uint32, np.uint32))
+    keys = docs.column("id").to_pylist()
+    for i, (key, row) in enumerate(zip(keys, docs.column("row").to_pylist(), strict=True)):
+        text = docs.column("text")[i].as_py()
+        a, b = (0, 0) if key is None else np.searchsorted(ids, [key, key + 1])
+        own = np.flatnonzero(rows[a:b] == row) + a
+        yield i, text, removed_spans(len(text), ats[own], masks[own]) if len(own) else _NO_SPANS
+
+
 def _kept(text: bytes, spans: np.ndarray) -> bytes:
     at, out = 0, []
     for a, b in spans.tolist():
@@ -395,31 +453,28 @@ def _kept(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = []
-        for row, text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            marks = [m["marks"] for m in found or () if m["row"] == row]
-            spans = removed_spans(len(text), marks) if marks else np.zeros((0, 2), np.int64)
-            sums.append((len(text), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), sha256(_kept(text, spans)).hexdigest(), spans.ravel().tolist() if len(spans) else None))
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([s[i] for s in sums], k) for i, k in enumerate(kinds)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+def _finish(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    sums = []
+    for _, text, spans in _spans(docs, marks):
+        sums.append((len(text), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), sha256(_kept(text, spans)).hexdigest(), spans.ravel().tolist() if len(spans) else None))
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "spans": pa.list_(pa.int64())}
+    return pa.table({"id": docs.column("id"), **{n: pa.array([s[i] for s in sums], k) for i, (n, k) in enumerate(kinds.items())}})
 
 
 def _sampled(texts: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Hot leads and splitters, from a sample of bounded size."""
-    sample = texts if total <= SAMPLE_DOCS else texts.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_DOCS / total) + 1)
+    sample = texts if total <= SAMPLE_DOCS else texts.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_DOCS / total) + 1)
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(2).to_pylist()
+            found = batch.column(0).to_pylist()
             for part in _blocks([len(t) for t in found], BLOCK):
                 a = Anchors(found[part])
                 _, rows = np.unique(a.lead + mix(a.owner.astype(np.uint64)), return_index=True)
                 text = np.lib.stride_tricks.sliding_window_view(a.data, LEAD)[a.at[rows]] if len(rows) else np.zeros((0, LEAD), np.uint8)
                 yield pa.RecordBatch.from_arrays([pa.array(a.lead[rows].view(np.int64)), pa.array([x.tobytes() for x in text], pa.binary())], names=["lead", "text"])
 
-    seen = sample.select("id", "row", "text").mapInArrow(leads, "lead long, text binary").groupBy("lead").agg(F.count("*").alias("c"), F.first("text").alias("text"))
+    seen = sample.select("text").mapInArrow(leads, "lead long, text binary").groupBy("lead").agg(F.count("*").alias("c"), F.first("text").alias("text"))
     least = max(8, int(min(total, SAMPLE_DOCS) * HOT_SHARE))
     top = seen.where(F.col("c") >= least).select("lead").collect()  # at most the sample's leads / least
     hot = np.sort(np.array([r["lead"] for r in top], np.int64).view(np.uint64))
@@ -428,27 +483,26 @@ def _sampled(texts: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np
     return hot, ordered[[len(ordered) * i // buckets for i in range(1, buckets)]] if len(ordered) else ordered
 
 
-def _marked(docs: DataFrame, key: str, text: str, buckets: int | None, carry: list[str]) -> DataFrame:
-    """(id, row, text, marks) of every row of ``docs``, and the columns ``carry`` as a struct."""
+def _marked(docs: DataFrame, key: str, text: str, buckets: int | None, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(group, id, row, text) of every row of ``docs``, with the columns ``carry`` as a struct, and the groups' marks."""
     buckets = buckets or shuffle_partitions(docs.sparkSession)
+    groups = 2 * buckets
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] * bool(carry)
-    whole = docs.select(F.col(key).cast("long").alias("id"), body.alias("text"), *carried).select("id", F.xxhash64("id", "text").alias("row"), "text", *["carried"] * bool(carry))
+    whole = docs.select(F.col(key).cast("long").alias("id"), body.alias("text"), *carried)
     texts = whole.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
     hot, splitters = _sampled(texts, docs.count(), buckets)
     sent = texts.select("id", "text").mapInArrow(_screen_map(hot, buckets), "bucket int, blob binary")
-    told = sent.groupBy("bucket").applyInArrow(_screen_bucket, "id long, ordinals binary").groupBy("id").agg(F.collect_list("ordinals").alias("ordinals"))
-    dealt = whole.repartition("id")  # both joins below read this one exchange
-    known = dealt.join(told.hint("shuffle_hash"), "id", "left")
-    suffixes = known.select("id", "row", "text", "ordinals").mapInArrow(_suffix_map(hot, splitters, buckets), "bucket int, blob binary")
-    marks = suffixes.groupBy("bucket").applyInArrow(_suffix_bucket, "id long, row long, marks binary").groupBy("id").agg(F.collect_list(F.struct("row", "marks")).alias("marks"))
-    return dealt.join(marks.hint("shuffle_hash"), "id", "left")
+    told = sent.groupBy("bucket").applyInArrow(_screen_bucket(groups), "group int, blob binary")
+    dealt = whole.select(F.coalesce(_group_column(F.col("id"), groups), F.pmod(F.hash("text"), F.lit(groups))).alias("group"), "id", F.xxhash64("id", "text").alias("row"), "text", *["carried"] * bool(carry))
+    suffixes = dealt.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(_suffix_map(hot, splitters, buckets), "bucket int, blob binary")
+    return dealt, suffixes.groupBy("bucket").applyInArrow(_suffix_bucket(groups), "group int, blob binary")
 
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans: start, end, start, end ... in bytes."""
-    marked = _marked(docs, key, text, buckets, []).select("id", "row", "text", "marks")
-    out = marked.mapInArrow(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    dealt, marks = _marked(docs, key, text, buckets, [])
+    out = dealt.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.withColumnRenamed("id", key)
 
 
@@ -459,20 +513,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
     stays valid UTF-8. A column n_chars, if there is one, is set anew.
     """
     names = docs.columns
-    marked = _marked(docs, key, text, buckets, [c for c in names if c != text]).select("id", "row", "text", "marks", "carried")
-    carried = marked.schema["carried"].dataType.simpleString()
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, gone = [], []
-            for row, body, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                marks = [m["marks"] for m in found or () if m["row"] == row]
-                left = _kept(body, _whole_characters(body, removed_spans(len(body), marks))) if marks else body
-                texts.append(left)
-                gone.append(bool(body) and not left)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string()), pa.array(gone, pa.bool_()), batch.column(4)], names=["left", "gone", "carried"])
-
-    cleaned = marked.mapInArrow(cut_out, f"left string, gone boolean, carried {carried}").where(~F.col("gone"))
+    dealt, marks = _marked(docs, key, text, buckets, [c for c in names if c != text])
+    carried = dealt.schema["carried"].dataType.simpleString()
+
+    def cut_out(rows: pa.Table, blobs: pa.Table) -> pa.Table:
+        texts, gone = [], []
+        for _, body, spans in _spans(rows, blobs):
+            left = _kept(body, _whole_characters(body, spans))
+            texts.append(left)
+            gone.append(bool(body) and not left)
+        return pa.table({"left": pa.array(texts, pa.binary()).cast(pa.string()), "gone": pa.array(gone, pa.bool_()), "carried": rows.column("carried")})
+
+    cleaned = dealt.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(cut_out, f"left string, gone boolean, carried {carried}").where(~F.col("gone"))
     new = {text: F.col("left")} | ({"n_chars": F.char_length("left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return cleaned.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in names])
 
