@@ -6,8 +6,9 @@
 2. Documents with the same set are one class, and its least id stands for it.
 3. Signatures are cut into bands. All members of a bucket are compared with the bucket's least member:
    a star, not all pairs. Sizes are compared first, then the full sets of both whole texts.
-4. In buckets that still hold several components, every member outside the largest of them is compared
-   with the members of the others. Any two members of a bucket are so compared or in one component.
+4. Buckets that still hold several components are compared in full: small ones pair by pair, large ones
+   in blocks of documents whose full sets meet as incidence matrices, where no pair is emitted. Any two
+   members of a bucket are so compared or in one component.
 5. Components of the confirmed links come from union-find and star rounds on the cluster.
 
 Documents with fewer words than a shingle are one shingle; without words (null and empty texts too) the
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import WordHasher, cut, map_batches, mix, random_table, text_bytes
-from weftline.llm.components import connected_components
+from weftline.llm.components import UnionFind, connected_components
 
 BANDS, ROWS = 32, 4
+#: Largest bucket that is compared pair by pair; documents in a block of larger ones; shingles in a matrix.
+SMALL, BLOCK, COLUMNS = 6, 512, 4096
 #: Shingles whose signatures are made at once.
 CHUNK = 150_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -165,6 +168,104 @@ def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int)
     return map_batches(both.select("a", "b", "ta", "tb"), "a long, b long", make)
 
 
+def _sets_of(reps: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(rep, body): the sorted shingle hashes of the documents that ``reps`` names."""
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("t"))
+
+    def make():
+        shingle = shingler(size)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle(t).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], names=["rep", "body"])
+
+        return each
+
+    return map_batches(reps.join(texts, "rep"), "rep long, body binary", make)
+
+
+def _confirm_sets(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """As _confirm, from sets that are at hand."""
+    both = pairs.join(bodies.toDF("a", "sa"), "a").join(bodies.toDF("b", "sb"), "b")
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * shared >= 80 * (len(s) + len(t) - shared):
+                    keep.append(i)
+            return batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+        return each
+
+    return map_batches(both.select("a", "b", "sa", "sb"), "a long, b long", make)
+
+
+def linked_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(i, j) of all sets of the two lists that share 0.8 of their union, from products of incidence matrices."""
+    sizes = np.array([len(s) for s in left], np.int64), np.array([len(s) for s in right], np.int64)
+    values, owner = np.concatenate([*left, *right]), np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    column, count = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(values)))
+    often = count[column] > 1  # a shingle of one document is shared by no pair
+    column, owner = np.unique(column[often], return_inverse=True)[1], owner[often]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        x, y = np.searchsorted(column, [a, a + COLUMNS])
+        block = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        block[owner[x:y], column[x:y] - a] = 1
+        shared += block[: len(left)] @ block[len(left):].T
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    return np.argwhere(100 * shared >= 80 * union)
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the two blocks of a task, as a forest."""
+    sides, labels, reps = table.column("side").to_numpy(), table.column("label").to_numpy(), table.column("rep").to_numpy()
+    bodies = [np.frombuffer(b, np.uint64) for b in table.column("body").to_pylist()]
+    left, right = np.flatnonzero(sides <= 0), np.flatnonzero(sides >= 0)  # side 0: both
+    sets = UnionFind()
+    if len(left) and len(right):
+        for i, j in linked_pairs([bodies[k] for k in left], [bodies[k] for k in right]):
+            if labels[left[i]] != labels[right[j]]:
+                sets.join(int(reps[left[i]]), int(reps[right[j]]))
+    links = [(x, r) for x in sets.parent if (r := sets.find(x)) != x]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([r for _, r in links], pa.int64())})
+
+
+def _compare_in_blocks(inside: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) between components that meet in large buckets.
+
+    Buckets that share members form a family. Its largest component and the rest are cut into blocks; each
+    block of the rest meets each other block in a task of its own, so no task grows with the family and no
+    pair is emitted.
+    """
+    least = inside.groupBy("bucket").agg(F.min("rep").alias("first"))
+    family = connected_components(inside.join(least, "bucket").where("rep != first").select("rep", "first").distinct())
+    rows = inside.select("rep", "label").distinct().join(family.toDF("rep", "family"), "rep")
+    counts = rows.groupBy("family", "label").agg(F.count("*").alias("c"))
+    top = counts.groupBy("family").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"))
+    top = top.select("family", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("c") - F.col("top.c")) / BLOCK).cast("int").alias("minors"))
+    dealt = rows.join(top.where("minors > 0"), "family").withColumn("is_main", F.col("label") == F.col("main"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("minors"))).cast("int"))
+
+    def task(other, side):  # rows of the rest are -1, of the largest component 1; within one block 0
+        return F.struct(other[0].alias("i"), other[1].alias("j"), F.lit(other[2]).alias("main"), side.alias("side"))
+
+    minors, mains = F.sequence(F.lit(0), F.col("minors") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
+    of_main = F.transform(minors, lambda m: task((m, F.col("own"), True), F.lit(1)))
+    of_rest = F.concat(
+        F.transform(minors, lambda m: task((F.least("own", m), F.greatest("own", m), False), F.signum(F.col("own") - m).cast("int"))),
+        F.transform(mains, lambda m: task((F.col("own"), m, True), F.lit(-1))),
+    )
+    spread = dealt.select("family", "rep", "label", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_rest)).alias("t"))
+    full = spread.join(bodies, "rep").select("family", "t.i", "t.j", "t.main", "t.side", "rep", "label", "body")
+    return full.groupBy("family", "i", "j", "main").applyInArrow(_block_links, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row."""
     signed = cut(_signed(docs, key, text, shingle_words))
@@ -172,22 +273,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     spread = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     leaders = spread.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    members = cut(spread.join(leaders, "bucket").select("bucket", "rep", "n", F.col("l.rep").alias("leader"), F.col("l.n").alias("ln")))
+    members = cut(spread.join(leaders, "bucket").select("bucket", "rep", "n", F.col("l.rep").alias("leader"), F.col("l.n").alias("ln"), "c"))
 
     stars = cut(members.where((F.col("rep") != F.col("leader")) & _alike(F.col("n"), F.col("ln"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
     links = cut(_confirm(stars, docs, key, text, shingle_words))
     groups = connected_components(links)
 
-    labelled = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("label"))
-    counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("c", (-F.col("label")).alias("l"))).alias("top")).where("labels > 1")
-    inside = cut(labelled.join(mixed.select("bucket", (-F.col("top.l")).alias("main")), "bucket"))
-    minor = inside.where("label != main").select("bucket", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    met = inside.select("bucket", "rep", "n", "label").join(minor, "bucket").where((F.col("l1") != F.col("label")) & _alike(F.col("n"), F.col("n1")))
-    rest = met.select(F.greatest("rep", "r1").alias("a"), F.least("rep", "r1").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        groups = connected_components(links.union(_confirm(rest, docs, key, text, shingle_words)))
+    labelled = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "c", F.coalesce("component", "rep").alias("label"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("bucket")
+    inside = cut(labelled.join(mixed, "bucket"))
+    if not inside.isEmpty():
+        few = inside.where(F.col("c") <= SMALL)
+        other = few.select("bucket", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("label").alias("l1"))
+        met = few.join(other, "bucket").where((F.col("rep") > F.col("r1")) & (F.col("l1") != F.col("label")) & _alike(F.col("n"), F.col("n1")))
+        pairs = met.select(F.col("rep").alias("a"), F.col("r1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+        pairs, large = cut(pairs), inside.where(F.col("c") > SMALL)
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
+        bodies = cut(_sets_of(needed, docs, key, text, shingle_words))
+        found = links.union(_confirm_sets(pairs, bodies)).union(_compare_in_blocks(large, bodies))
+        groups = connected_components(found)
 
     sets = signed.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
     done = sets.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
