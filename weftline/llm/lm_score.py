@@ -344,7 +344,16 @@ class Model:
         return self.held.value
 
 
-def _score_bucket(table: pa.Table) -> pa.Table:
+def _score_bucket(groups: int):
+    """Rows (group, blob): partial sums of the documents of each group, and at -1 the number of words seen in training."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _bucket_sums(table, groups)
+
+    return run
+
+
+def _bucket_sums(table: pa.Table, groups: int) -> pa.Table:
     blobs = [unpack(b) for b in table.column("blob").to_pylist()]
     seq = np.concatenate([np.repeat(np.cumsum(b[0]), b[2]) for b in blobs]).astype(np.int64)
     train = np.concatenate([np.repeat(b[1], b[2]) for b in blobs])
@@ -361,15 +370,30 @@ def _score_bucket(table: pa.Table) -> pa.Table:
     sure = np.add.reduceat((times * (per > 0))[by].astype(np.int64), heads) if len(by) else np.zeros(0, np.int64)
     docs = seq[by][heads]
     h_seq, h_tokens, h_known, h_base, h_score = (np.concatenate([b[i] for b in blobs]) for i in range(5, 10))
-    zeros = np.zeros(len(docs))
-    columns = {
-        "seq": np.concatenate([docs, h_seq, [-1]]).astype(np.int64),
-        "n_tokens": np.concatenate([zeros, h_tokens, [0]]).astype(np.int64),
-        "n_known": np.concatenate([sure, h_known, [int((count > 0).sum())]]).astype(np.int64),  # of the row -1: distinct words
-        "base": np.concatenate([base, h_base, [0]]),
-        "score": np.concatenate([zeros, h_score, [0]]),
-    }
-    return pa.table({k: pa.array(v) for k, v in columns.items()})
+    all_seq = np.concatenate([docs, h_seq])
+    columns = [all_seq, np.concatenate([np.zeros(len(docs), np.int64), h_tokens]), np.concatenate([sure, h_known]), np.concatenate([base, h_base]), np.concatenate([np.zeros(len(docs)), h_score])]
+    group = (mix(all_seq.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+    order = np.lexsort((all_seq, group))
+    group, columns = group[order], [c[order] for c in columns]
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    cuts = [*heads, len(group)]
+    out = [pack(np.diff(columns[0][a:b], prepend=0), *[c[a:b] for c in columns[1:]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    words = pack(np.array([(count > 0).sum()], np.int64))
+    return pa.table({"group": pa.array([*group[heads].tolist(), -1], pa.int32()), "blob": pa.array([*out, words], pa.binary())})
+
+
+def _sum_group(table: pa.Table) -> pa.Table:
+    """(seq, n_tokens, n_known, base, score) of each document of a group; the row -1 has the number of distinct words."""
+    blobs = [unpack(b) for b in table.column("blob").to_pylist()]
+    if table.column("group")[0].as_py() < 0:
+        total = sum(int(b[0][0]) for b in blobs)
+        return pa.table({"seq": pa.array([-1], pa.int64()), "n_tokens": pa.array([0], pa.int64()), "n_known": pa.array([total], pa.int64()), "base": pa.array([0.0]), "score": pa.array([0.0])})
+    seq = np.concatenate([np.cumsum(b[0]) for b in blobs])
+    rest = [np.concatenate([b[i] for b in blobs]) for i in range(1, 5)]
+    order = np.argsort(seq, kind="stable")
+    seq = seq[order]
+    heads = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+    return pa.table({"seq": pa.array(seq[heads], pa.int64()), **{n: pa.array(np.add.reduceat(c[order], heads)) for n, c in zip(("n_tokens", "n_known", "base", "score"), rest, strict=True)}})
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 10) -> DataFrame:
@@ -392,10 +416,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
 
     score = _score_map(frequent, np.log10(counted + 0.1), math.log10(train_rows + 0.1), train_rows > 0, counted > 0, Model(spark, mixer), buckets)
     sent = rows.select("seq", (~F.col("held_out")).alias("train"), "text").mapInArrow(score, "bucket int, blob binary")
-    parts = cut(sent.groupBy("bucket").applyInArrow(_score_bucket, "seq long, n_tokens long, n_known long, base double, score double"))
+    sums_of = sent.groupBy("bucket").applyInArrow(_score_bucket(buckets), "group int, blob binary")
+    parts = cut(sums_of.groupBy("group").applyInArrow(_sum_group, "seq long, n_tokens long, n_known long, base double, score double"))
     rare = parts.where("seq = -1").agg(F.sum("n_known")).first()[0] or 0
     total, distinct = words + train_rows, rare + int((counted > 0).sum()) + (train_rows > 0)
     scale = math.log10(total + 0.1 * (distinct + 1))
-    summed = parts.where("seq >= 0").groupBy("seq").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    summed = parts.where("seq >= 0")
     whole = rows.select("id", "seq", "held_out").join(summed, "seq")
     return whole.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")
