@@ -13,7 +13,8 @@ null id counts as the empty text in the split; each input row gives one row; fur
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,27 +38,29 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:] or b"\n" * 8
 
 
+@lru_cache(maxsize=1)
+def compressors(*contents: bytes) -> list[zstandard.ZstdCompressor]:
+    """A compressor for each dictionary: native memory, so a Python worker holds one set over all its tasks."""
+    out = []
+    for content in contents:
+        held = zstandard.ZstdCompressionDict(content)
+        held.precompute_compress(level=LEVEL)
+        out.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False))
+    return out
+
+
 @dataclass
 class CompressionClassifier:
     good: bytes
     bad: bytes
     slope: float = 0.0
     bias: float = 0.0
-    _ready: list = field(default_factory=list, repr=False)
-
-    def __getstate__(self):
-        return {"good": self.good, "bad": self.bad, "slope": self.slope, "bias": self.bias, "_ready": []}
 
     def difference(self, text: bytes) -> float:
         """Bytes that the bad dictionary needs beyond the good one, over the text's bytes."""
         if not text:
             return 0.0
-        if not self._ready:
-            for content in (self.bad, self.good):
-                held = zstandard.ZstdCompressionDict(content)
-                held.precompute_compress(level=LEVEL)
-                self._ready.append(zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False))
-        bad, good = self._ready
+        bad, good = compressors(self.bad, self.good)
         return sum(len(bad.compress(part)) - len(good.compress(part)) for part in (text[i: i + BLOCK] for i in range(0, len(text), BLOCK))) / len(text)
 
     def score(self, text: bytes) -> float:
