@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -22,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches, text_bytes
+from weftline.llm.common import pieces, release, text_bytes
 from weftline.llm.token_counts import byte_letters
 
 #: Words in the cache of a Python worker, and symbols in one round's array.
 CACHE_WORDS = 300_000
-FLAT_SYMBOLS = 2_000_000
+FLAT_SYMBOLS = 500_000
 _NONE = np.int64(2**62)
 
 
@@ -147,31 +148,34 @@ def codec(path: str) -> Codec:
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) and, if asked for, token_ids of every row."""
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(tokenizer)
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            texts = text_bytes(batch.column(1))
-            at = 0
-            while at < len(texts):  # some megabytes of text at a time
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 1 << 22):
-                    size += len(texts[upto])
-                    upto += 1
-                code.forget()
-                split = [code.split(t.decode()) for t in texts[at:upto]]
-                code.learn(set().union(*split))
-                for words in split:
-                    found = [code.known[w] for w in words]
-                    ids, decoded = " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
-                    rows.append((sum([f[0] for f in found]), sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest(), [int(i) for i in ids.split()] if with_ids else None))
-                at = upto
-            arrays = [batch.column(0)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 3 + with_ids])]
-            return pa.RecordBatch.from_arrays(arrays, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: 4 + with_ids])
-
-        return each
+        for batch in batches:
+            for piece in pieces(batch):
+                yield _encoded(code, piece.column(0), text_bytes(piece.column(1)), key, with_ids)
+        code.known.clear()
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return map_batches(docs.select(key, F.col(text).cast("string")), schema, make)
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def _encoded(code: Codec, keys: pa.Array, texts: list[bytes], key: str, with_ids: bool) -> pa.RecordBatch:
+    code.forget()
+    split = [code.split(t.decode()) for t in texts]
+    code.learn(set().union(*split))
+    counts, hashes, decoded, ids = [], [], [], []
+    for words in split:
+        found = [code.known[w] for w in words]
+        joined = " ".join([f[1] for f in found])
+        counts.append(sum([f[0] for f in found]))
+        hashes.append(sha256(joined.encode()).hexdigest())
+        decoded.append(sha256(" ".join([f[2] for f in found]).encode()).hexdigest())
+        if with_ids:
+            ids.append(np.array(joined.split(), np.int32))
+    arrays = [keys, pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+    if with_ids:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))))
+    return pa.RecordBatch.from_arrays(arrays, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: 4 + with_ids])

@@ -20,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import cut
 from weftline.llm.quality_rules import let
 
 WINDOW = 13
@@ -94,7 +95,8 @@ def _by_literals(docs: DataFrame, keep: list[str], text: str, windows: list) ->
 
 def _by_join(docs: DataFrame, keep: list[str], text: str, windows: DataFrame) -> DataFrame:
     sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # 13 values at most
-    numbered = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), words_of(F.col(text)).alias("__w"))
+    # written once: a row's number must not change between the two reads below
+    numbered = cut(docs.select(*keep, F.monotonically_increasing_id().alias("__row"), words_of(F.col(text)).alias("__w")))
     hashed = numbered.select("__row", "__w", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
 
     def spots(n: int) -> Column:
@@ -122,4 +124,5 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, all columns as they are."""
-    return scan_documents(docs, benchmark, text, keep=docs.columns).where(~F.col("contaminated")).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text).alias("__text"))
+    return scan_documents(whole, benchmark, "__text", keep=["__doc"]).where(~F.col("contaminated")).select("__doc.*")

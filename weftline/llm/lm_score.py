@@ -13,7 +13,7 @@ finds in many documents are counted in the first pass and travel with the plan;
 word) pairs are shuffled by the word's 64-bit hash as packed blocks, and each document's partial sums
 come back. No word's documents are gathered in one task, and no vocabulary goes to the driver.
 
-Null and empty texts have one token, the end, and a model score of 0. A null id counts as the empty
+Ids are integers. Null and empty texts have one token, the end, and a model score of 0. A null id counts as the empty
 text in the split. Each input row gives one row, repeated rows included; further columns are not read.
 With no training rows all counts are 0.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHasher, crc_remainder, cut, mix, pack, random_table, shuffle_partitions, text_bytes, unpack
+from weftline.llm.common import WordHasher, crc_remainder, cut, mix, pack, random_table, release, released, shuffle_partitions, text_bytes, unpack
 
 ORDERS, SLOT_BITS = 4, 20
 #: Table parts in the shuffle of counts.
@@ -249,6 +249,8 @@ def _count_map(frequent: np.ndarray):
             at = np.flatnonzero(flat[i])
             blobs.append((i, pack(np.diff(at, prepend=0).astype(np.uint32), flat[i][at])))
         yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["part", "blob"])
+        del counts, blobs, flat
+        release()
 
     return run
 
@@ -275,7 +277,7 @@ def _score_map(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_
     def send(docs: list, pairs: list) -> pa.RecordBatch | None:
         if not docs:
             return None
-        seq, train, tokens, known_, base, score = (np.array([d[i] for d in docs]) for i in range(6))
+        seq, train, tokens, known_, base, score, ids, flags = (np.array([d[i] for d in docs]) for i in range(8))
         owner, hashes, times = (np.concatenate([p[i] for p in pairs]) for i in range(3))
         bucket = hashes % np.uint64(buckets)
         order = np.lexsort((owner, bucket))
@@ -287,7 +289,7 @@ def _score_map(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_
             own, count = np.unique(o, return_counts=True)
             here = np.flatnonzero(home == b)
             if len(own) or len(here):
-                out.append((b, pack(np.diff(seq[own], prepend=0), train[own].astype(np.uint8), count.astype(np.uint32), hashes[cuts[b]: cuts[b + 1]], times[cuts[b]: cuts[b + 1]].astype(np.uint32), seq[here], tokens[here], known_[here], base[here], score[here])))
+                out.append((b, pack(np.diff(seq[own], prepend=0), train[own].astype(np.uint8), count.astype(np.uint32), hashes[cuts[b]: cuts[b + 1]], times[cuts[b]: cuts[b + 1]].astype(np.uint32), seq[here], tokens[here], known_[here], base[here], score[here], ids[here], flags[here])))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,6 +297,7 @@ def _score_map(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_
         docs, pairs, size = [], [], 0
         for batch in batches:
             seqs, train, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), text_bytes(batch.column(2))
+            ids, flags = batch.column(3).fill_null(0).to_numpy(), ~train + 2 * batch.column(3).is_null().to_numpy(zero_copy_only=False)
             for part in _blocks(texts):
                 n = len(texts[part])
                 owner, hashes, times = _distinct(texts[part], of)
@@ -304,13 +307,15 @@ def _score_map(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_
                 tokens = np.bincount(owner, weights=times, minlength=n).astype(np.int64) + 1
                 score = scorer(texts[part]) * -math.log10(2)
                 pairs.append((owner[~hit] + len(docs), hashes[~hit], times[~hit]))
-                docs += zip(seqs[part].tolist(), train[part].tolist(), tokens.tolist(), sure.tolist(), base.tolist(), score.tolist(), strict=True)
+                docs += zip(seqs[part].tolist(), train[part].tolist(), tokens.tolist(), sure.tolist(), base.tolist(), score.tolist(), ids[part].tolist(), flags[part].tolist(), strict=True)
                 size += sum(map(len, texts[part]))
                 if size >= GATHER:
                     yield send(docs, pairs)
                     docs, pairs, size = [], [], 0
         if out := send(docs, pairs):
             yield out
+        del docs, pairs
+        release()
 
     return run
 
@@ -369,9 +374,10 @@ def _bucket_sums(table: pa.Table, groups: int) -> pa.Table:
     base = np.add.reduceat((times * np.log10(per + 0.1))[by], heads) if len(by) else np.zeros(0)
     sure = np.add.reduceat((times * (per > 0))[by].astype(np.int64), heads) if len(by) else np.zeros(0, np.int64)
     docs = seq[by][heads]
-    h_seq, h_tokens, h_known, h_base, h_score = (np.concatenate([b[i] for b in blobs]) for i in range(5, 10))
+    h_seq, h_tokens, h_known, h_base, h_score, h_ids, h_flags = (np.concatenate([b[i] for b in blobs]) for i in range(5, 12))
+    none = np.zeros(len(docs), np.int64)
     all_seq = np.concatenate([docs, h_seq])
-    columns = [all_seq, np.concatenate([np.zeros(len(docs), np.int64), h_tokens]), np.concatenate([sure, h_known]), np.concatenate([base, h_base]), np.concatenate([np.zeros(len(docs)), h_score])]
+    columns = [all_seq, np.concatenate([none, h_tokens]), np.concatenate([sure, h_known]), np.concatenate([base, h_base]), np.concatenate([np.zeros(len(docs)), h_score]), np.concatenate([none, h_ids]), np.concatenate([none, h_flags])]
     group = (mix(all_seq.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
     order = np.lexsort((all_seq, group))
     group, columns = group[order], [c[order] for c in columns]
@@ -383,17 +389,20 @@ def _bucket_sums(table: pa.Table, groups: int) -> pa.Table:
 
 
 def _sum_group(table: pa.Table) -> pa.Table:
-    """(seq, n_tokens, n_known, base, score) of each document of a group; the row -1 has the number of distinct words."""
+    """(seq, n_tokens, n_known, base, score, id, flags) of each document of a group; the row -1 has the number of distinct words.
+
+    One block carries a document's id, flags (1 held out, 2 no id) and score; in the others they are 0.
+    """
     blobs = [unpack(b) for b in table.column("blob").to_pylist()]
     if table.column("group")[0].as_py() < 0:
         total = sum(int(b[0][0]) for b in blobs)
-        return pa.table({"seq": pa.array([-1], pa.int64()), "n_tokens": pa.array([0], pa.int64()), "n_known": pa.array([total], pa.int64()), "base": pa.array([0.0]), "score": pa.array([0.0])})
+        return pa.table({"seq": pa.array([-1], pa.int64()), "n_tokens": pa.array([0], pa.int64()), "n_known": pa.array([total], pa.int64()), "base": pa.array([0.0]), "score": pa.array([0.0]), "id": pa.array([0], pa.int64()), "flags": pa.array([0], pa.int64())})
     seq = np.concatenate([np.cumsum(b[0]) for b in blobs])
-    rest = [np.concatenate([b[i] for b in blobs]) for i in range(1, 5)]
+    rest = [np.concatenate([b[i] for b in blobs]) for i in range(1, 7)]
     order = np.argsort(seq, kind="stable")
     seq = seq[order]
     heads = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
-    return pa.table({"seq": pa.array(seq[heads], pa.int64()), **{n: pa.array(np.add.reduceat(c[order], heads)) for n, c in zip(("n_tokens", "n_known", "base", "score"), rest, strict=True)}})
+    return pa.table({"seq": pa.array(seq[heads], pa.int64()), **{n: pa.array(np.add.reduceat(c[order], heads)) for n, c in zip(("n_tokens", "n_known", "base", "score", "id", "flags"), rest, strict=True)}})
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 10) -> DataFrame:
@@ -401,11 +410,11 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("seq"), (crc_remainder(F.col(key), modulus) == 0).alias("held_out"), body.alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("seq"), (crc_remainder(F.col(key), modulus) == 0).alias("held_out"), body.alias("text"))
     frequent = _frequent(rows, docs.count())
 
     training = rows.where(~F.col("held_out"))
-    sums = {r["part"]: unpack(r["blob"])[0] for r in training.select("text").mapInArrow(_count_map(frequent), "part int, blob binary").groupBy("part").applyInArrow(_count_sum, "part int, blob binary").collect()}
+    sums = {r["part"]: unpack(r["blob"])[0] for r in training.select("text").mapInArrow(_count_map(frequent), "part int, blob binary").groupBy("part").applyInArrow(released(_count_sum), "part int, blob binary").collect()}
     head = sums.get(-1, np.zeros(2 + len(frequent), np.int64))
     words, train_rows, counted = int(head[0]), int(head[1]), head[2:]
     empty = np.zeros(ORDERS * 2 * (1 << SLOT_BITS) // PARTS, np.int64)
@@ -415,12 +424,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     mixer.train([r["text"].encode() for r in short.orderBy(F.xxhash64("seq")).limit(SAMPLE_TEXTS).select("text").collect()])
 
     score = _score_map(frequent, np.log10(counted + 0.1), math.log10(train_rows + 0.1), train_rows > 0, counted > 0, Model(spark, mixer), buckets)
-    sent = rows.select("seq", (~F.col("held_out")).alias("train"), "text").mapInArrow(score, "bucket int, blob binary")
-    sums_of = sent.groupBy("bucket").applyInArrow(_score_bucket(buckets), "group int, blob binary")
-    parts = cut(sums_of.groupBy("group").applyInArrow(_sum_group, "seq long, n_tokens long, n_known long, base double, score double"))
+    sent = rows.select("seq", (~F.col("held_out")).alias("train"), "text", "id").mapInArrow(score, "bucket int, blob binary")
+    sums_of = sent.groupBy("bucket").applyInArrow(released(_score_bucket(buckets)), "group int, blob binary")
+    parts = cut(sums_of.groupBy("group").applyInArrow(released(_sum_group), "seq long, n_tokens long, n_known long, base double, score double, id long, flags long"))
     rare = parts.where("seq = -1").agg(F.sum("n_known")).first()[0] or 0
     total, distinct = words + train_rows, rare + int((counted > 0).sum()) + (train_rows > 0)
     scale = math.log10(total + 0.1 * (distinct + 1))
-    summed = parts.where("seq >= 0")
-    whole = rows.select("id", "seq", "held_out").join(summed, "seq")
-    return whole.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")
+    bit = F.col("flags").bitwiseAND
+    found = F.when(bit(F.lit(2)) == 0, F.col("id")).cast(docs.schema[key].dataType).alias(key)
+    return parts.where("seq >= 0").select(found, (bit(F.lit(1)) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")

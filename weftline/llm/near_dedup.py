@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHasher, cut, map_batches, mix, random_table, text_bytes
+from weftline.llm.common import WordHasher, cut, map_batches, mix, random_table, released, text_bytes
 from weftline.llm.components import UnionFind, connected_components
 
 BANDS, ROWS = 32, 4
 #: Largest bucket that is compared pair by pair; documents in a block of larger ones; shingles in a matrix.
 SMALL, BLOCK, COLUMNS = 6, 512, 4096
 #: Shingles whose signatures are made at once.
-CHUNK = 150_000
+CHUNK = 60_000
 _EMPTY = np.uint64(2**64 - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -263,7 +263,7 @@ def _compare_in_blocks(inside: DataFrame, bodies: DataFrame) -> DataFrame:
     )
     spread = dealt.select("family", "rep", "label", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_rest)).alias("t"))
     full = spread.join(bodies, "rep").select("family", "t.i", "t.j", "t.main", "t.side", "rep", "label", "body")
-    return full.groupBy("family", "i", "j", "main").applyInArrow(_block_links, "a long, b long")
+    return full.groupBy("family", "i", "j", "main").applyInArrow(released(_block_links), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5) -> DataFrame:
@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         pairs, large = cut(pairs), inside.where(F.col("c") > SMALL)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
         bodies = cut(_sets_of(needed, docs, key, text, shingle_words))
-        found = links.union(_confirm_sets(pairs, bodies)).union(_compare_in_blocks(large, bodies))
+        # written first, so no task runs the comparison and the union-find side by side
+        found = cut(links.union(_confirm_sets(pairs, bodies)).union(_compare_in_blocks(large, bodies)))
         groups = connected_components(found)
 
     sets = signed.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mix, pack, random_table, shuffle_partitions, unpack
+from weftline.llm.common import mix, pack, random_table, release, released, released_pair, shuffle_partitions, unpack
 
 LENGTH, LEAD = 50, 26
 _SPREAD = LENGTH - LEAD  # furthest that an anchor stands from its string's start
@@ -238,6 +238,8 @@ def _screen_map(hot: np.ndarray, buckets: int):
                     ids, leads, ordinals, size = [], [], [], 0
         if out := send(ids, leads, ordinals):
             yield out
+        del ids, leads, ordinals
+        release()
 
     return run
 
@@ -493,16 +495,16 @@ def _marked(docs: DataFrame, key: str, text: str, buckets: int | None, carry: li
     texts = whole.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
     hot, splitters = _sampled(texts, docs.count(), buckets)
     sent = texts.select("id", "text").mapInArrow(_screen_map(hot, buckets), "bucket int, blob binary")
-    told = sent.groupBy("bucket").applyInArrow(_screen_bucket(groups), "group int, blob binary")
+    told = sent.groupBy("bucket").applyInArrow(released(_screen_bucket(groups)), "group int, blob binary")
     dealt = whole.select(F.coalesce(_group_column(F.col("id"), groups), F.pmod(F.hash("text"), F.lit(groups))).alias("group"), "id", F.xxhash64("id", "text").alias("row"), "text", *["carried"] * bool(carry))
-    suffixes = dealt.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(_suffix_map(hot, splitters, buckets), "bucket int, blob binary")
-    return dealt, suffixes.groupBy("bucket").applyInArrow(_suffix_bucket(groups), "group int, blob binary")
+    suffixes = dealt.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(released_pair(_suffix_map(hot, splitters, buckets)), "bucket int, blob binary")
+    return dealt, suffixes.groupBy("bucket").applyInArrow(released(_suffix_bucket(groups)), "group int, blob binary")
 
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans: start, end, start, end ... in bytes."""
     dealt, marks = _marked(docs, key, text, buckets, [])
-    out = dealt.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(_finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    out = dealt.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(released_pair(_finish), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return out.withColumnRenamed("id", key)
 
 
@@ -524,7 +526,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", buc
             gone.append(bool(body) and not left)
         return pa.table({"left": pa.array(texts, pa.binary()).cast(pa.string()), "gone": pa.array(gone, pa.bool_()), "carried": rows.column("carried")})
 
-    cleaned = dealt.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(cut_out, f"left string, gone boolean, carried {carried}").where(~F.col("gone"))
+    cleaned = dealt.groupBy("group").cogroup(marks.groupBy("group")).applyInArrow(released_pair(cut_out), f"left string, gone boolean, carried {carried}").where(~F.col("gone"))
     new = {text: F.col("left")} | ({"n_chars": F.char_length("left").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
     return cleaned.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in names])
 

@@ -270,16 +270,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key
         known: dict[str, np.ndarray | None] = {}
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, scores, at = text_bytes(batch.column(2)), [], 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 1 << 22):
-                    size += len(texts[upto])
-                    upto += 1
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                scores += model.score(pool(model.kernel, [words_of(t.decode()) for t in texts[at:upto]], known)).tolist()
-                at = upto
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            scores = model.score(pool(model.kernel, [words_of(t.decode()) for t in text_bytes(batch.column(2))], known)).tolist()
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[key, "held_out", "score", "predicted"])
 
         return each
