@@ -58,6 +58,8 @@ class Output:
 
 
 KINDS = "InputOp DataOp MessageOp DataRetrievalOp FormatOp LambdaOp RouterOp LLMChatOp LLMCompletionOp LLMVisionOp ImageGenerationOp EmbeddingOp ClassificationOp HttpFetchOp".split()
+#: Settings that name a step.
+REFERENCES = ("node", "query", "candidates", "content", "image_source", "history", "prompt")
 #: The column that an output without a path shows.
 DEFAULT_COLUMN = {"InputOp": "value", "DataOp": "value", "HttpFetchOp": "json", "EmbeddingOp": "embedding", "ImageGenerationOp": "image", "MessageOp": "messages"}
 
@@ -111,9 +113,16 @@ class Workflow:
 
         def moved(x: Any) -> Any:
             if isinstance(x, dict):
-                return {k: to.get(v, v) if k == "node" else moved(v) for k, v in x.items()}
+                return {k: renamed(k, v) for k, v in x.items()}
             return [moved(v) for v in x] if isinstance(x, list) else x
 
+        def renamed(k: str, v: Any) -> Any:
+            if k in REFERENCES and isinstance(v, str):
+                return to.get(v, v)
+            if k == "format_kwargs" and v:
+                return {label: to.get(r, r) for label, r in v.items()}
+            return [to.get(r, r) for r in v] if k == "format_args" and v else moved(v)
+
         kept: dict[str, Step] = {}
         for i in self.order():
             s = self.steps[i]
