@@ -268,14 +268,49 @@ def test_lm_probabilities_sum_to_one():
     import numpy as np
 
     counts = lm_score.BitCounts()
-    counts.add([b"abracadabra " * 50])
-    mixer = lm_score.Mixer.from_counts(counts.seen)
-    mixer.train([b"abracadabra " * 50])
+    met = lm_score.DistinctContexts(counts.add)
+    met.add([b"abracadabra " * 50])
+    met.close()
+    learner = lm_score.Learner(counts.seen.astype(np.float32))
+    met = lm_score.DistinctContexts(learner.add)
+    met.add([b"abracadabra " * 50])
+    met.close()
+    mixer = lm_score.Mixer.from_counts(counts.seen).learned(learner.state * 2)  # as two tasks that learned the same
+    assert mixer.weights == pytest.approx(learner.mixer.weights)
     codes = np.arange(256, dtype=np.uint64) | np.uint64(ord("b")) << np.uint64(8) | np.uint64(ord("a")) << np.uint64(16)
     assert np.exp2(-mixer.bits(codes)).sum() == pytest.approx(1, abs=1e-6)
     assert lm_score.CachedScorer(mixer)([b"abracadabra"])[0] < lm_score.CachedScorer(mixer)([b"zzqqkkxxjjv"])[0]
 
 
+def test_lm_counts_do_not_depend_on_tasks(docs, monkeypatch):
+    import numpy as np
+
+    texts = [r["text"].encode() for r in docs.where("text is not null").collect()]
+    whole = lm_score.BitCounts()
+    whole.add(*np.unique(lm_score.contexts(texts), return_counts=True))
+    monkeypatch.setattr(lm_score, "HELD", 2000)  # contexts are worked off many times
+    parts = lm_score.BitCounts()
+    met = lm_score.DistinctContexts(parts.add)
+    for t in texts:
+        met.add([t])
+    met.close()
+    assert (parts.seen == whole.seen).all()
+
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    rows = docs.select("text").where("text is not null").repartition(5)
+    sums = lm_score._summed(rows, lm_score._count_map(np.zeros(0, np.uint64)))
+    assert sums[-1][1] == len(texts)
+    assert (np.concatenate([sums[i] for i in range(lm_score.PARTS)]) == whole.seen.ravel()).all()
+
+
+def test_lm_learns_from_every_training_text(docs):
+    base = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
+    held = next(d for d in sorted(base) if zlib.crc32(str(d).encode()) % 10 == 0 and base[d] < 0)
+    taught = next(d for d in sorted(base, reverse=True) if zlib.crc32(str(d).encode()) % 10)
+    other = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs.where(f"doc_id != {taught}")).collect()}
+    assert other[held] != base[held]
+
+
 def contamination(texts, items):
     windows = defaultdict(set)
     for i, t in items:

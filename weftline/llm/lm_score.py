@@ -2,11 +2,12 @@
 
 Model. A byte is eight binary decisions. For each of four orders a context of the last 1 to 4 bytes and
 the bits so far is hashed into a table of zeros and ones seen. The tables are counted from all training
-texts: each task adds up its own, and fixed-size sums meet in a shuffle. The predictors' log-odds are
-mixed by weights that the bits so far select; the weights learn online on a bounded sample of training
-texts (``SAMPLE_TEXTS`` whole texts of at most ``SAMPLE_BYTES`` bytes each), and so does the adaptive
-map that refines the mixed probability by the last byte. For scoring the model is frozen, so a score
-depends on no other text scored before; equal contexts are looked up in a cache.
+texts: each task adds up its own, and fixed-size sums meet in rounds of ``FAN`` tasks. The predictors'
+log-odds are mixed by weights that the bits so far select. A second pass over all training texts learns
+them: each task learns online, a context seeing the tables without its own occurrence, and the tasks'
+weights are averaged by their bytes. The map that refines the mixed probability by the last byte adapts
+in the same pass, as sums that are added up. For scoring the model is frozen, so a score depends on no
+other text scored before; equal contexts are looked up in a cache.
 
 Base. Tokens (words, then one end) are counted over all training texts. Words that a bounded sample
 finds in many documents are counted in the first pass and travel with the plan; all other (document,
@@ -21,7 +22,7 @@ With no training rows all counts are 0.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ from weftline.llm.common import WordHasher, crc_remainder, cut, mix, pack, rando
 ORDERS, SLOT_BITS = 4, 20
 #: Table parts in the shuffle of counts.
 PARTS = 64
-SAMPLE_TEXTS, SAMPLE_BYTES = 400, 1 << 16
+#: Sums that one task adds up; distinct contexts that a task holds before it works them off.
+FAN, HELD = 64, 1 << 20
 #: Sampled documents for frequent words, and the share of them that makes a word frequent.
 SAMPLE_DOCS, FREQUENT_SHARE = 3000, 0.005
 #: Bytes of text handled at once, and gathered before pairs are sent.
@@ -70,14 +72,40 @@ def bit_of(code: np.ndarray, bit: int) -> np.ndarray:
     return ((code >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
 
 
+class DistinctContexts:
+    """Contexts of texts and how often each occurs, worked off by ``use(codes, times)`` whenever many are held."""
+
+    def __init__(self, use: Callable[[np.ndarray, np.ndarray], None]):
+        self.use, self.held, self.size = use, [], 0
+
+    def add(self, texts: list[bytes]) -> None:
+        self.held.append(np.unique(contexts(texts), return_counts=True))
+        self.size += len(self.held[-1][0])
+        if self.size >= HELD:
+            self._merge()
+            if self.size >= HELD // 2:
+                self.close()
+
+    def _merge(self) -> None:
+        codes, back = np.unique(np.concatenate([c for c, _ in self.held]), return_inverse=True)
+        times = np.zeros(len(codes), np.int64)
+        np.add.at(times, back, np.concatenate([t for _, t in self.held]))
+        self.held, self.size = [(codes, times)], len(codes)
+
+    def close(self) -> None:
+        if self.held:
+            self._merge()
+            self.use(*self.held[0])
+        self.held, self.size = [], 0
+
+
 class BitCounts:
     """Zeros and ones seen in each slot of each order."""
 
     def __init__(self):
         self.seen = np.zeros((ORDERS, 2, 1 << SLOT_BITS), np.int64)
 
-    def add(self, texts: list[bytes]) -> None:
-        codes, times = np.unique(contexts(texts), return_counts=True)
+    def add(self, codes: np.ndarray, times: np.ndarray) -> None:
         for bit in range(8):
             value = bit_of(codes, bit)
             for k, slot in enumerate(slots(codes, bit)):
@@ -92,56 +120,81 @@ def _squash(x: np.ndarray) -> np.ndarray:
 class Mixer:
     """Weights gated by the bits so far, and a map that refines the result by the last byte."""
 
-    STEPS = 33
+    STEPS, PRIOR = 33, 20
 
-    def __init__(self, odds: np.ndarray):
+    def __init__(self, odds: np.ndarray | None):
         self.odds = odds  # orders x slots, float32
         self.weights = np.full((256, ORDERS), 0.35)
-        grid = _squash(np.linspace(-8, 8, self.STEPS))
-        self.map = np.tile(grid, (256, 1))
+        self.map = np.tile(_squash(np.linspace(-8, 8, self.STEPS)), (256, 1))
 
     @classmethod
     def from_counts(cls, seen: np.ndarray) -> Mixer:
         return cls(np.log((seen[:, 1] + 0.4) / (seen[:, 0] + 0.4)).astype(np.float32))
 
-    def _parts(self, codes: np.ndarray, bit: int):
-        inputs = np.stack([self.odds[k][s] for k, s in enumerate(slots(codes, bit))], axis=1).astype(np.float64)
+    def learned(self, state: np.ndarray) -> Mixer:
+        """This mixer with the summed states of its learners."""
+        if len(state) and state[-1] > 0:
+            cut = self.weights.size
+            self.weights = (state[:cut] / state[-1]).reshape(self.weights.shape)
+            ones, all_ = state[cut: -1].reshape(2, *self.map.shape)
+            self.map = (self.map * self.PRIOR + ones) / (self.PRIOR + all_)
+        return self
+
+    def mix(self, inputs: np.ndarray, codes: np.ndarray, bit: int):
+        """Mixed log-odds, their gates, and the place in the map: last byte, lower cell, share of the upper one."""
         gate = ((1 << bit) | ((codes & np.uint64(0xFF)) >> np.uint64(8 - bit)).astype(np.int64)).astype(np.int64)
         mixed = (inputs * self.weights[gate]).sum(axis=1)
         at = (np.clip(mixed, -7.999, 7.999) + 8) * (self.STEPS - 1) / 16
         low = at.astype(np.int64)
-        last = ((codes >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)
-        refined = self.map[last, low] * (1 - (at - low)) + self.map[last, low + 1] * (at - low)
-        return inputs, gate, mixed, last, low, at - low, refined
-
-    def train(self, texts: list[bytes], batch: int = 8192, rate: float = 0.02) -> None:
-        codes = contexts(texts)
-        codes = codes[np.random.default_rng(3).permutation(len(codes))]
-        for a in range(0, len(codes), batch):
-            part = codes[a: a + batch]
-            for bit in range(8):
-                inputs, gate, mixed, last, low, share, _ = self._parts(part, bit)
-                value = bit_of(part, bit)
-                size = np.maximum(np.bincount(gate, minlength=256), 1)
-                step = np.zeros_like(self.weights)
-                np.add.at(step, gate, (value - _squash(mixed))[:, None] * inputs)
-                self.weights += rate * np.sqrt(size)[:, None] * step / size[:, None]
-                moved, seen = np.zeros_like(self.map), np.full(self.map.shape, 1e-9)
-                for column, w in ((low, 1 - share), (low + 1, share)):
-                    np.add.at(moved, (last, column), w * (value - self.map[last, column]))
-                    np.add.at(seen, (last, column), w)
-                self.map += moved / (seen + 20)
+        return mixed, gate, ((codes >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64), low, at - low
 
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """The cost in bits of each code's byte in its context."""
         out = np.zeros(len(codes))
         for bit in range(8):
-            _, _, mixed, _, _, _, refined = self._parts(codes, bit)
+            inputs = np.stack([self.odds[k][s] for k, s in enumerate(slots(codes, bit))], axis=1).astype(np.float64)
+            mixed, _, last, low, share = self.mix(inputs, codes, bit)
+            refined = self.map[last, low] * (1 - share) + self.map[last, low + 1] * share
             p = np.clip((_squash(mixed) + refined) / 2, 1e-5, 1 - 1e-5)
             out -= np.log2(np.where(bit_of(codes, bit) == 1, p, 1 - p))
         return out
 
 
+class Learner:
+    """A task's mixer that learns online; ``state`` can be added to those of other tasks."""
+
+    def __init__(self, seen: np.ndarray):
+        self.seen, self.mixer, self.bytes = seen, Mixer(None), 0
+        self.sums = np.zeros((2, *self.mixer.map.shape))  # ones and all, in each cell of the map
+        self.moved = np.zeros_like(self.mixer.weights)
+        self.random = np.random.default_rng(3)
+
+    def add(self, codes: np.ndarray, times: np.ndarray, batch: int = 1024) -> None:
+        order = self.random.permutation(len(codes))
+        for a in range(0, len(codes), batch):
+            self._step(codes[order[a: a + batch]], times[order[a: a + batch]])
+        self.bytes += int(times.sum())
+
+    def _step(self, codes: np.ndarray, times: np.ndarray, rate: float = 0.03) -> None:
+        for bit in range(8):
+            value = bit_of(codes, bit)
+            # the tables without this occurrence
+            inputs = np.stack([np.log((self.seen[k, 1][s] - value + 0.4) / (self.seen[k, 0][s] - 1 + value + 0.4)) for k, s in enumerate(slots(codes, bit))], axis=1)
+            mixed, gate, last, low, share = self.mixer.mix(inputs, codes, bit)
+            step = np.zeros_like(self.mixer.weights)
+            np.add.at(step, gate, (times * (value - _squash(mixed)))[:, None] * inputs)
+            step /= np.maximum(np.bincount(gate, weights=times, minlength=256), 1)[:, None]
+            self.moved += step * step
+            self.mixer.weights += rate * step / np.sqrt(self.moved + 1e-6)  # smaller steps where many were made
+            for cell, weight in ((low, times * (1 - share)), (low + 1, times * share)):
+                np.add.at(self.sums[0], (last, cell), weight * value)
+                np.add.at(self.sums[1], (last, cell), weight)
+
+    @property
+    def state(self) -> np.ndarray:
+        return np.concatenate([self.mixer.weights.ravel() * self.bytes, self.sums.ravel(), [self.bytes]])
+
+
 class CachedScorer:
     """Bits of whole texts; the costs of contexts seen lately are kept in a direct-mapped table."""
 
@@ -231,6 +284,7 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _count_map(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, counts = BlockWords(), BitCounts()
+        seen_contexts = DistinctContexts(counts.add)
         seen, tokens, rows = np.zeros(len(frequent), np.int64), 0, 0
         for batch in batches:
             texts = text_bytes(batch.column(0))
@@ -240,35 +294,76 @@ def _count_map(frequent: np.ndarray):
                 tokens += len(hashes)
                 at, hit = _is_in(hashes, frequent)
                 seen += np.bincount(at[hit], minlength=len(frequent))
-                counts.add(texts[part])
+                seen_contexts.add(texts[part])
         if not rows:
             return
+        seen_contexts.close()
         flat = counts.seen.reshape(PARTS, -1)
         blobs = [(-1, pack(np.concatenate([[tokens, rows], seen]).astype(np.int64)))]
-        for i in range(PARTS):
-            at = np.flatnonzero(flat[i])
-            blobs.append((i, pack(np.diff(at, prepend=0).astype(np.uint32), flat[i][at])))
+        blobs += [(i, _sparse(flat[i])) for i in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["part", "blob"])
-        del counts, blobs, flat
+        del counts, blobs, flat, seen_contexts
         release()
 
     return run
 
 
-def _count_sum(table: pa.Table) -> pa.Table:
-    part, total = table.column("part")[0].as_py(), 0
+def _sparse(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    return pack(np.diff(at, prepend=0).astype(np.uint32), counts[at])
+
+
+def _dense(blob: bytes) -> np.ndarray:
+    gaps, counts = unpack(blob)
+    out = np.zeros(ORDERS * 2 * (1 << SLOT_BITS) // PARTS, np.int64)
+    out[np.cumsum(gaps.astype(np.int64))] = counts
+    return out
+
+
+def _sum_blobs(table: pa.Table) -> pa.Table:
+    """One blob for those of a part: plain arrays (part below 0) or sparse counts."""
+    part, task, total = table.column("part")[0].as_py(), table.column("task")[0].as_py(), 0
     for blob in table.column("blob").to_pylist():
-        arrays = unpack(blob)
-        if part < 0:
-            total = total + arrays[0]
-        else:
-            if isinstance(total, int):
-                total = np.zeros(ORDERS * 2 * (1 << SLOT_BITS) // PARTS, np.int64)
-            total[np.cumsum(arrays[0].astype(np.int64))] += arrays[1]
-    return pa.table({"part": pa.array([part], pa.int32()), "blob": pa.array([pack(total)], pa.binary())})
+        total = total + (unpack(blob)[0] if part < 0 else _dense(blob))
+    return pa.table({"part": pa.array([part], pa.int32()), "task": pa.array([task], pa.int64()), "blob": pa.array([pack(total) if part < 0 else _sparse(total)], pa.binary())})
+
+
+def _summed(texts: DataFrame, run) -> dict[int, np.ndarray]:
+    """The sums of what each task of ``run`` sends, added up in rounds, so no task reads more than ``FAN`` blobs of a part."""
+    sent = texts.mapInArrow(run, "part int, blob binary").withColumn("task", F.spark_partition_id().cast("long"))
+    tasks = texts.rdd.getNumPartitions()
+    while True:
+        sent = sent.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("part", "task").applyInArrow(released(_sum_blobs), "part int, task long, blob binary")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    sums: dict[int, np.ndarray] = {}
+    for r in sent.collect():  # one row of a part, or a few if the plan changed its partitions
+        sums[r["part"]] = sums.get(r["part"], 0) + (unpack(r["blob"])[0] if r["part"] < 0 else _dense(r["blob"]))
+    return sums
+
+
+# Second pass: weights and map from all training texts
+
+
+def _learn_map(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(held.value)
+        met = DistinctContexts(learner.add)
+        for batch in batches:
+            texts = text_bytes(batch.column(0))
+            for part in _blocks(texts):
+                met.add(texts[part])
+        met.close()
+        if learner.bytes:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pack(learner.state)], pa.binary())], names=["part", "blob"])
+        del learner, met
+        release()
+
+    return run
 
 
-# Second pass: every text
+# Third pass: every text
 
 
 def _score_map(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_known: bool, known: np.ndarray, model, buckets: int):
@@ -414,14 +509,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     frequent = _frequent(rows, docs.count())
 
     training = rows.where(~F.col("held_out"))
-    sums = {r["part"]: unpack(r["blob"])[0] for r in training.select("text").mapInArrow(_count_map(frequent), "part int, blob binary").groupBy("part").applyInArrow(released(_count_sum), "part int, blob binary").collect()}
+    sums = _summed(training.select("text"), _count_map(frequent))
     head = sums.get(-1, np.zeros(2 + len(frequent), np.int64))
     words, train_rows, counted = int(head[0]), int(head[1]), head[2:]
     empty = np.zeros(ORDERS * 2 * (1 << SLOT_BITS) // PARTS, np.int64)
-    mixer = Mixer.from_counts(np.concatenate([sums.get(i, empty) for i in range(PARTS)]).reshape(ORDERS, 2, -1))
+    seen = np.concatenate([sums.get(i, empty) for i in range(PARTS)]).reshape(ORDERS, 2, -1)
     del sums
-    short = training.where(F.octet_length("text") <= SAMPLE_BYTES)
-    mixer.train([r["text"].encode() for r in short.orderBy(F.xxhash64("seq")).limit(SAMPLE_TEXTS).select("text").collect()])
+    held = spark.sparkContext.broadcast(seen.astype(np.float32))
+    mixer = Mixer.from_counts(seen).learned(_summed(training.select("text"), _learn_map(held)).get(-1, np.zeros(0)))
+    held.unpersist()
+    del seen
 
     score = _score_map(frequent, np.log10(counted + 0.1), math.log10(train_rows + 0.1), train_rows > 0, counted > 0, Model(spark, mixer), buckets)
     sent = rows.select("seq", (~F.col("held_out")).alias("train"), "text", "id").mapInArrow(score, "bucket int, blob binary")
