@@ -193,6 +193,26 @@ def test_toxic_words_with_gaps_are_near():
     assert same > 0.99 and gapped > 0.2 and other == 0
 
 
+def test_one_insult_is_enough():
+    rnd = random.Random(4)
+    plain = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(200)]
+    insults = ["blockhead", "wazzock", "numpty"]
+    sample = []
+    for i in range(400):
+        words = [rnd.choice(plain) for _ in range(60)]
+        for _ in range(3 * (i % 2)):  # three insults in each toxic text
+            words.insert(rnd.randrange(len(words)), rnd.choice(insults))
+        sample.append((" ".join(words), i % 2))
+    model = toxicity.fit(sample)
+
+    def score(text):
+        return model.score(toxicity.pool(model.kernel, [toxicity.words_of(text)], {}))[0]
+
+    clean = " ".join(plain[:60])
+    assert score(clean) < 0.5 and score("") < 0.5
+    assert all(score(f"{clean} {w}") >= 0.5 for w in insults)
+
+
 def removed(texts):
     seen, out = {}, {}
     for d, t in sorted(texts, key=lambda x: x[0]):

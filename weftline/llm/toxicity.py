@@ -7,7 +7,8 @@ landmarks' own kernel matrix turns these into Nystroem features for a linear mac
 logistic curve maps to a score. Single letters that stand apart in a row are read as one word too.
 
 Landmarks are the word parts that tell toxic from other labelled texts: those in many toxic texts that
-hardly occur elsewhere, whole insults before their pieces. Everything is learned from a bounded sample: at most
+hardly occur elsewhere, whole insults before their pieces, and that do so in a second part of the sample
+too. Each landmark alone counts as a toxic example, as one insult is enough. Everything is learned from a bounded sample: at most
 ``PER_LABEL`` texts of a label and ``MAX_BYTES`` bytes a text, none held out. All texts are scored whole.
 
 Null and empty texts have no words and get the score of no match. If the sample lacks a label, the
@@ -32,7 +33,7 @@ from weftline.llm.common import crc_remainder, map_batches, text_bytes
 from weftline.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 PER_LABEL, MAX_BYTES = {0: 2000, 1: 1200}, 32_768
-LANDMARKS, DECAY, FLOOR = 64, 0.8, 0.45
+LANDMARKS, DECAY, FLOOR = 64, 0.8, 0.5
 #: Toxic texts that must hold a landmark: so many, and such a share.
 MIN_TEXTS, MIN_SHARE = 4, 0.025
 #: What a clean text weighs against a toxic one when margins become scores: most texts are clean.
@@ -237,6 +238,13 @@ def pool(kernel: Kernel, texts: list[set[str]], known: dict[str, np.ndarray | No
     return out
 
 
+def confirmed(pooled: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Landmarks that also tell toxic texts from others among texts that they weren't chosen from."""
+    toxic, other = (np.array((pooled[labels == v] > 0.5).sum(axis=0)) for v in (1, 0))
+    rate = max(1, (labels == 0).sum()) / max(1, (labels == 1).sum())
+    return (toxic >= 2) & (toxic * rate >= 8 * other)
+
+
 def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     labels = np.array([v for _, v in sample], np.int64)
     if len(set(labels.tolist())) < 2:
@@ -249,16 +257,26 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     of = {v: [i for i in np.flatnonzero(learn) if labels[i] == v] for v in (0, 1)}
     kernel = Kernel(choose_landmarks([texts[i] for i in of[1]], [texts[i] for i in of[0]], [sample[i][0] for i in of[0]]))
     pooled = pool(kernel, texts, {})
+    if kernel.landmarks and not learn.all():
+        told = confirmed(pooled[~learn], labels[~learn])
+        kernel, pooled = Kernel([z for z, ok in zip(kernel.landmarks, told, strict=True) if ok]), pooled[:, told]
+    alone, times = np.zeros((0, 0)), 0  # a landmark without other insults is toxic too
     if kernel.landmarks:
         gram = kernel(kernel.landmarks)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         whiten = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
+        alone, times = gram, -(-int((labels == 1).sum()) // len(gram))
     else:
         whiten = np.zeros((0, 0))
     model = ToxicityModel(kernel, whiten, np.zeros(len(whiten) + 1), 1.0, 0.0)
-    model.weights = hinge_machine((pooled @ whiten)[learn], labels[learn])
-    rest = ~learn if (~learn).any() else learn
-    model.slope, model.bias = map(float, fit_logistic(model.margin(pooled[rest])[:, None], labels[rest], ridge=0.1, zeros=CLEAN_WEIGHT))
+
+    def joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.vstack([pooled[rows], *[alone] * times]), np.concatenate([labels[rows], np.ones(len(alone) * times, np.int64)])
+
+    x, y = joined(learn)
+    model.weights = hinge_machine(x @ whiten, y)
+    x, y = joined(~learn if not learn.all() else learn)
+    model.slope, model.bias = map(float, fit_logistic(model.margin(x)[:, None], y, ridge=0.1, zeros=CLEAN_WEIGHT))
     return model
 
 
