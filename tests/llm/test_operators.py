@@ -195,7 +195,7 @@ def test_toxic_words_with_gaps_are_near():
 
 def test_one_insult_is_enough():
     rnd = random.Random(4)
-    plain = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(200)]
+    plain = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(4000)]
     insults = ["blockhead", "wazzock", "numpty"]
     sample = []
     for i in range(400):

@@ -8,7 +8,7 @@ logistic curve maps to a score. Single letters that stand apart in a row are rea
 
 Landmarks are the word parts that tell toxic from other labelled texts: those in many toxic texts that
 hardly occur elsewhere, whole insults before their pieces, and that do so in a second part of the sample
-too. Each landmark alone counts as a toxic example, as one insult is enough. Everything is learned from a bounded sample: at most
+too. Each such landmark alone counts as a toxic example, as one insult is enough. Everything is learned from a bounded sample: at most
 ``PER_LABEL`` texts of a label and ``MAX_BYTES`` bytes a text, none held out. All texts are scored whole.
 
 Null and empty texts have no words and get the score of no match. If the sample lacks a label, the
@@ -260,12 +260,13 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     if kernel.landmarks and not learn.all():
         told = confirmed(pooled[~learn], labels[~learn])
         kernel, pooled = Kernel([z for z, ok in zip(kernel.landmarks, told, strict=True) if ok]), pooled[:, told]
-    alone, times = np.zeros((0, 0)), 0  # a landmark without other insults is toxic too
+    alone, times = np.zeros((0, 0)), 0  # a confirmed landmark without other insults is toxic too
     if kernel.landmarks:
         gram = kernel(kernel.landmarks)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         whiten = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-        alone, times = gram, -(-int((labels == 1).sum()) // len(gram))
+        if not learn.all():
+            alone, times = gram, -(-int((labels == 1).sum()) // len(gram))
     else:
         whiten = np.zeros((0, 0))
     model = ToxicityModel(kernel, whiten, np.zeros(len(whiten) + 1), 1.0, 0.0)
