@@ -323,6 +323,37 @@ def test_lm_counts_do_not_depend_on_tasks(docs, monkeypatch):
     assert (np.concatenate([sums[i] for i in range(lm_score.PARTS)]) == whole.seen.ravel()).all()
 
 
+def test_lm_contexts_never_share_counts():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    codes, times = lm_score.summed_codes(rnd.integers(0, 1 << 40, 400_000, dtype=np.uint64), np.ones(400_000, np.int64))  # more nodes than 2^20
+    counts = lm_score.ContextCounts(np.zeros((2, 1 << 16), np.int64), lm_score.low_codes(codes, times, 2), (codes, times))
+    some = codes[::4000]
+    found = list(counts.each_bit(some))
+    for k in (2, 3, 4):
+        mask = np.uint64((1 << 8 * (k + 1)) - 1)
+        keys, sums = lm_score.low_codes(codes, times, k)
+        for bit in range(8):
+            ends = (some & mask) >> np.uint64(7 - bit)
+            seen = keys >> np.uint64(7 - bit)
+            for v in (0, 1):
+                want = [sums[seen == (e & ~np.uint64(1) | np.uint64(v))].sum() for e in ends]
+                assert found[bit][v][:, k - 1].tolist() == want
+
+
+def test_lm_table_grows_with_the_corpus(spark):
+    import numpy as np
+
+    rnd = random.Random(8)
+    texts = ["".join(chr(rnd.randint(33, 126)) for _ in range(4000)) for _ in range(40)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    parts = rows.mapInArrow(lm_score._code_map(7), "part int, blob binary").groupBy("part").applyInArrow(lm_score._sum_codes, "part int, blob binary").collect()
+    codes, times = lm_score.summed_codes(*lm_score._unpack_codes([r["blob"] for r in parts]))
+    want, n = np.unique(lm_score.contexts([t.encode() for t in texts]), return_counts=True)
+    assert len(parts) == 7 and codes.tolist() == want.tolist() and times.tolist() == n.tolist()
+
+
 def test_lm_learns_from_every_training_text(docs):
     base = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
     held = next(d for d in sorted(base) if zlib.crc32(str(d).encode()) % 10 == 0 and base[d] < 0)

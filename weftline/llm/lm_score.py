@@ -1,13 +1,15 @@
-"""Operator 9, LM scoring: logistic context mixing over hashed-context bit predictors, beside a unigram base.
-
-Model. A byte is eight binary decisions. For each of four orders a context of the last 1 to 4 bytes and
-the bits so far is hashed into a table of zeros and ones seen. The tables are counted from all training
-texts: each task adds up its own, and fixed-size sums meet in rounds of ``FAN`` tasks. The predictors'
-log-odds are mixed by weights that the bits so far select. A second pass over all training texts learns
-them: each task learns online, a context seeing the tables without its own occurrence, and the tasks'
-weights are averaged by their bytes. The map that refines the mixed probability by the last byte adapts
-in the same pass, as sums that are added up. For scoring the model is frozen, so a score depends on no
-other text scored before; equal contexts are looked up in a cache.
+"""Operator 9, LM scoring: logistic context mixing over exact byte contexts, beside a unigram base.
+
+Model. A byte is eight binary decisions. For each of four orders, a context of the last 1 to 4 bytes and
+the bits so far has its own numbers of zeros and ones seen, whatever the corpus' size. They come from
+codes, a byte with the four before it, and how often each occurs in all training texts: a table of rows
+that grows with the corpus, dealt to parts by the last three context bytes, so a part has all that orders
+3 and 4 need. Orders 1 and 2 have at most 2^16 and 2^24 codes; they are summed up and travel with the plan.
+The predictors' log-odds are mixed by weights that the bits so far select. They are learned from all parts
+of the table: each task learns online, a context seeing its counts without its own occurrence, and the
+tasks' weights are averaged by their bytes. The map that refines the mixed probability by the last byte
+adapts alongside, as sums that are added up. For scoring the model is frozen, so a score depends on no
+other text scored before: blocks of texts ask the parts for the costs of their distinct codes.
 
 Base. Tokens (words, then one end) are counted over all training texts. Words that a bounded sample
 finds in many documents are counted in the first pass and travel with the plan; all other (document,
@@ -29,30 +31,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHasher, crc_remainder, cut, mix, pack, random_table, release, released, shuffle_partitions, text_bytes, unpack
+from weftline.llm.common import WordHasher, crc_remainder, cut, mix, pack, random_table, release, released, released_pair, shuffle_partitions, text_bytes, unpack
 
-ORDERS, SLOT_BITS = 4, 20
-#: Table parts in the shuffle of counts.
+ORDERS = 4
+#: Parts in the shuffle of counts of low orders.
 PARTS = 64
 #: Sums that one task adds up; distinct contexts that a task holds before it works them off.
 FAN, HELD = 64, 1 << 20
 #: Sampled documents for frequent words, and the share of them that makes a word frequent.
 SAMPLE_DOCS, FREQUENT_SHARE = 3000, 0.005
-#: Bytes of text handled at once, and gathered before pairs are sent.
-BLOCK, GATHER = 1 << 21, 16 << 20
+#: Bytes of text handled at once, and gathered to a block that asks for costs.
+BLOCK, GATHER = 1 << 21, 8 << 20
 CACHE_BITS = 22
-_SALTS = random_table(91, ORDERS)
 _SPREAD = random_table(92, 1)[0]
-_SLOTS = np.uint64(64 - SLOT_BITS)
+_NO_CODES = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def contexts(texts: list[bytes]) -> np.ndarray:
+def contexts(texts: list[bytes], orders: int = ORDERS) -> np.ndarray:
     """For each byte of the texts laid end to end: it and the four bytes before it, in a number of 40 bits."""
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
     sizes = np.array([len(t) for t in texts], np.int64)
     position = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = data.copy()
-    for k in range(1, ORDERS + 1):
+    for k in range(1, orders + 1):
         before = np.zeros(len(data), np.uint64)
         before[k:] = data[:-k] if k <= len(data) else data[:0]
         before[position < k] = 0
@@ -60,14 +61,6 @@ def contexts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def slots(code: np.ndarray, bit: int) -> Iterator[np.ndarray]:
-    """The table slot of the bit's context, for each order."""
-    node = (np.uint64(1) << np.uint64(bit)) | ((code & np.uint64(0xFF)) >> np.uint64(8 - bit))
-    for k in range(1, ORDERS + 1):
-        context = (code >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1)
-        yield (mix((context << np.uint64(8) | node) + _SALTS[k - 1]) >> _SLOTS).astype(np.int64)
-
-
 def bit_of(code: np.ndarray, bit: int) -> np.ndarray:
     return ((code >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
 
@@ -100,17 +93,66 @@ class DistinctContexts:
 
 
 class BitCounts:
-    """Zeros and ones seen in each slot of each order."""
+    """Zeros and ones seen after each last byte and the bits so far: order 1, a place for every one."""
 
     def __init__(self):
-        self.seen = np.zeros((ORDERS, 2, 1 << SLOT_BITS), np.int64)
+        self.seen = np.zeros((2, 1 << 16), np.int64)
 
     def add(self, codes: np.ndarray, times: np.ndarray) -> None:
         for bit in range(8):
-            value = bit_of(codes, bit)
-            for k, slot in enumerate(slots(codes, bit)):
-                for v in (0, 1):
-                    np.add.at(self.seen[k, v], slot[value == v], times[value == v])
+            value, at = bit_of(codes, bit), _first(codes, bit)
+            for v in (0, 1):
+                np.add.at(self.seen[v], at[value == v], times[value == v])
+
+
+def _first(codes: np.ndarray, bit: int) -> np.ndarray:
+    node = (np.uint64(1) << np.uint64(bit)) | ((codes & np.uint64(0xFF)) >> np.uint64(8 - bit))
+    return ((codes & np.uint64(0xFF00)) | node).astype(np.int64)
+
+
+def summed_codes(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their times."""
+    if not len(codes):
+        return _NO_CODES
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    heads = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[heads], np.add.reduceat(times[order].astype(np.int64), heads)
+
+
+def low_codes(codes: np.ndarray, times: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a lower order."""
+    return summed_codes(codes & np.uint64((1 << 8 * (order + 1)) - 1), times)
+
+
+class ContextCounts:
+    """Exact zeros and ones of contexts: order 1 from ``BitCounts``, order 2 from ``grams``, the others from a part's codes.
+
+    The bytes that follow a context and start with some bits are neighbours among sorted codes, so their number is a difference of running sums.
+    """
+
+    def __init__(self, seen: np.ndarray, grams: tuple[np.ndarray, np.ndarray] = _NO_CODES, codes: tuple[np.ndarray, np.ndarray] = _NO_CODES):
+        self.seen = seen
+        tables = [grams, low_codes(*codes, 3), codes]
+        self.tables = [(k, keys, np.concatenate([[0], np.cumsum(times)])) for k, (keys, times) in enumerate(tables, 2)]
+
+    def each_bit(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each bit the zeros and the ones of each code and order."""
+        spans = []
+        for k, keys, sums in self.tables:
+            start = codes & np.uint64((1 << 8 * (k + 1)) - 256)
+            spans.append([start, *(sums[np.searchsorted(keys, x)] for x in (start, start + np.uint64(256)))])
+        for bit in range(8):
+            at, value = _first(codes, bit), bit_of(codes, bit) == 1
+            zeros, ones = [self.seen[0][at]], [self.seen[1][at]]
+            for (_, keys, sums), span in zip(self.tables, spans, strict=True):
+                start, low, high = span
+                half = start + np.uint64(128 >> bit)
+                middle = sums[np.searchsorted(keys, half)]
+                zeros.append(middle - low)
+                ones.append(high - middle)
+                span[:] = np.where(value, half, start), np.where(value, middle, low), np.where(value, high, middle)
+            yield np.stack(zeros, axis=1), np.stack(ones, axis=1)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -122,14 +164,14 @@ class Mixer:
 
     STEPS, PRIOR = 33, 20
 
-    def __init__(self, odds: np.ndarray | None):
-        self.odds = odds  # orders x slots, float32
+    def __init__(self, counts: ContextCounts | None):
+        self.counts = counts
         self.weights = np.full((256, ORDERS), 0.35)
         self.map = np.tile(_squash(np.linspace(-8, 8, self.STEPS)), (256, 1))
 
     @classmethod
     def from_counts(cls, seen: np.ndarray) -> Mixer:
-        return cls(np.log((seen[:, 1] + 0.4) / (seen[:, 0] + 0.4)).astype(np.float32))
+        return cls(ContextCounts(seen))
 
     def learned(self, state: np.ndarray) -> Mixer:
         """This mixer with the summed states of its learners."""
@@ -151,8 +193,8 @@ class Mixer:
     def bits(self, codes: np.ndarray) -> np.ndarray:
         """The cost in bits of each code's byte in its context."""
         out = np.zeros(len(codes))
-        for bit in range(8):
-            inputs = np.stack([self.odds[k][s] for k, s in enumerate(slots(codes, bit))], axis=1).astype(np.float64)
+        for bit, (zeros, ones) in enumerate(self.counts.each_bit(codes)):
+            inputs = np.log((ones + 0.4) / (zeros + 0.4))
             mixed, _, last, low, share = self.mix(inputs, codes, bit)
             refined = self.map[last, low] * (1 - share) + self.map[last, low + 1] * share
             p = np.clip((_squash(mixed) + refined) / 2, 1e-5, 1 - 1e-5)
@@ -164,22 +206,22 @@ class Learner:
     """A task's mixer that learns online; ``state`` can be added to those of other tasks."""
 
     def __init__(self, seen: np.ndarray):
-        self.seen, self.mixer, self.bytes = seen, Mixer(None), 0
+        self.counts, self.mixer, self.bytes = ContextCounts(seen), Mixer(None), 0
         self.sums = np.zeros((2, *self.mixer.map.shape))  # ones and all, in each cell of the map
         self.moved = np.zeros_like(self.mixer.weights)
         self.random = np.random.default_rng(3)
 
-    def add(self, codes: np.ndarray, times: np.ndarray, batch: int = 1024) -> None:
+    def add(self, codes: np.ndarray, times: np.ndarray, batch: int = 256) -> None:
         order = self.random.permutation(len(codes))
         for a in range(0, len(codes), batch):
             self._step(codes[order[a: a + batch]], times[order[a: a + batch]])
         self.bytes += int(times.sum())
 
     def _step(self, codes: np.ndarray, times: np.ndarray, rate: float = 0.03) -> None:
-        for bit in range(8):
+        for bit, (zeros, ones) in enumerate(self.counts.each_bit(codes)):
             value = bit_of(codes, bit)
-            # the tables without this occurrence
-            inputs = np.stack([np.log((self.seen[k, 1][s] - value + 0.4) / (self.seen[k, 0][s] - 1 + value + 0.4)) for k, s in enumerate(slots(codes, bit))], axis=1)
+            # the counts without this occurrence; those of orders that the learner hasn't are 0
+            inputs = np.log((np.maximum(ones - value[:, None], 0) + 0.4) / (np.maximum(zeros - 1 + value[:, None], 0) + 0.4))
             mixed, gate, last, low, share = self.mixer.mix(inputs, codes, bit)
             step = np.zeros_like(self.mixer.weights)
             np.add.at(step, gate, (times * (value - _squash(mixed)))[:, None] * inputs)
@@ -195,10 +237,21 @@ class Learner:
         return np.concatenate([self.mixer.weights.ravel() * self.bytes, self.sums.ravel(), [self.bytes]])
 
 
+class Costs:
+    """The costs that the table's parts gave for a block's codes."""
+
+    def __init__(self, codes: np.ndarray, costs: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.costs = codes[order], costs[order]
+
+    def bits(self, codes: np.ndarray) -> np.ndarray:
+        return self.costs[np.searchsorted(self.codes, codes)]
+
+
 class CachedScorer:
     """Bits of whole texts; the costs of contexts seen lately are kept in a direct-mapped table."""
 
-    def __init__(self, mixer: Mixer):
+    def __init__(self, mixer: Mixer | Costs):
         self.mixer = mixer
         self.keys = np.full(1 << CACHE_BITS, np.uint64(2**64 - 1))
         self.costs = np.zeros(1 << CACHE_BITS, np.float32)
@@ -284,7 +337,7 @@ def _is_in(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _count_map(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, counts = BlockWords(), BitCounts()
-        seen_contexts = DistinctContexts(counts.add)
+        pairs = np.zeros(1 << 16, np.int64)
         seen, tokens, rows = np.zeros(len(frequent), np.int64), 0, 0
         for batch in batches:
             texts = text_bytes(batch.column(0))
@@ -294,15 +347,16 @@ def _count_map(frequent: np.ndarray):
                 tokens += len(hashes)
                 at, hit = _is_in(hashes, frequent)
                 seen += np.bincount(at[hit], minlength=len(frequent))
-                seen_contexts.add(texts[part])
+                pairs += np.bincount(contexts(texts[part], 1).astype(np.int64), minlength=1 << 16)
         if not rows:
             return
-        seen_contexts.close()
+        met = np.flatnonzero(pairs)
+        counts.add(met.astype(np.uint64), pairs[met])
         flat = counts.seen.reshape(PARTS, -1)
         blobs = [(-1, pack(np.concatenate([[tokens, rows], seen]).astype(np.int64)))]
         blobs += [(i, _sparse(flat[i])) for i in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["part", "blob"])
-        del counts, blobs, flat, seen_contexts
+        del counts, blobs, flat
         release()
 
     return run
@@ -315,7 +369,7 @@ def _sparse(counts: np.ndarray) -> bytes:
 
 def _dense(blob: bytes) -> np.ndarray:
     gaps, counts = unpack(blob)
-    out = np.zeros(ORDERS * 2 * (1 << SLOT_BITS) // PARTS, np.int64)
+    out = np.zeros((2 << 16) // PARTS, np.int64)
     out[np.cumsum(gaps.astype(np.int64))] = counts
     return out
 
@@ -343,21 +397,83 @@ def _summed(texts: DataFrame, run) -> dict[int, np.ndarray]:
     return sums
 
 
-# Second pass: weights and map from all training texts
+# Second pass: the table of codes of all training texts, and weights and map from its parts
+
+
+def _routed(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by parts, which the last three context bytes choose, and each part's end in it; codes stay in order in a part."""
+    part = ((((codes >> np.uint64(8)) & np.uint64(0xFFFFFF)) * _SPREAD >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=buckets))
+
 
+def _pack_codes(codes: np.ndarray, *rest: np.ndarray) -> bytes:
+    return pack(np.diff(codes, prepend=np.uint64(0)), *rest)
+
+
+def _unpack_codes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [unpack(b) for b in blobs]
+    return (np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts])) if parts else _NO_CODES
+
+
+def _code_map(buckets: int):
+    """Rows (part, blob): codes of training texts and their times."""
 
-def _learn_map(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(held.value)
-        met = DistinctContexts(learner.add)
+        ready: list[tuple[int, bytes]] = []
+
+        def send(codes: np.ndarray, times: np.ndarray) -> None:
+            order, ends = _routed(codes, buckets)
+            codes, times = codes[order], times[order]
+            ready.extend((i, _pack_codes(codes[a:b], times[a:b])) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a)
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in ready], pa.int32()), pa.array([x[1] for x in ready], pa.binary())], names=["part", "blob"])
+            ready.clear()
+            return out
+
+        met = DistinctContexts(send)
         for batch in batches:
             texts = text_bytes(batch.column(0))
             for part in _blocks(texts):
                 met.add(texts[part])
+                if ready:
+                    yield sent()
         met.close()
+        if ready:
+            yield sent()
+        del met
+        release()
+
+    return run
+
+
+def _sum_codes(table: pa.Table) -> pa.Table:
+    codes, times = summed_codes(*_unpack_codes(table.column("blob").to_pylist()))
+    return pa.table({"part": table.column("part")[:1], "blob": pa.array([_pack_codes(codes, times)], pa.binary())})
+
+
+def _gram_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table's codes of order 2, dealt anew."""
+    for batch in batches:
+        for blob in batch.column(1).to_pylist():
+            codes, times = low_codes(*_unpack_codes([blob]), 2)
+            group = (mix(codes) % np.uint64(PARTS)).astype(np.int64)
+            out = [(g, _pack_codes(codes[group == g], times[group == g])) for g in np.unique(group).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "blob"])
+
+
+def _learn_map(low):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, grams = low.value
+        learner = Learner(seen)
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                codes, times = _unpack_codes([blob])
+                learner.counts = ContextCounts(seen, grams, (codes, times))
+                learner.add(codes, times)
         if learner.bytes:
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pack(learner.state)], pa.binary())], names=["part", "blob"])
-        del learner, met
+        del learner
         release()
 
     return run
@@ -366,12 +482,57 @@ def _learn_map(held):
 # Third pass: every text
 
 
-def _score_map(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_known: bool, known: np.ndarray, model, buckets: int):
+def _block_map(buckets: int):
+    """Rows (block, part, blob): a block of texts at -1, and its distinct codes by the parts that have their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            seqs, train, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), text_bytes(batch.column(2))
+            ids, flags = batch.column(3).fill_null(0).to_numpy(), ~train + 2 * batch.column(3).is_null().to_numpy(zero_copy_only=False)
+            for part in _blocks(texts):
+                held.append((seqs[part], train[part], ids[part], flags[part], texts[part]))
+                size += sum(map(len, texts[part]))
+                if size >= GATHER:
+                    yield send(held)
+                    held, size = [], 0
+        if held:
+            yield send(held)
+        del held
+        release()
+
+    def send(held: list) -> pa.RecordBatch:
+        seqs, train, ids, flags = (np.concatenate([h[i] for h in held]) for i in range(4))
+        texts = [t for h in held for t in h[4]]
+        text = pack(seqs, train.astype(np.uint8), ids, flags, np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+        codes = np.unique(np.concatenate([np.unique(contexts(h[4])) for h in held]))
+        order, ends = _routed(codes, buckets)
+        codes = codes[order]
+        out = [(-1, text), *((i, _pack_codes(codes[a:b])) for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a)]
+        return pa.RecordBatch.from_arrays([pa.array([int(seqs[0])] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["block", "part", "blob"])
+
+    return run
+
+
+def _price(low, state: np.ndarray):
+    """Rows (block, blob): the costs of the codes that each block asked a part for."""
+
+    def run(asked: pa.Table, counted: pa.Table) -> pa.Table:
+        wanted = [np.cumsum(unpack(b)[0], dtype=np.uint64) for b in asked.column("blob").to_pylist()]
+        codes = np.unique(np.concatenate(wanted)) if wanted else _NO_CODES[0]
+        seen, grams = low.value
+        mixer = Mixer(ContextCounts(seen, grams, _unpack_codes(counted.column("blob").to_pylist()))).learned(state)
+        costs = np.concatenate([np.zeros(0, np.float32), *(mixer.bits(codes[a: a + HELD // 8]).astype(np.float32) for a in range(0, len(codes), HELD // 8))])
+        blobs = [_pack_codes(w, costs[np.searchsorted(codes, w)]) for w in wanted]
+        return pa.table({"block": asked.column("block").cast(pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _score_block(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_known: bool, known: np.ndarray, buckets: int):
     """Rows (bucket, blob). A blob: documents' rows and flags, then their pairs of word and times, then the documents whose sums it carries."""
 
-    def send(docs: list, pairs: list) -> pa.RecordBatch | None:
-        if not docs:
-            return None
+    def send(docs: list, pairs: list) -> pa.Table:
         seq, train, tokens, known_, base, score, ids, flags = (np.array([d[i] for d in docs]) for i in range(8))
         owner, hashes, times = (np.concatenate([p[i] for p in pairs]) for i in range(3))
         bucket = hashes % np.uint64(buckets)
@@ -385,14 +546,15 @@ def _score_map(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_
             here = np.flatnonzero(home == b)
             if len(own) or len(here):
                 out.append((b, pack(np.diff(seq[own], prepend=0), train[own].astype(np.uint8), count.astype(np.uint32), hashes[cuts[b]: cuts[b + 1]], times[cuts[b]: cuts[b + 1]].astype(np.uint32), seq[here], tokens[here], known_[here], base[here], score[here], ids[here], flags[here])))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, scorer = BlockWords(), _scorer(model)
-        docs, pairs, size = [], [], 0
-        for batch in batches:
-            seqs, train, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), text_bytes(batch.column(2))
-            ids, flags = batch.column(3).fill_null(0).to_numpy(), ~train + 2 * batch.column(3).is_null().to_numpy(zero_copy_only=False)
+        return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
+
+    def run(block: pa.Table, priced: pa.Table) -> pa.Table:
+        of, scorer = BlockWords(), CachedScorer(Costs(*_unpack_codes(priced.column("blob").to_pylist())))
+        docs, pairs = [], []
+        for blob in block.column("blob").to_pylist():
+            seqs, train, ids, flags, sizes, data = unpack(blob)
+            ends, data = np.cumsum(sizes).tolist(), data.tobytes()
+            texts = [data[b - n: b] for b, n in zip(ends, sizes.tolist(), strict=True)]
             for part in _blocks(texts):
                 n = len(texts[part])
                 owner, hashes, times = _distinct(texts[part], of)
@@ -402,48 +564,12 @@ def _score_map(frequent: np.ndarray, weight: np.ndarray, end_weight: float, end_
                 tokens = np.bincount(owner, weights=times, minlength=n).astype(np.int64) + 1
                 score = scorer(texts[part]) * -math.log10(2)
                 pairs.append((owner[~hit] + len(docs), hashes[~hit], times[~hit]))
-                docs += zip(seqs[part].tolist(), train[part].tolist(), tokens.tolist(), sure.tolist(), base.tolist(), score.tolist(), ids[part].tolist(), flags[part].tolist(), strict=True)
-                size += sum(map(len, texts[part]))
-                if size >= GATHER:
-                    yield send(docs, pairs)
-                    docs, pairs, size = [], [], 0
-        if out := send(docs, pairs):
-            yield out
-        del docs, pairs
-        release()
+                docs += zip(seqs[part].tolist(), train[part].astype(bool).tolist(), tokens.tolist(), sure.tolist(), base.tolist(), score.tolist(), ids[part].tolist(), flags[part].tolist(), strict=True)
+        return send(docs, pairs)
 
     return run
 
 
-_SCORERS: dict = {}
-
-
-def _scorer(model) -> CachedScorer:
-    """One scorer for a model in a Python worker."""
-    if model.id not in _SCORERS:
-        _SCORERS.clear()
-        odds, weights, refine = model.value
-        mixer = Mixer(odds)
-        mixer.weights, mixer.map = weights, refine
-        _SCORERS[model.id] = CachedScorer(mixer)
-    return _SCORERS[model.id]
-
-
-class Model:
-    """A broadcast model that knows its number."""
-
-    def __init__(self, spark, mixer: Mixer):
-        self.held = spark.sparkContext.broadcast((mixer.odds, mixer.weights, mixer.map))
-        self.id = (spark.sparkContext.applicationId, self.held._jbroadcast.id())
-
-    def __getstate__(self):
-        return {"held": self.held, "id": self.id}
-
-    @property
-    def value(self):
-        return self.held.value
-
-
 def _score_bucket(groups: int):
     """Rows (group, blob): partial sums of the documents of each group, and at -1 the number of words seen in training."""
 
@@ -512,16 +638,19 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     sums = _summed(training.select("text"), _count_map(frequent))
     head = sums.get(-1, np.zeros(2 + len(frequent), np.int64))
     words, train_rows, counted = int(head[0]), int(head[1]), head[2:]
-    empty = np.zeros(ORDERS * 2 * (1 << SLOT_BITS) // PARTS, np.int64)
-    seen = np.concatenate([sums.get(i, empty) for i in range(PARTS)]).reshape(ORDERS, 2, -1)
+    empty = np.zeros((2 << 16) // PARTS, np.int64)
+    seen = np.concatenate([sums.get(i, empty) for i in range(PARTS)]).reshape(2, -1)
     del sums
-    held = spark.sparkContext.broadcast(seen.astype(np.float32))
-    mixer = Mixer.from_counts(seen).learned(_summed(training.select("text"), _learn_map(held)).get(-1, np.zeros(0)))
-    held.unpersist()
-    del seen
-
-    score = _score_map(frequent, np.log10(counted + 0.1), math.log10(train_rows + 0.1), train_rows > 0, counted > 0, Model(spark, mixer), buckets)
-    sent = rows.select("seq", (~F.col("held_out")).alias("train"), "text", "id").mapInArrow(score, "bucket int, blob binary")
+    codes = cut(training.select("text").mapInArrow(_code_map(buckets), "part int, blob binary").groupBy("part").applyInArrow(released(_sum_codes), "part int, blob binary"))
+    grams = codes.mapInArrow(_gram_map, "part int, blob binary").groupBy("part").applyInArrow(released(_sum_codes), "part int, blob binary").collect()
+    low = spark.sparkContext.broadcast((seen, summed_codes(*_unpack_codes([r["blob"] for r in grams]))))
+    del grams
+    state = _summed(codes, _learn_map(low)).get(-1, np.zeros(0))
+
+    blocks = cut(rows.select("seq", (~F.col("held_out")).alias("train"), "text", "id").mapInArrow(_block_map(buckets), "block long, part int, blob binary"))
+    priced = blocks.where("part >= 0").groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(released_pair(_price(low, state)), "block long, blob binary")
+    score = _score_block(frequent, np.log10(counted + 0.1), math.log10(train_rows + 0.1), train_rows > 0, counted > 0, buckets)
+    sent = blocks.where("part < 0").select("block", "blob").groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(released_pair(score), "bucket int, blob binary")
     sums_of = sent.groupBy("bucket").applyInArrow(released(_score_bucket(buckets)), "group int, blob binary")
     parts = cut(sums_of.groupBy("group").applyInArrow(released(_sum_group), "seq long, n_tokens long, n_known long, base double, score double, id long, flags long"))
     rare = parts.where("seq = -1").agg(F.sum("n_known")).first()[0] or 0
