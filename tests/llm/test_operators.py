@@ -213,6 +213,22 @@ def test_one_insult_is_enough():
     assert all(score(f"{clean} {w}") >= 0.5 for w in insults)
 
 
+def test_rare_insults_of_a_long_list_are_found():
+    rnd = random.Random(6)
+    plain = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(4000)]
+    tail = ["".join(rnd.sample("bcdfghkmpwyz", 7)) for _ in range(20)]
+    used = tail * 24 + ["blockhead"] * 720
+    rnd.shuffle(used)
+    sample = []
+    for i in range(2400):
+        words = [rnd.choice(plain) for _ in range(30)]
+        sample.append((" ".join([*words, used[i // 2]] if i % 2 else words), i % 2))
+    sample[0] = (sample[0][0] + " blockhead", 0)  # one clean text quotes an insult
+    model = toxicity.fit(sample)
+    scores = model.score(toxicity.pool(model.kernel, [toxicity.words_of(" ".join([*rnd.sample(plain, 30), w])) for w in [*tail, "blockhead"]], {}))
+    assert sum(scores >= 0.5) >= 0.8 * len(scores) and scores[-1] >= 0.5
+
+
 def removed(texts):
     seen, out = {}, {}
     for d, t in sorted(texts, key=lambda x: x[0]):

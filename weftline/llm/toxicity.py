@@ -6,7 +6,7 @@ but little. A text's kernel with a landmark is that of its best word, as far as
 landmarks' own kernel matrix turns these into Nystroem features for a linear machine, whose margin a
 logistic curve maps to a score. Single letters that stand apart in a row are read as one word too.
 
-Landmarks are the word parts that tell toxic from other labelled texts: those in many toxic texts that
+Landmarks are the word parts that tell toxic from other labelled texts: those in some toxic texts that
 hardly occur elsewhere, whole insults before their pieces, and that do so in a second part of the sample
 too. Each such landmark alone counts as a toxic example, as one insult is enough. Everything is learned from a bounded sample: at most
 ``PER_LABEL`` texts of a label and ``MAX_BYTES`` bytes a text, none held out. All texts are scored whole.
@@ -34,8 +34,8 @@ from weftline.llm.labelled import fit_logistic, labelled_sample, sigmoid
 
 PER_LABEL, MAX_BYTES = {0: 2000, 1: 1200}, 32_768
 LANDMARKS, DECAY, FLOOR = 64, 0.8, 0.5
-#: Toxic texts that must hold a landmark: so many, and such a share.
-MIN_TEXTS, MIN_SHARE = 4, 0.025
+#: Toxic texts that must hold a landmark: a share of them within two fixed numbers, so a larger sample asks for no more. Candidates for each landmark that may be kept.
+MIN_TEXTS, MIN_SHARE, CANDIDATES = (4, 8), 0.025, 4
 #: What a clean text weighs against a toxic one when margins become scores: most texts are clean.
 CLEAN_WEIGHT = 4.0
 #: Part lengths for landmarks, longest word that is compared at once, words kept in a worker's cache.
@@ -157,19 +157,26 @@ def without_copies(texts: list[set[str]]) -> list[int]:
     return out
 
 
+def support(toxic: int) -> int:
+    """Texts that must hold a landmark, out of so many toxic ones."""
+    return min(MIN_TEXTS[1], max(MIN_TEXTS[0], int(toxic * MIN_SHARE)))
+
+
 def choose_landmarks(toxic: list[set[str]], other: list[set[str]], other_texts: list[str]) -> list[str]:
     """Word parts in many toxic texts that are at least twenty times rarer in the others, each in words without the ones before."""
-    usual = set().union(*other)
+    rate = max(1, len(other)) / max(1, len(toxic))
+    usual = Counter(w for words in other for w in words)
     texts_of: dict[str, set[int]] = defaultdict(set)
     for i, words in enumerate(toxic):
-        for w in words - usual:
+        for w in words:
             texts_of[w].add(i)
+    texts_of = {w: found for w, found in texts_of.items() if len(found) * rate >= 20 * usual[w]}
     words_with: dict[str, set[str]] = defaultdict(set)
     for w in texts_of:
         for a in range(len(w) - PART[0] + 1):
             for b in range(a + PART[0], min(len(w), a + PART[1]) + 1):
                 words_with[w[a:b]].add(w)
-    least = max(MIN_TEXTS, int(len(toxic) * MIN_SHARE))
+    least = support(len(toxic))
     spread = {p: n for p, ws in words_with.items() if (n := len(set().union(*[texts_of[w] for w in ws]))) >= least}
     if not spread:
         return []
@@ -180,7 +187,6 @@ def choose_landmarks(toxic: list[set[str]], other: list[set[str]], other_texts:
     elsewhere: Counter = Counter()
     for t in other_texts:
         elsewhere.update({p for _, p in search.iter(t.lower())})
-    rate = max(1, len(other)) / max(1, len(toxic))
     chosen: list[str] = []
     # of parts with like numbers of texts the longest goes first, so a whole insult comes before its pieces
     for p in sorted(spread, key=lambda p: (-int(np.log(spread[p]) * 4), -len(p), p)):
@@ -188,7 +194,7 @@ def choose_landmarks(toxic: list[set[str]], other: list[set[str]], other_texts:
         texts = set().union(*[texts_of[w] for w in left])
         if len(texts) >= least and len(texts) * rate >= 20 * elsewhere[p]:
             chosen.append(p)
-            if len(chosen) == LANDMARKS:
+            if len(chosen) == CANDIDATES * LANDMARKS:
                 break
     return chosen
 
@@ -242,7 +248,7 @@ def confirmed(pooled: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Landmarks that also tell toxic texts from others among texts that they weren't chosen from."""
     toxic, other = (np.array((pooled[labels == v] > 0.5).sum(axis=0)) for v in (1, 0))
     rate = max(1, (labels == 0).sum()) / max(1, (labels == 1).sum())
-    return (toxic >= 2) & (toxic * rate >= 8 * other)
+    return (toxic >= min(3, support(3 * int((labels == 1).sum())) // 2)) & (toxic * rate >= 8 * other)
 
 
 def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
@@ -259,7 +265,10 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     pooled = pool(kernel, texts, {})
     if kernel.landmarks and not learn.all():
         told = confirmed(pooled[~learn], labels[~learn])
-        kernel, pooled = Kernel([z for z, ok in zip(kernel.landmarks, told, strict=True) if ok]), pooled[:, told]
+        kept = np.flatnonzero(told)[:LANDMARKS]
+    else:
+        kept = np.arange(len(kernel.landmarks))[:LANDMARKS]
+    kernel, pooled = Kernel([kernel.landmarks[i] for i in kept]), pooled[:, kept]
     alone, times = np.zeros((0, 0)), 0  # a confirmed landmark without other insults is toxic too
     if kernel.landmarks:
         gram = kernel(kernel.landmarks)
