@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from weftline.llm import bpe_codec, decontaminate, license_scan, lm_score, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from weftline.llm.common import Scratch
 from weftline.llm.components import connected_components
 from weftline.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 
@@ -107,10 +108,9 @@ def components(texts, size):
     return sets, {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("small", [6, 1])  # 1: every mixed bucket is compared in blocks
-def test_near_dedup(docs, empty, monkeypatch, small):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_dedup(docs, empty, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     sets, expected = components(corpus(), 4)
     rows = by_id(near_dedup.near_duplicates(docs, shingle_words=4))
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in rows.items()} == {i: (len(sets[i]), expected[i], expected[i] == i) for i in sets}
@@ -137,7 +137,7 @@ def test_near_dedup_of_a_mixed_group(spark, monkeypatch):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "u long, v long")
-    found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    found = {r["node"]: r["component"] for r in connected_components(edges, Scratch(spark)).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
@@ -397,20 +397,36 @@ def contamination(texts, items):
     return out
 
 
-@pytest.mark.parametrize("limit", [20_000, 1])  # literals, and the join
-def test_decontamination(spark, docs, empty, limit):
+@pytest.mark.parametrize(("limit", "segment"), [(1 << 20, 4096), (30, 4096), (7, 3)])  # one table, and several with items cut into segments
+def test_decontamination(spark, docs, empty, monkeypatch, limit, segment):
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
     passage = corpus()[5][1]
     items = [(1, passage), (2, "One!"), (10, " ".join(passage.split()[3:20])), (3, None), (4, " "), (None, "tie"), (1, passage)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     expected = contamination(corpus(), items)
-    found = decontaminate.scan_documents(docs, benchmark, set_limit=limit)
+    found = decontaminate.scan_documents(docs, benchmark, table_windows=limit)
     assert found.count() == docs.count()
     assert {i: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for i, r in by_id(found).items()} == expected
-    assert decontaminate.scan_documents(empty, benchmark, set_limit=limit).count() == 0
+    assert decontaminate.scan_documents(empty, benchmark, table_windows=limit).count() == 0
     assert not by_id(decontaminate.scan_documents(docs, benchmark.where("false")))[5]["contaminated"]
     assert {r["doc_id"] for r in decontaminate.filter_documents(docs, benchmark).collect()} == {i for i, x in expected.items() if not x[3]}
 
 
+def test_decontamination_by_many_windows(spark):
+    """More windows than a table holds, one plan without a join at any size."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 60)))) for i in range(1500)]
+    texts = [(i, " ".join([*rnd.choices(words, k=30), *items[rnd.randrange(1500)][1].split()[2:40], *rnd.choices(words, k=rnd.choice([5, 900]))])) for i in range(300)]
+    expected = contamination(texts, items)
+    benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    for limit in (1 << 20, 9000):
+        found = decontaminate.scan_documents(docs, benchmark, table_windows=limit)
+        assert {i: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for i, r in by_id(found).items()} == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan.split("scalar-subquery")[0] and "Aggregate" not in plan.split("scalar-subquery")[0]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

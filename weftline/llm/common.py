@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -91,17 +93,73 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder in spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir. Where that is unset, a temporary one, if driver and executors are one machine."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+        found = context.getCheckpointDir()
+    return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder, so no lineage is kept."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_below: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch_below(folder: str) -> Iterator[None]:
+    """Operators that are called inside put their working tables below ``folder``, so a caller can remove them."""
+    _below.append(folder)
+    try:
+        yield
+    finally:
+        _below.pop()
+
+
+class Scratch:
+    """Tables written to the shared folder, so no lineage is kept; those that nothing reads any more are removed."""
+
+    def __init__(self, spark: SparkSession):
+        base = _below[-1] if _below else scratch_folder(spark)
+        self.spark, self.folder = spark, f"{base}/scratch-{uuid.uuid4().hex}"
+        self.kept: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, written once."""
+        path = f"{self.folder}/{len(self.kept)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables of ``keep`` that no later step reads."""
+        for path in (p for df, p in self.kept if any(df is t for t in tables)):
+            remove(self.spark, path)
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def integer_key(df: DataFrame, key: str) -> None:
+    """Refuses a key that isn't of an integer type, before anything runs."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        raise TypeError(f"{key} must be of an integer type, not {kind.simpleString()}")
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides both get an exchange of their own, as its keys are expressions: only then can Spark split a hot key of ``left``.
+
+    ``right`` has one row for a key. Integer keys; the result has those of ``left``.
+    """
+    other = right.select([F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in right.columns])
+    same = [left[c].bitwiseXOR(F.lit(1)) == other[f"__{c}"].bitwiseXOR(F.lit(1)) for c in on]
+    return left.join(other, same, how).drop(*[f"__{c}" for c in on])
 
 
 def random_table(seed: int, size: int) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHasher, crc_remainder, cut, mix, pack, random_table, release, released, released_pair, shuffle_partitions, text_bytes, unpack
+from weftline.llm.common import Scratch, WordHasher, crc_remainder, mix, pack, random_table, release, released, released_pair, shuffle_partitions, text_bytes, unpack
 
 ORDERS = 4
 #: Parts in the shuffle of counts of low orders.

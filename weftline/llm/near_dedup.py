@@ -6,20 +6,24 @@
 2. Documents with the same set are one class, and its least id stands for it.
 3. Signatures are cut into bands. All members of a bucket are compared with the bucket's least member:
    a star, not all pairs. Sizes are compared first, then the full sets of both whole texts.
-4. Buckets that still hold several components are compared in full: small ones pair by pair, large ones
-   in blocks of documents whose full sets meet as incidence matrices, where no pair is emitted. Any two
-   members of a bucket are so compared or in one component.
-5. Components of the confirmed links come from union-find and star rounds on the cluster.
-
-Documents with fewer words than a shingle are one shingle; without words (null and empty texts too) the
-set is empty and nothing is linked. Rows that share a doc_id are one document and share its fate. Rows
-without an id are never linked: component_id is null, and they are kept. Ties do not arise, as the
-least id wins. Further columns are carried by ``deduplicate`` and not read.
+4. Members of buckets that still hold several components are compared further. Sets that share 0.8 of
+   their union share one of the first n // 5 + 1 shingles in any common order, so documents meet only at
+   those, the rarest first by a bounded sample. Shingles whose documents are all in one component are left
+   out. The others go to clusters, named after the document of least hash, so shingles of much the same
+   documents share one. A cluster is compared in blocks, whose full sets meet as incidence matrices, and
+   no pair is emitted. So any two members of a bucket are compared or in one component.
+5. Components of the confirmed links come from union-find on the cluster; step 4 links whole components.
+
+Hot keys (a class of copies, a bucket, a hub, a shingle) meet in joins whose hot partitions Spark can
+split. Documents with fewer words than a shingle are one shingle; without words (null and empty texts
+too) the set is empty and nothing is linked. Ids are integers; other types are refused. Rows that share a
+doc_id are one document and share its fate. Rows without an id are never linked: component_id is null,
+and they are kept. Ties do not arise, as the least id wins. Further columns are carried by
+``deduplicate`` and not read.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from functools import lru_cache
 
 import numpy as np
@@ -27,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WordHasher, cut, map_batches, mix, random_table, released, text_bytes
+from weftline.llm.common import Scratch, WordHasher, integer_key, map_batches, mix, random_table, released, split_join, text_bytes
 from weftline.llm.components import UnionFind, connected_components
 
-BANDS, ROWS = 32, 4
-#: Largest bucket that is compared pair by pair; documents in a block of larger ones; shingles in a matrix.
-SMALL, BLOCK, COLUMNS = 6, 512, 4096
+#: A pair at 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 28, all but 1.5 in 100,000.
+BANDS, ROWS = 28, 5
+#: Documents and bytes of sets in a block; shingles in a matrix.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 4096
+#: For the order of shingles only: sampled documents, the longest of them in shingles, the documents that make a shingle frequent, and frequent shingles that are known at most.
+SAMPLE_DOCS, SAMPLE_SIZE, FREQUENT, KNOWN = 2000, 5000, 8, 100_000
 #: Shingles whose signatures are made at once.
 CHUNK = 60_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -104,7 +111,7 @@ def bands_of(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, n, f1, f2, bands): the set's size, two checksums of it, and its band keys."""
+    """(id, n, f1, f2, bands): the set's size, two checksums of it, and its band keys."""
 
     def make():
         shingle = shingler(size)
@@ -137,39 +144,8 @@ def _alike(small, large) -> F.Column:
     return 100 * F.least(small, large) >= 80 * F.greatest(small, large)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets share 0.8 of their union."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-
-    def make():
-        shingle = shingler(size)
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def found(i: int, t: bytes) -> np.ndarray:
-            if i not in recent:
-                recent[i] = shingle(t)
-                if len(recent) > 32:
-                    recent.popitem(last=False)
-            return recent[i]
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (x, y, tx, ty) in enumerate(zip(a, b, text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True)):
-                s, t = shingle(tx), found(y, ty)
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * shared >= 80 * (len(s) + len(t) - shared):
-                    keep.append(i)
-            return batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-        return each
-
-    return map_batches(both.select("a", "b", "ta", "tb"), "a long, b long", make)
-
-
 def _sets_of(reps: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(rep, body): the sorted shingle hashes of the documents that ``reps`` names."""
+    """(rep, body): the sorted shingle hashes of the documents that ``reps`` names, one for each text where rows share an id."""
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("t"))
 
     def make():
@@ -183,23 +159,27 @@ def _sets_of(reps: DataFrame, docs: DataFrame, key: str, text: str, size: int) -
     return map_batches(reps.join(texts, "rep"), "rep long, body binary", make)
 
 
-def _confirm_sets(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """As _confirm, from sets that are at hand."""
-    both = pairs.join(bodies.toDF("a", "sa"), "a").join(bodies.toDF("b", "sb"), "b")
+def _share(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets share 0.8 of their union."""
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * shared >= 80 * (len(s) + len(t) - shared)
+
+
+def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, ...) those whose full sets share 0.8 of their union."""
+    both = split_join(pairs, bodies.toDF("a", "sa"), ["a"])
+    both = split_join(both, bodies.toDF("b", "sb"), ["b"])
+    kept = list(range(len(pairs.columns)))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * shared >= 80 * (len(s) + len(t) - shared):
-                    keep.append(i)
-            return batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            sets = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            keep = [i for i, (x, y) in enumerate(sets) if _share(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))]
+            return batch.select(kept).take(pa.array(keep, pa.int64()))
 
         return each
 
-    return map_batches(both.select("a", "b", "sa", "sb"), "a long, b long", make)
+    return map_batches(both.select(*pairs.columns, "sa", "sb"), ", ".join(f"{c} long" for c in pairs.columns), make)
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -223,80 +203,123 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    """Links between the two blocks of a task, as a forest."""
-    sides, labels, reps = table.column("side").to_numpy(), table.column("label").to_numpy(), table.column("rep").to_numpy()
+    """Links between components that the two blocks of a task give, as a forest."""
+    sides, labels = table.column("side").to_numpy(), table.column("label").to_numpy()
     bodies = [np.frombuffer(b, np.uint64) for b in table.column("body").to_pylist()]
     left, right = np.flatnonzero(sides <= 0), np.flatnonzero(sides >= 0)  # side 0: both
     sets = UnionFind()
     if len(left) and len(right):
         for i, j in linked_pairs([bodies[k] for k in left], [bodies[k] for k in right]):
-            if labels[left[i]] != labels[right[j]]:
-                sets.join(int(reps[left[i]]), int(reps[right[j]]))
+            sets.join(int(labels[left[i]]), int(labels[right[j]]))
     links = [(x, r) for x in sets.parent if (r := sets.find(x)) != x]
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([r for _, r in links], pa.int64())})
+    return pa.table({"la": pa.array([x for x, _ in links], pa.int64()), "lb": pa.array([r for _, r in links], pa.int64())})
 
 
-def _compare_in_blocks(inside: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (a, b) between components that meet in large buckets.
+def _compare_in_blocks(clusters: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (la, lb) between components whose members (cluster, rep, n, label) are in one cluster.
 
-    Buckets that share members form a family. Its largest component and the rest are cut into blocks; each
-    block of the rest meets each other block in a task of its own, so no task grows with the family and no
-    pair is emitted.
+    A cluster's largest component and the rest are cut into blocks of bounded size; each block of the rest
+    meets each other block in a task of its own, so no task grows with the cluster and no pair is emitted.
+    A cluster that fits a block is one: all its members count as the rest.
     """
-    least = inside.groupBy("bucket").agg(F.min("rep").alias("first"))
-    family = connected_components(inside.join(least, "bucket").where("rep != first").select("rep", "first").distinct())
-    rows = inside.select("rep", "label").distinct().join(family.toDF("rep", "family"), "rep")
-    counts = rows.groupBy("family", "label").agg(F.count("*").alias("c"))
-    top = counts.groupBy("family").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"))
-    top = top.select("family", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("c") - F.col("top.c")) / BLOCK).cast("int").alias("minors"))
-    dealt = rows.join(top.where("minors > 0"), "family").withColumn("is_main", F.col("label") == F.col("main"))
+    counts = clusters.groupBy("cluster", "label").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    top = counts.groupBy("cluster").agg(F.max(F.struct("c", "label", "size")).alias("top"), F.sum("c").alias("c"), F.sum("size").alias("size")).where("c > top.c")
+    mains, minors = (F.ceil(F.greatest(c / BLOCK, 8 * n / BLOCK_BYTES)).cast("int") for c, n in ((F.col("top.c"), F.col("top.size")), (F.col("c") - F.col("top.c"), F.col("size") - F.col("top.size"))))
+    one = (F.col("c") <= BLOCK) & (8 * F.col("size") <= BLOCK_BYTES)
+    top = top.select("cluster", F.when(~one, F.col("top.label")).alias("main"), F.when(one, 0).otherwise(mains).alias("mains"), F.when(one, 1).otherwise(minors).alias("minors"))
+    dealt = split_join(clusters, top, ["cluster"]).withColumn("is_main", F.col("label").eqNullSafe(F.col("main")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("minors"))).cast("int"))
 
-    def task(other, side):  # rows of the rest are -1, of the largest component 1; within one block 0
-        return F.struct(other[0].alias("i"), other[1].alias("j"), F.lit(other[2]).alias("main"), side.alias("side"))
+    def task(i, j, is_main: bool, side):  # rows of the rest are -1, of the largest component 1; within one block 0
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(is_main).alias("main"), side.alias("side"))
 
-    minors, mains = F.sequence(F.lit(0), F.col("minors") - 1), F.sequence(F.lit(0), F.col("mains") - 1)
-    of_main = F.transform(minors, lambda m: task((m, F.col("own"), True), F.lit(1)))
+    of_minors = F.sequence(F.lit(0), F.col("minors") - 1)
+    of_mains = F.when(F.col("mains") > 0, F.sequence(F.lit(0), F.col("mains") - 1)).otherwise(F.array().cast("array<int>"))
+    of_main = F.transform(of_minors, lambda m: task(m, F.col("own"), True, F.lit(1)))
     of_rest = F.concat(
-        F.transform(minors, lambda m: task((F.least("own", m), F.greatest("own", m), False), F.signum(F.col("own") - m).cast("int"))),
-        F.transform(mains, lambda m: task((F.col("own"), m, True), F.lit(-1))),
+        F.transform(of_minors, lambda m: task(F.least("own", m), F.greatest("own", m), False, F.signum(F.col("own") - m).cast("int"))),
+        F.transform(of_mains, lambda m: task(F.col("own"), m, True, F.lit(-1))),
     )
-    spread = dealt.select("family", "rep", "label", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_rest)).alias("t"))
-    full = spread.join(bodies, "rep").select("family", "t.i", "t.j", "t.main", "t.side", "rep", "label", "body")
-    return full.groupBy("family", "i", "j", "main").applyInArrow(released(_block_links), "a long, b long")
+    spread = dealt.select("cluster", "rep", "label", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_rest)).alias("t"))
+    full = split_join(spread, bodies, ["rep"]).select("cluster", "t.i", "t.j", "t.main", "t.side", "label", "body")
+    return full.groupBy("cluster", "i", "j", "main").applyInArrow(released(_block_links), "la long, lb long")
+
+
+def prefix(body: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n // 5 + 1 shingles of a sorted set, those that aren't frequent first: two sets that share 0.8 of their union share one."""
+    at = np.minimum(np.searchsorted(frequent, body), max(0, len(frequent) - 1))
+    order = np.where(frequent[at] == body, rank[at], -1) if len(frequent) else np.zeros(len(body), np.int64)
+    return body[np.argsort(order, kind="stable")[: len(body) // 5 + 1]]
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sampled sets hold, and their ranks. They only order the shingles; any order gives the same links."""
+    few = sets.where(F.col("n") <= SAMPLE_SIZE).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_DOCS)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["s"])
+
+    seen = map_batches(few.select("body"), "s long", lambda: each).groupBy("s").count().where(F.col("count") >= FREQUENT)
+    top = seen.orderBy(F.desc("count"), "s").limit(KNOWN).collect()
+    known, rank = np.array([r["s"] for r in top], np.int64).view(np.uint64), np.arange(len(top), 0, -1)
+    order = np.argsort(known)
+    return known[order], rank[order]
+
+
+def _prefixes(sets: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(shingle, rep, n, label): a row for each shingle by which a set can meet another."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            parts = [prefix(np.frombuffer(b, np.uint64), frequent, rank) for b in batch.column(3).to_pylist()]
+            sizes = [len(p) for p in parts]
+            rows = [pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)), *rows], names=["shingle", "rep", "n", "label"])
+
+        return each
+
+    return map_batches(sets.select("rep", "n", "label", "body"), "shingle long, rep long, n long, label long", make)
+
+
+def _further_links(inside: DataFrame, bodies: DataFrame, scratch: Scratch) -> DataFrame:
+    """(la, lb): links between components of the members (rep, n, label) of mixed buckets."""
+    sets = scratch.keep(inside.join(bodies, "rep"))
+    spots = scratch.keep(_prefixes(sets, *_frequent(sets)))
+    least = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("cluster")
+    mixed = spots.groupBy("shingle").agg(least, F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("shingle", "cluster")
+    clusters = scratch.keep(split_join(spots, mixed, ["shingle"]).select("cluster", "rep", "n", "label").distinct())
+    # written first, so no task runs the comparison and the union-find side by side
+    out = scratch.keep(_compare_in_blocks(clusters, bodies))
+    scratch.drop(sets, spots, clusters)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row."""
-    signed = cut(_signed(docs, key, text, shingle_words))
+    integer_key(docs, key)
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(_signed(docs, key, text, shingle_words))
     known = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = known.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    classes = scratch.keep(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")))
     spread = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     leaders = spread.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
-    members = cut(spread.join(leaders, "bucket").select("bucket", "rep", "n", F.col("l.rep").alias("leader"), F.col("l.n").alias("ln"), "c"))
+    members = scratch.keep(split_join(spread, leaders, ["bucket"]).select("bucket", "rep", "n", F.col("l.rep").alias("leader"), F.col("l.n").alias("ln")))
+    bodies = scratch.keep(_sets_of(members.select("rep").distinct(), docs, key, text, shingle_words))
 
-    stars = cut(members.where((F.col("rep") != F.col("leader")) & _alike(F.col("n"), F.col("ln"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
-    links = cut(_confirm(stars, docs, key, text, shingle_words))
-    groups = connected_components(links)
+    stars = members.where((F.col("rep") != F.col("leader")) & _alike(F.col("n"), F.col("ln"))).select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+    groups = connected_components(_confirmed(stars, bodies), scratch)
 
-    labelled = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "c", F.coalesce("component", "rep").alias("label"))
+    labelled = split_join(members.select("bucket", "rep", "n"), groups.withColumnRenamed("node", "rep"), ["rep"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    labelled = scratch.keep(labelled)
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("bucket")
-    inside = cut(labelled.join(mixed, "bucket"))
-    if not inside.isEmpty():
-        few = inside.where(F.col("c") <= SMALL)
-        other = few.select("bucket", F.col("rep").alias("r1"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-        met = few.join(other, "bucket").where((F.col("rep") > F.col("r1")) & (F.col("l1") != F.col("label")) & _alike(F.col("n"), F.col("n1")))
-        pairs = met.select(F.col("rep").alias("a"), F.col("r1").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        pairs, large = cut(pairs), inside.where(F.col("c") > SMALL)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
-        bodies = cut(_sets_of(needed, docs, key, text, shingle_words))
-        # written first, so no task runs the comparison and the union-find side by side
-        found = cut(links.union(_confirm_sets(pairs, bodies)).union(_compare_in_blocks(large, bodies)))
-        groups = connected_components(found)
-
-    sets = signed.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
-    done = sets.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
+    inside = split_join(labelled, mixed, ["bucket"], "left_semi").select("rep", "n", "label").distinct()
+    wider = connected_components(_further_links(inside, bodies, scratch), scratch)
+    scratch.drop(members, labelled, bodies)
+
+    of = classes.select("f1", "f2", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    of = split_join(of.drop("component"), wider.withColumnRenamed("node", "label"), ["label"], "left").select("f1", "f2", "n", F.coalesce("component", "label").alias("found"))
+    done = split_join(signed.drop("bands"), scratch.keep(of), ["f1", "f2", "n"], "left")
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("found")).otherwise(F.col("id"))
     return done.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
