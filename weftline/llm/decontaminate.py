@@ -1,10 +1,12 @@
-"""Operator 10, benchmark decontamination: a set of normalised n-grams of the test items, carried to every task.
+"""Operator 10, benchmark decontamination: a hash set of normalised n-grams of the test items, carried to every task.
 
-The windows of the test items (13 words; a shorter item is one window) are hashed by Spark. As long as
-there are at most ``SET_LIMIT`` of them, the hash set and the windows themselves go to the tasks as
-literals of the plan, and each document is scanned, verified and summed up in one projection without a
-shuffle. A larger test set takes the join: the documents' windows meet it by hash, hits are verified as
-text, and hits are gathered for each row. Both ways use built-in functions only and give the same rows.
+The windows of the test items (13 words; a shorter item is one window) are put into a hash table whose
+buckets name an item's segment and a place in it. The table is the value of a subquery, so it goes to the
+tasks with the plan; each document looks up its windows there, compares the words themselves at a hit, and
+sums up in the same projection, without a shuffle. A table holds at most ``TABLE_WINDOWS`` windows: items
+are cut into segments, the segments are dealt to as many tables as that takes, and each table has a pass
+of its own over the documents, which adds to their hits. The steps are the same at any size, and only
+built-in functions are used.
 
 Null and empty texts have no words and no hits. Items without words are ignored, and so are rows of
 the test table without an id. An id that occurs twice is listed once. Each input row gives one row,
@@ -13,19 +15,17 @@ repeated rows included; texts are scanned whole; further columns are not read.
 
 from __future__ import annotations
 
-import json
-from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import Scratch
 from weftline.llm.quality_rules import let
 
 WINDOW = 13
-#: Windows that are sent as literals, at most.
-SET_LIMIT = 20_000
+#: Windows in a segment of an item; windows in a table on average, which bounds what a task holds to some 100 MB.
+SEGMENT, TABLE_WINDOWS = 4096, 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -36,14 +36,38 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, _BREAK), lambda w: w != "")
 
 
-def test_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(item, n, window, first, hash) of the distinct windows of the test items."""
+def segments(benchmark: DataFrame, key: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """(item, n, at, w): the items' words, cut so that each window of n words lies in one segment of bounded length."""
     items = benchmark.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("item"), words_of(F.col(text)).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(size)))
-    at = items.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
-    part = F.slice("w", F.col("i"), F.col("n"))
-    hashed = F.transform(part, lambda w: F.xxhash64(w))
-    return at.select("item", "n", F.array_join(part, " ").alias("window"), F.get(hashed, F.lit(0)).alias("first"), F.xxhash64(hashed).alias("hash")).distinct()
+    cuts = items.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"), F.lit(SEGMENT))))
+    return cuts.select("item", "n", "at", F.slice("w", F.col("at") + 1, F.col("n") + (SEGMENT - 1)).alias("w")).distinct()
+
+
+def _key(hashed: Column, i: Column, n: Column | int) -> Column:
+    """The key of the window of n words at i (from 0): three of its words' hashes."""
+    return F.xxhash64(F.get(hashed, i), F.get(hashed, i + F.floor(n / F.lit(2)).cast("int")), F.get(hashed, i + n - 1))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _table(parts: DataFrame, places: int) -> DataFrame:
+    """One row: the segments, for each place the windows whose key falls there, and for each place the lengths of windows whose first word does."""
+    spark = parts.sparkSession
+    one = parts.agg(F.array_sort(F.collect_list(F.struct("item", "at", "n", "w"))).alias("s"))
+    each = one.select(F.posexplode("s").alias("no", "x")).select("no", "x.item", "x.n", "x.w", _hashes(F.col("x.w")).alias("h"))
+    at = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))))
+    windows = at.select("no", "i", "n", F.pmod(_key(F.col("h"), F.col("i"), F.col("n")), F.lit(places)).alias("place"), F.pmod(F.get("h", F.col("i")), F.lit(places)).alias("first"), "item", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("text"))
+    windows = windows.dropDuplicates(["item", "n", "text"])
+    found = windows.groupBy("place").agg(F.collect_list(F.struct("no", "i", "n")).alias("x")).select("place", F.lit(0).alias("lengths"), "x")
+    starts = windows.groupBy("first").agg(F.bit_or(F.expr("shiftleft(1, n)")).alias("lengths")).select(F.col("first").alias("place"), "lengths", F.lit(None).cast(found.schema["x"].dataType).alias("x"))
+    all_places = spark.range(places).select(F.col("id").alias("place"), F.lit(0).alias("lengths"), F.lit(None).cast(found.schema["x"].dataType).alias("x"))
+    dense = all_places.union(found).union(starts).groupBy("place").agg(F.max("lengths").alias("lengths"), F.first("x", ignorenulls=True).alias("x"))
+    dense = dense.agg(F.array_sort(F.collect_list(F.struct("place", "lengths", "x"))).alias("d"))
+    table = F.struct(F.col("s"), F.transform("d", lambda p: p["x"]).alias("windows"), F.transform("d", lambda p: p["lengths"]).alias("lengths"))
+    return one.crossJoin(dense).select(table.alias("table"))  # one row each
 
 
 def _summary(hits: Column) -> Column:
@@ -63,62 +87,48 @@ def _summary(hits: Column) -> Column:
     return let(hits, joined)
 
 
-def _by_literals(docs: DataFrame, keep: list[str], text: str, windows: list) -> DataFrame:
-    by_size: dict[int, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    items: dict[str, set] = defaultdict(set)
-    for w in windows:
-        by_size[w["n"]][0].add(w["first"])
-        by_size[w["n"]][1].add(w["hash"])
-        items[w["window"]].add(w["item"])
-    known = F.from_json(F.lit(json.dumps({k: sorted(v) for k, v in items.items()})), "map<string,array<string>>")
-
-    def hit(hashed: Column, n: int, firsts: set, hashes: set) -> Callable[[Column], Column]:
-        return lambda i: F.get(hashed, i - 1).isin(sorted(firsts)) & F.xxhash64(F.slice(hashed, i, F.lit(n))).isin(sorted(hashes))
+def _hits(words: Column, table: Column, places: int, sizes: list[int]) -> Column:
+    """The places (s, e, items) of a text where windows of the table stand; each lookup takes the same time at any size of the table."""
 
-    def scan(words: Column) -> Column:
-        def of(hashed: Column) -> Column:
-            found = []
-            for n, (firsts, hashes) in sorted(by_size.items()):
-                starts = F.when(F.size(hashed) >= n, F.sequence(F.lit(1), F.size(hashed) - (n - 1))).otherwise(F.array().cast("array<int>"))
-                found.append(F.transform(F.filter(starts, hit(hashed, n, firsts, hashes)), checked(n)))
-            return F.filter(F.concat(*found), lambda h: h["items"].isNotNull())
+    def of(hashed: Column, held: Column) -> Column:
+        def starts(n: int) -> Callable[[Column], Column]:
+            bit = F.lit(1 << n)
+            return lambda i: (F.get(held["lengths"], F.pmod(F.get(hashed, i), F.lit(places)).cast("int")).bitwiseAND(bit) > 0) & (i + n <= F.size(hashed))
 
-        def checked(n: int) -> Callable[[Column], Column]:
-            return lambda i: F.struct((i - 1).alias("s"), (i - 1 + n).alias("e"), F.element_at(known, F.array_join(F.slice(words, i, F.lit(n)), " ")).alias("items"))
+        def found(n: int) -> Callable[[Column], Column]:
+            def at(i: Column) -> Column:
+                near = F.get(held["windows"], F.pmod(_key(hashed, i, n), F.lit(places)).cast("int"))
 
-        hits = let(F.transform(words, lambda w: F.xxhash64(w)), of) if by_size else F.array().cast("array<struct<s:int,e:int,items:array<string>>>")
-        return F.struct(F.size(words).cast("long").alias("n_words"), _summary(hits).alias("sum"))
+                def is_here(x: Column) -> Column:
+                    return (x["n"] == n) & (F.slice(F.get(held["s"], x["no"])["w"], x["i"] + 1, F.lit(n)) == F.slice(words, i + 1, F.lit(n)))
 
-    seen = docs.select(*keep, let(words_of(F.col(text)), scan).alias("__s"))
-    return seen.select(*keep, F.col("__s.n_words").alias("n_words"), F.col("__s.sum.n_hit").alias("n_hit"), F.col("__s.sum.items").alias("items"))
+                return F.struct(i.alias("s"), (i + n).alias("e"), F.transform(F.filter(near, is_here), lambda x: F.get(held["s"], x["no"])["item"]).alias("items"))
 
+            return at
 
-def _by_join(docs: DataFrame, keep: list[str], text: str, windows: DataFrame) -> DataFrame:
-    sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # 13 values at most
-    # written once: a row's number must not change between the two reads below
-    numbered = cut(docs.select(*keep, F.monotonically_increasing_id().alias("__row"), words_of(F.col(text)).alias("__w")))
-    hashed = numbered.select("__row", "__w", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"))
+        all_ = F.when(F.size(hashed) > 0, F.sequence(F.lit(0), F.size(hashed) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.concat(*[F.filter(F.transform(F.filter(all_, starts(n)), found(n)), lambda h: F.size(h["items"]) > 0) for n in sizes])
 
-    def spots(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__h") - (n - 1)))
-        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.xxhash64(F.slice("__h", i, F.lit(n))).alias("hash")))
+    return let(_hashes(words), lambda hashed: let(table, lambda held: of(hashed, held)))
 
-    at = hashed.select("__row", "__w", F.explode(F.concat(*map(spots, sizes))).alias("p")).where(F.col("p.i") + F.col("p.n") - 1 <= F.size("__w"))
-    at = at.select("__row", F.col("p.i").alias("i"), F.col("p.n").alias("n"), F.col("p.hash").alias("hash"), F.array_join(F.slice("__w", F.col("p.i"), F.col("p.n")), " ").alias("window"))
-    hits = at.join(windows.groupBy("n", "hash", "window").agg(F.collect_set("item").alias("items")), ["n", "hash", "window"])
-    found = hits.groupBy("__row").agg(F.collect_list(F.struct((F.col("i") - 1).alias("s"), (F.col("i") - 1 + F.col("n")).alias("e"), "items")).alias("hits"))
-    none = F.array().cast("array<struct<s:int,e:int,items:array<string>>>")
-    out = numbered.select(*keep, "__row", F.size("__w").cast("long").alias("n_words")).join(found, "__row", "left")
-    out = out.withColumn("__s", _summary(F.coalesce(F.col("hits"), none)))
-    return out.select(*keep, "n_words", F.col("__s.n_hit").alias("n_hit"), F.col("__s.items").alias("items"))
 
-
-def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
+def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = WINDOW, table_windows: int = TABLE_WINDOWS) -> DataFrame:
     """The columns ``keep`` of every row with n_words, n_hit, items (sorted ids) and contaminated."""
     keep = ["doc_id"] if keep is None else keep
-    windows = test_windows(benchmark, size=size)
-    few = windows.limit(set_limit + 1).collect()
-    out = _by_literals(docs, keep, text, few) if len(few) <= set_limit else _by_join(docs, keep, text, windows)
+    parts = segments(benchmark, size=size)
+    counts = {r["n"]: r["c"] for r in parts.groupBy("n").agg(F.sum(F.size("w") - F.col("n") + 1).alias("c")).collect()}  # 13 rows at most
+    tables = max(1, -(-sum(counts.values()) // table_windows))
+    places = 1 << (2 * min(sum(counts.values()), 2 * table_windows)).bit_length()
+    none = F.array().cast("array<struct<s:int,e:int,items:array<string>>>")
+    rows, scratch = docs.select(*keep, F.col(text).alias("__text"), none.alias("__hits")), Scratch(docs.sparkSession)
+    for k in range(tables if counts else 0):
+        rows = scratch.keep(rows) if k else rows
+        table = _table(parts.where(F.pmod(F.xxhash64("item", "at"), F.lit(tables)) == k), places).scalar()
+        # a column of its own, as functions over arrays don't take subqueries; it is used once, so the projections become one
+        met = rows.select(*keep, "__text", "__hits", table.alias("__table"))
+        rows = met.select(*keep, "__text", F.concat("__hits", let(words_of(F.col("__text")), lambda w: _hits(w, F.col("__table"), places, sorted(counts)))).alias("__hits"))
+    out = rows.select(*keep, F.size(words_of(F.col("__text"))).cast("long").alias("n_words"), _summary(F.col("__hits")).alias("__s"))
+    out = out.select(*keep, "n_words", F.col("__s.n_hit").alias("n_hit"), F.col("__s.items").alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
