@@ -8,12 +8,10 @@ Near-duplicates share 0.8 of their five-word shingles. Empty tables give empty r
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import bpe_codec, decontaminate, near_dedup, quality_rules, suffix_dedup
-from weftline.llm.common import ensure_checkpoint_dir, table
+from weftline.llm.common import Scratch, remove, scratch_below, table
 from weftline.llm.queries import WORD_BPE, tokenizer_path
 
 
@@ -55,13 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; what a stage keeps is written to the shared folder before the next."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
+    """All stages over the table documents; what a stage keeps is written to the shared folder before the next.
+
+    A stage's input and working tables go as soon as its result is written; only the last one's input stays, as the result reads it.
+    """
+    scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, work = docs, f"{scratch.folder}/work-{i}"
+        with scratch_below(work):
+            docs = scratch.keep(stage(spark, before, sf_dir))
+        scratch.drop(before)
+        remove(spark, work)
+    return STAGES[-1][1](spark, docs, sf_dir)
