@@ -26,6 +26,7 @@ from weftline.llm.quality_rules import let
 WINDOW = 13
 #: Windows in a segment of an item; windows in a table on average, which bounds what a task holds to some 100 MB.
 SEGMENT, TABLE_WINDOWS = 4096, 1 << 20
+_HITS = "array<struct<s:int,e:int,items:array<string>>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -109,7 +110,7 @@ def _hits(words: Column, table: Column, places: int, sizes: list[int]) -> Column
         all_ = F.when(F.size(hashed) > 0, F.sequence(F.lit(0), F.size(hashed) - 1)).otherwise(F.array().cast("array<int>"))
         return F.concat(*[F.filter(F.transform(F.filter(all_, starts(n)), found(n)), lambda h: F.size(h["items"]) > 0) for n in sizes])
 
-    return let(_hashes(words), lambda hashed: let(table, lambda held: of(hashed, held)))
+    return let(_hashes(words), lambda hashed: let(table, lambda held: of(hashed, held))) if sizes else F.array().cast(_HITS)
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = WINDOW, table_windows: int = TABLE_WINDOWS) -> DataFrame:
@@ -119,15 +120,15 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", ke
     counts = {r["n"]: r["c"] for r in parts.groupBy("n").agg(F.sum(F.size("w") - F.col("n") + 1).alias("c")).collect()}  # 13 rows at most
     tables = max(1, -(-sum(counts.values()) // table_windows))
     places = 1 << (2 * min(sum(counts.values()), 2 * table_windows)).bit_length()
-    none = F.array().cast("array<struct<s:int,e:int,items:array<string>>>")
-    rows, scratch = docs.select(*keep, F.col(text).alias("__text"), none.alias("__hits")), Scratch(docs.sparkSession)
-    for k in range(tables if counts else 0):
-        rows = scratch.keep(rows) if k else rows
+    rows, scratch = docs.select(*keep, F.col(text).alias("__text"), F.array().cast(_HITS).alias("__hits")), Scratch(docs.sparkSession)
+    for k in range(tables):
+        rows = scratch.keep(rows.select(*keep, "__text", "__hits")) if k else rows
         table = _table(parts.where(F.pmod(F.xxhash64("item", "at"), F.lit(tables)) == k), places).scalar()
         # a column of its own, as functions over arrays don't take subqueries; it is used once, so the projections become one
-        met = rows.select(*keep, "__text", "__hits", table.alias("__table"))
-        rows = met.select(*keep, "__text", F.concat("__hits", let(words_of(F.col("__text")), lambda w: _hits(w, F.col("__table"), places, sorted(counts)))).alias("__hits"))
-    out = rows.select(*keep, F.size(words_of(F.col("__text"))).cast("long").alias("n_words"), _summary(F.col("__hits")).alias("__s"))
+        met = rows.withColumn("__table", table)
+        both = let(words_of(F.col("__text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _hits(w, F.col("__table"), places, sorted(counts)).alias("hits")))
+        rows = met.select(*keep, "__text", "__hits", both.alias("__found")).select(*keep, "__text", F.col("__found.n").alias("n_words"), F.concat("__hits", "__found.hits").alias("__hits"))
+    out = rows.select(*keep, "n_words", _summary(F.col("__hits")).alias("__s"))
     out = out.select(*keep, "n_words", F.col("__s.n_hit").alias("n_hit"), F.col("__s.items").alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
