@@ -307,11 +307,11 @@ def test_lm_probabilities_sum_to_one():
     met = lm_score.DistinctContexts(counts.add)
     met.add([b"abracadabra " * 50])
     met.close()
-    learner = lm_score.Learner(counts.seen.astype(np.float32))
+    learner = lm_score.Learner(lm_score.ContextCounts(counts.seen))
     met = lm_score.DistinctContexts(learner.add)
     met.add([b"abracadabra " * 50])
     met.close()
-    mixer = lm_score.Mixer.from_counts(counts.seen).learned(learner.state * 2)  # as two tasks that learned the same
+    mixer = lm_score.Mixer.from_counts(counts.seen).learned(learner.state * 2)  # as two parts that taught the same
     assert mixer.weights == pytest.approx(learner.mixer.weights)
     codes = np.arange(256, dtype=np.uint64) | np.uint64(ord("b")) << np.uint64(8) | np.uint64(ord("a")) << np.uint64(16)
     assert np.exp2(-mixer.bits(codes)).sum() == pytest.approx(1, abs=1e-6)
@@ -339,6 +339,24 @@ def test_lm_counts_do_not_depend_on_tasks(docs, monkeypatch):
     assert (np.concatenate([sums[i] for i in range(lm_score.PARTS)]) == whole.seen.ravel()).all()
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART_BYTES", 20_000)  # several parts, several tasks
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(80)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 120)))) for i in range(250)]
+    docs, found = spark.createDataFrame(rows, "doc_id long, text string"), []
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", n if n < 200 else 13)
+            found.append({r["doc_id"]: r["score"] for r in lm_score.score_documents(docs.repartition(n, "doc_id")).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert len(found[0]) == 250
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=1e-6)
+
+
 def test_lm_contexts_never_share_counts():
     import numpy as np
 

@@ -6,17 +6,19 @@ codes, a byte with the four before it, and how often each occurs in all training
 that grows with the corpus, dealt to parts by the last three context bytes, so a part has all that orders
 3 and 4 need. Orders 1 and 2 have at most 2^16 and 2^24 codes; they are summed up and travel with the plan.
 The predictors' log-odds are mixed by weights that the bits so far select. They are learned from all parts
-of the table: each task learns online, a context seeing its counts without its own occurrence, and the
-tasks' weights are averaged by their bytes. The map that refines the mixed probability by the last byte
-adapts alongside, as sums that are added up. For scoring the model is frozen, so a score depends on no
-other text scored before: blocks of texts ask the parts for the costs of their distinct codes.
+of the table: each part teaches a mixer online, a context seeing its counts without its own occurrence, the
+parts' weights are averaged by their bytes, and the next round starts from the average. The map that refines
+the mixed probability by the last byte adapts alongside, as sums that are added up. How many parts there are
+follows from the training texts' bytes, and what a part teaches from its codes alone, so a score doesn't
+depend on how rows are dealt to tasks. For scoring the model is frozen, so a score depends on no other text
+scored before: blocks of texts ask the parts for the costs of their distinct codes.
 
 Base. Tokens (words, then one end) are counted over all training texts. Words that a bounded sample
 finds in many documents are counted in the first pass and travel with the plan; all other (document,
 word) pairs are shuffled by the word's 64-bit hash as packed blocks, and each document's partial sums
 come back. No word's documents are gathered in one task, and no vocabulary goes to the driver.
 
-Ids are integers. Null and empty texts have one token, the end, and a model score of 0. A null id counts as the empty
+Ids are integers; other types are refused. Null and empty texts have one token, the end, and a model score of 0. A null id counts as the empty
 text in the split. Each input row gives one row, repeated rows included; further columns are not read.
 With no training rows all counts are 0.
 """
@@ -31,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, WordHasher, crc_remainder, mix, pack, random_table, release, released, released_pair, shuffle_partitions, text_bytes, unpack
+from weftline.llm.common import Scratch, WordHasher, crc_remainder, integer_key, mix, pack, random_table, release, released, released_pair, shuffle_partitions, text_bytes, unpack
 
 ORDERS = 4
 #: Parts in the shuffle of counts of low orders.
 PARTS = 64
+#: Training bytes for a part of the table of codes, parts at most (then they grow), and rounds of learning.
+PART_BYTES, MOST_PARTS, ROUNDS = 8 << 20, 1 << 16, 3
 #: Sums that one task adds up; distinct contexts that a task holds before it works them off.
 FAN, HELD = 64, 1 << 20
 #: Sampled documents for frequent words, and the share of them that makes a word frequent.
@@ -203,34 +207,52 @@ class Mixer:
 
 
 class Learner:
-    """A task's mixer that learns online; ``state`` can be added to those of other tasks."""
+    """A mixer that one part of the table teaches online, from given weights; ``state`` can be added to those of other parts.
 
-    def __init__(self, seen: np.ndarray):
-        self.counts, self.mixer, self.bytes = ContextCounts(seen), Mixer(None), 0
+    The order of learning follows from the codes alone, so a part always teaches the same.
+    """
+
+    RATE, BATCH, CHUNK = 0.03, 256, 1 << 16
+
+    def __init__(self, counts: ContextCounts, weights: np.ndarray | None = None):
+        self.counts, self.mixer, self.bytes = counts, Mixer(None), 0
+        if weights is not None:
+            self.mixer.weights = weights.copy()
         self.sums = np.zeros((2, *self.mixer.map.shape))  # ones and all, in each cell of the map
         self.moved = np.zeros_like(self.mixer.weights)
-        self.random = np.random.default_rng(3)
 
-    def add(self, codes: np.ndarray, times: np.ndarray, batch: int = 256) -> None:
-        order = self.random.permutation(len(codes))
-        for a in range(0, len(codes), batch):
-            self._step(codes[order[a: a + batch]], times[order[a: a + batch]])
+    def add(self, codes: np.ndarray, times: np.ndarray) -> None:
+        order = np.argsort(mix(codes), kind="stable")
+        for a in range(0, len(codes), self.CHUNK):
+            rows = order[a: a + self.CHUNK]
+            self._learn(codes[rows], times[rows])
         self.bytes += int(times.sum())
 
-    def _step(self, codes: np.ndarray, times: np.ndarray, rate: float = 0.03) -> None:
-        for bit, (zeros, ones) in enumerate(self.counts.each_bit(codes)):
+    def _learn(self, codes: np.ndarray, times: np.ndarray) -> None:
+        sorted_ = np.argsort(codes)  # lookups of neighbours are cheap
+        back = np.empty(len(codes), np.int64)
+        back[sorted_] = np.arange(len(codes))
+        for bit, (zeros, ones) in enumerate(self.counts.each_bit(codes[sorted_])):
             value = bit_of(codes, bit)
-            # the counts without this occurrence; those of orders that the learner hasn't are 0
-            inputs = np.log((np.maximum(ones - value[:, None], 0) + 0.4) / (np.maximum(zeros - 1 + value[:, None], 0) + 0.4))
-            mixed, gate, last, low, share = self.mixer.mix(inputs, codes, bit)
-            step = np.zeros_like(self.mixer.weights)
-            np.add.at(step, gate, (times * (value - _squash(mixed)))[:, None] * inputs)
-            step /= np.maximum(np.bincount(gate, weights=times, minlength=256), 1)[:, None]
-            self.moved += step * step
-            self.mixer.weights += rate * step / np.sqrt(self.moved + 1e-6)  # smaller steps where many were made
-            for cell, weight in ((low, times * (1 - share)), (low + 1, times * share)):
-                np.add.at(self.sums[0], (last, cell), weight * value)
-                np.add.at(self.sums[1], (last, cell), weight)
+            # the counts without this occurrence
+            inputs = np.log((np.maximum(ones[back] - value[:, None], 0) + 0.4) / (np.maximum(zeros[back] - 1 + value[:, None], 0) + 0.4))
+            # the gates of a bit are its own, so bits can be worked off one after the other
+            for a in range(0, len(codes), self.BATCH):
+                rows = slice(a, a + self.BATCH)
+                self._step(inputs[rows], codes[rows], times[rows], value[rows], bit)
+
+    def _step(self, inputs: np.ndarray, codes: np.ndarray, times: np.ndarray, value: np.ndarray, bit: int) -> None:
+        mixed, gate, last, low, share = self.mixer.mix(inputs, codes, bit)
+        first, n = 1 << bit, 1 << bit
+        error = times * (value - _squash(mixed))
+        step = np.stack([np.bincount(gate - first, weights=error * inputs[:, k], minlength=n) for k in range(ORDERS)], axis=1)
+        step /= np.maximum(np.bincount(gate - first, weights=times, minlength=n), 1)[:, None]
+        self.moved[first: first + n] += step * step
+        self.mixer.weights[first: first + n] += self.RATE * step / np.sqrt(self.moved[first: first + n] + 1e-6)  # smaller steps where many were made
+        cell = last * self.mixer.STEPS + low
+        for at, weight in ((cell, times * (1 - share)), (cell + 1, times * share)):
+            np.add.at(self.sums[0].reshape(-1), at, weight * value)
+            np.add.at(self.sums[1].reshape(-1), at, weight)
 
     @property
     def state(self) -> np.ndarray:
@@ -462,18 +484,20 @@ def _gram_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "blob"])
 
 
-def _learn_map(low):
+def _learn_map(low, weights: np.ndarray | None):
+    """The sum of what the parts teach, each from the same weights and on its own, so it doesn't matter which task has which part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, grams = low.value
-        learner = Learner(seen)
+        total = None
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 codes, times = _unpack_codes([blob])
-                learner.counts = ContextCounts(seen, grams, (codes, times))
+                learner = Learner(ContextCounts(seen, grams, (codes, times)), weights)
                 learner.add(codes, times)
-        if learner.bytes:
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pack(learner.state)], pa.binary())], names=["part", "blob"])
-        del learner
+                total = learner.state + (0 if total is None else total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pack(total)], pa.binary())], names=["part", "blob"])
         release()
 
     return run
@@ -628,11 +652,14 @@ def _sum_group(table: pa.Table) -> pa.Table:
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 10) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities."""
-    spark = docs.sparkSession
+    integer_key(docs, key)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     buckets = shuffle_partitions(spark)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("seq"), (crc_remainder(F.col(key), modulus) == 0).alias("held_out"), body.alias("text"))
-    frequent = _frequent(rows, docs.count())
+    size = rows.agg(F.count("*").alias("rows"), F.sum(F.when(~F.col("held_out"), F.octet_length("text"))).alias("bytes")).first()
+    parts = min(MOST_PARTS, max(1, -(-(size["bytes"] or 0) // PART_BYTES)))
+    frequent = _frequent(rows, size["rows"])
 
     training = rows.where(~F.col("held_out"))
     sums = _summed(training.select("text"), _count_map(frequent))
@@ -641,21 +668,24 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mo
     empty = np.zeros((2 << 16) // PARTS, np.int64)
     seen = np.concatenate([sums.get(i, empty) for i in range(PARTS)]).reshape(2, -1)
     del sums
-    codes = cut(training.select("text").mapInArrow(_code_map(buckets), "part int, blob binary").groupBy("part").applyInArrow(released(_sum_codes), "part int, blob binary"))
+    codes = scratch.keep(training.select("text").mapInArrow(_code_map(parts), "part int, blob binary").groupBy("part").applyInArrow(released(_sum_codes), "part int, blob binary"))
     grams = codes.mapInArrow(_gram_map, "part int, blob binary").groupBy("part").applyInArrow(released(_sum_codes), "part int, blob binary").collect()
     low = spark.sparkContext.broadcast((seen, summed_codes(*_unpack_codes([r["blob"] for r in grams]))))
     del grams
-    state = _summed(codes, _learn_map(low)).get(-1, np.zeros(0))
+    state = np.zeros(0)
+    for k in range(ROUNDS):
+        state = _summed(codes, _learn_map(low, Mixer(None).learned(state).weights if k else None)).get(-1, np.zeros(0))
 
-    blocks = cut(rows.select("seq", (~F.col("held_out")).alias("train"), "text", "id").mapInArrow(_block_map(buckets), "block long, part int, blob binary"))
+    blocks = scratch.keep(rows.select("seq", (~F.col("held_out")).alias("train"), "text", "id").mapInArrow(_block_map(parts), "block long, part int, blob binary"))
     priced = blocks.where("part >= 0").groupBy("part").cogroup(codes.groupBy("part")).applyInArrow(released_pair(_price(low, state)), "block long, blob binary")
     score = _score_block(frequent, np.log10(counted + 0.1), math.log10(train_rows + 0.1), train_rows > 0, counted > 0, buckets)
     sent = blocks.where("part < 0").select("block", "blob").groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(released_pair(score), "bucket int, blob binary")
     sums_of = sent.groupBy("bucket").applyInArrow(released(_score_bucket(buckets)), "group int, blob binary")
-    parts = cut(sums_of.groupBy("group").applyInArrow(released(_sum_group), "seq long, n_tokens long, n_known long, base double, score double, id long, flags long"))
-    rare = parts.where("seq = -1").agg(F.sum("n_known")).first()[0] or 0
+    done = scratch.keep(sums_of.groupBy("group").applyInArrow(released(_sum_group), "seq long, n_tokens long, n_known long, base double, score double, id long, flags long"))
+    scratch.drop(codes, blocks)
+    rare = done.where("seq = -1").agg(F.sum("n_known")).first()[0] or 0
     total, distinct = words + train_rows, rare + int((counted > 0).sum()) + (train_rows > 0)
     scale = math.log10(total + 0.1 * (distinct + 1))
     bit = F.col("flags").bitwiseAND
     found = F.when(bit(F.lit(2)) == 0, F.col("id")).cast(docs.schema[key].dataType).alias(key)
-    return parts.where("seq >= 0").select(found, (bit(F.lit(1)) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")
+    return done.where("seq >= 0").select(found, (bit(F.lit(1)) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(scale)).alias("base_score"), "score")
