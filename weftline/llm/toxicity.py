@@ -1,23 +1,31 @@
 """Operator 6, toxicity: a support vector machine on a subsequence string kernel with Nystroem landmarks.
 
-The kernel of two words sums their common subsequences of three letters, each worth less the wider it
-is spread, and is divided by the words' norms; so letters put into or left out of an insult lower it
-but little. A text's kernel with a landmark is that of its best word, as far as it passes ``FLOOR``; the
-landmarks' own kernel matrix turns these into Nystroem features for a linear machine, whose margin a
-logistic curve maps to a score. Single letters that stand apart in a row are read as one word too.
+Kernel. The common subsequences of three characters of a word and a landmark are summed, each worth
+``DECAY`` to the number of characters that it spans, and divided by the norms; that of a longer word is
+lessened by the root of the lengths' quotient. So characters put into or left out of an insult lower it but little, and there is
+no floor. A word whose letters can't carry ``REACH`` of the landmark's norm, by Cauchy and Schwarz, counts as 0
+without being compared; a word with an insult's letters and others between them always can.
 
 Landmarks are the word parts that tell toxic from other labelled texts: those in some toxic texts that
-hardly occur elsewhere, whole insults before their pieces, and that do so in a second part of the sample
-too. Each such landmark alone counts as a toxic example, as one insult is enough. Everything is learned from a bounded sample: at most
-``PER_LABEL`` texts of a label and ``MAX_BYTES`` bytes a text, none held out. All texts are scored whole.
-
-Null and empty texts have no words and get the score of no match. If the sample lacks a label, the
-score is the sample's share of label 1 (one half without any sample). A null id counts as the empty
-text in the split; each input row gives one row, repeated rows included; further columns are not read.
+hardly occur elsewhere, whole insults before their pieces, and that do so in the second half of the sample
+too. The landmarks' own kernel matrix gives Nystroem features, and for each landmark a linear machine with
+squared hinge loss parts the toxic texts' words that hold it from the clean texts' words that share some of it.
+
+Threshold. A text is as toxic as its worst word. Each machine's threshold lies where so few clean texts are
+above it that all machines together give a share of ``ALARMS``, and ``MARGIN`` of the way from there to the words
+that hold the landmark; so a landmark that clean words resemble is stricter than one that stands alone.
+Everything is learned from a bounded sample: at most ``PER_LABEL`` texts of a label, each of at most
+``MAX_BYTES`` bytes, none held out. All texts are scored whole. Single letters that stand apart in a row are
+read as one word too.
+
+Null and empty texts have no words and get the lowest score. If the sample lacks a label or a landmark, the score
+is the sample's share of label 1 (one half without any sample). A null id counts as the empty text in the
+split; each input row gives one row, repeated rows included; further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -30,127 +38,123 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import crc_remainder, map_batches, text_bytes
-from weftline.llm.labelled import fit_logistic, labelled_sample, sigmoid
+from weftline.llm.labelled import labelled_sample, sigmoid
 
 PER_LABEL, MAX_BYTES = {0: 2000, 1: 1200}, 32_768
-LANDMARKS, DECAY, FLOOR = 64, 0.8, 0.5
-#: Toxic texts that must hold a landmark: a share of them within two fixed numbers, so a larger sample asks for no more. Candidates for each landmark that may be kept.
-MIN_TEXTS, MIN_SHARE, CANDIDATES = (4, 8), 0.025, 4
-#: What a clean text weighs against a toxic one when margins become scores: most texts are clean.
-CLEAN_WEIGHT = 4.0
-#: Part lengths for landmarks, longest word that is compared at once, words kept in a worker's cache.
-PART, WIDTH, CACHE_WORDS = (4, 12), 24, 400_000
+#: Span decay; share of a landmark's norm that a word's letters must be able to carry.
+DECAY, REACH = 0.9, 0.75
+#: Toxic texts that must hold a landmark: a share of them within two fixed numbers, so a larger sample asks for no more. Lengths of landmarks.
+MIN_TEXTS, MIN_SHARE, PART = (4, 8), 0.025, (4, 12)
+#: Share of false ones among confirmed landmarks, as expected.
+DISCOVERIES = 0.1
+#: Clean texts above the thresholds, and where these lie from there to the toxic words.
+ALARMS, MARGIN = 0.005, 0.12
+#: Slope of the logistic curve from a margin to a score.
+STEEP = 4.0
+#: Longest word that is compared at once, words compared at once, words kept in a worker's cache.
+WIDTH, AT_ONCE, CACHE_WORDS = 24, 20_000, 400_000
 _LONE = re.compile(r"(?:(?<=\s)|^)(?:\w[\s.\-_*]+){2,}\w(?=\s|$|[.,!?])")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct lower-case words; of longer words all windows of ``WIDTH`` at half steps; spelled-out words joined."""
+    """Distinct lower-case words without punctuation around them; of longer words all windows of ``WIDTH`` at half steps; spelled-out words joined."""
     lowered = text.lower()
-    out = set(lowered.split())
+    out = {_EDGES.sub("", w) for w in set(lowered.split())}
     for spelled in _LONE.findall(lowered):
         out.add(re.sub(r"[\s.\-_*]+", "", spelled))
     long = [w for w in out if len(w) > WIDTH]
     for w in long:
         out.discard(w)
         out.update(w[i: i + WIDTH] for i in range(0, len(w) - WIDTH // 2, WIDTH // 2))
+    out.discard("")
     return out
 
 
-def matrix(words: list[str]) -> np.ndarray:
-    """Code points of the words, filled up with 0."""
-    out = np.zeros((len(words), WIDTH), np.uint32)
-    lengths = np.array([len(w) for w in words], np.int64)
-    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(words)), lengths)
-    out[row, np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = points
-    return out
+def points_of(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row for each position."""
+    return np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).T)
 
 
 def raw_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Gap-weighted common subsequences of three letters of each row of ``s`` and of ``t``, row by row; a single ``t`` meets all rows."""
-    n, m = s.shape[1], t.shape[1]
-    square = DECAY * DECAY
-    rows = len(s)
-    before = [np.ones((rows, m + 1)), np.zeros((rows, m + 1)), np.zeros((rows, m + 1))]
-    total = np.zeros(rows)
-    for a in range(n):
-        same = (s[:, a: a + 1] == t) & (s[:, a: a + 1] != 0)
-        if not same.any():
-            for p in (1, 2):
-                before[p] *= DECAY
-            continue
-        total += (same * before[2][:, :m]).sum(axis=1) * square
-        for p in (2, 1):
-            run = np.zeros(rows)
-            inner = np.zeros((rows, m + 1))
-            for b in range(m):
-                run = DECAY * run + same[:, b] * square * before[p - 1][:, b]
-                inner[:, b + 1] = run
-            before[p] = DECAY * before[p] + inner
-    return total
+    """Gap-weighted common subsequences of three characters of each column of ``s`` with ``t``: one word, or a column for each."""
+    rows, square = s.shape[1], np.float32(DECAY * DECAY)
+    one, two = (np.zeros((len(t) + 1, rows), np.float32) for _ in range(2))  # subsequences of one and two characters up to each place of t
+    total = np.zeros(rows, np.float32)
+    for column in s:
+        run_one, run_two = np.zeros(rows, np.float32), np.zeros(rows, np.float32)
+        new_one, new_two = np.empty_like(one), np.empty_like(two)
+        new_one[0] = new_two[0] = 0
+        for b, other in enumerate(t):
+            same = column == other
+            total += same * two[b]
+            run_two = DECAY * run_two + same * (square * one[b])
+            run_one = DECAY * run_one + same * square
+            new_two[b + 1] = DECAY * two[b + 1] + run_two
+            new_one[b + 1] = DECAY * one[b + 1] + run_one
+        one, two = new_one, new_two
+    return total.astype(np.float64) * square
 
 
 def _masks(points: np.ndarray) -> np.ndarray:
-    bits = np.where(points > 0, np.uint64(1) << (points.astype(np.uint64) & np.uint64(63)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+    return np.bitwise_or.reduce(np.uint64(1) << (points.astype(np.uint64) & np.uint64(63)), axis=0)
 
 
 @dataclass
 class Kernel:
-    """Normalised kernels of words with the landmarks, 0 up to FLOOR and 1 for equality."""
+    """Normalised kernels of words with the landmarks."""
 
     landmarks: list[str]
-    _set: dict = field(default_factory=dict, repr=False)
+    _set: list = field(default_factory=list, repr=False)
 
     def __getstate__(self):
-        return {"landmarks": self.landmarks, "_set": {}}
+        return {"landmarks": self.landmarks, "_set": []}
 
-    def _ready(self) -> dict:
+    def _ready(self) -> list:
+        """For each landmark its code points, norm, the bits of its letters, and what its part in each choice of letters reaches."""
         if not self._set:
-            points = [np.array([[ord(c) for c in z]], np.uint32) for z in self.landmarks]
-            self._set = {"points": points, "norm": [float(raw_kernel(p, p)[0]) for p in points], "masks": [_masks(p)[0] for p in points]}
+            for z in self.landmarks:
+                points = np.array([ord(c) for c in z], np.uint32)
+                bits = np.unique(points & 63)
+                self._set.append((points, float(raw_kernel(points[:, None], points)[0]), bits, np.full(1 << len(bits), np.nan)))
         return self._set
 
+    @staticmethod
+    def _reach(points: np.ndarray, norm: float, bits: np.ndarray, known: np.ndarray, choices: np.ndarray) -> np.ndarray:
+        """The most that a word can have with the landmark, from the landmark's letters that it holds: by Cauchy and Schwarz, the norm of the landmark's subsequences of these letters."""
+        for c in np.flatnonzero(np.isnan(known) & (np.bincount(choices, minlength=len(known)) > 0)).tolist():
+            held = np.isin(points & 63, bits[[c >> i & 1 == 1 for i in range(len(bits))]])
+            # other letters become marks that differ between the sides, so they never match but still span
+            left, right = np.where(held, points, 1 << 30), np.where(held, points, 1 << 31)
+            known[c] = math.sqrt(float(raw_kernel(left[:, None].astype(np.uint32), right.astype(np.uint32))[0]) / norm) if norm else 0.0
+        return known[choices]
+
     def __call__(self, words: list[str]) -> np.ndarray:
-        ready = self._ready()
         out = np.zeros((len(words), len(self.landmarks)))
-        points = matrix(words)
-        masks = _masks(points)
-        norms = np.full(len(words), -1.0)
-        for z, (p, norm, mask) in enumerate(zip(ready["points"], ready["norm"], ready["masks"], strict=True)):
-            need = max(3, int(mask).bit_count() * 3 // 4)  # words with fewer of its letters stay at 0
-            rows = np.flatnonzero(np.bitwise_count(masks & mask) >= need)
-            if not len(rows):
-                continue
-            common = raw_kernel(points[rows], p)
-            part = self._longest_norm(points, rows, norms, p.shape[1])
-            value = common / np.sqrt(np.maximum(part * norm, 1e-12))
-            out[rows, z] = np.clip((value - FLOOR) / (1 - FLOOR), 0, 1)
+        lengths = np.array([len(w) for w in words], np.int64)
+        for n in np.unique(lengths[lengths >= 3]).tolist():
+            of = np.flatnonzero(lengths == n)
+            points = points_of([words[i] for i in of])
+            masks, norms = _masks(points), np.full(len(of), -1.0)
+            for k, (z, norm, bits, known) in enumerate(self._ready()):
+                choices = np.zeros(len(of), np.int64)
+                for i, b in enumerate(bits.tolist()):
+                    choices |= ((masks >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << i
+                rows = np.flatnonzero(self._reach(z, norm, bits, known, choices) >= REACH)
+                if len(rows):
+                    todo = rows[norms[rows] < 0]
+                    norms[todo] = raw_kernel(points[:, todo], points[:, todo])
+                    own = norms[rows] * min(1.0, len(z) / n) ** 0.5  # an ending added to an insult costs little
+                    out[of[rows], k] = np.minimum(1, raw_kernel(points[:, rows], z) / np.sqrt(np.maximum(own * norm, 1e-12)))
         return out
 
-    @staticmethod
-    def _longest_norm(points: np.ndarray, rows: np.ndarray, norms: np.ndarray, size: int) -> np.ndarray:
-        """A word's norm as that of so many letters as the landmark has, so that an ending added to an insult costs little."""
-        length = (points[rows] > 0).sum(axis=1)
-        todo = rows[norms[rows] < 0]
-        if len(todo):
-            norms[todo] = raw_kernel_self(points[todo])
-        return norms[rows] * np.minimum(1.0, size / np.maximum(length, 1))
-
-
-def raw_kernel_self(points: np.ndarray) -> np.ndarray:
-    out = np.empty(len(points))
-    for a in range(0, len(points), 20_000):
-        out[a: a + 20_000] = raw_kernel(points[a: a + 20_000], points[a: a + 20_000])
-    return out
-
 
 def without_copies(texts: list[set[str]]) -> list[int]:
     """Indices of the texts that are no near copy of an earlier one, so copies of one text don't make its words frequent."""
     seen: set[tuple] = set()
     out = []
     for i, words in enumerate(texts):
-        keys = {(k, *(min((zlib.crc32(w.encode(errors="replace"), 2 * k + j) for w in words), default=-1 - i) for j in (0, 1))) for k in range(3)}
+        keys = {(k, *(min((zlib.crc32(w.encode(errors="replace"), 3 * k + j) for w in words), default=-1 - i) for j in range(3))) for k in range(4)}
         if not keys & seen:
             out.append(i)
         seen |= keys
@@ -189,35 +193,39 @@ def choose_landmarks(toxic: list[set[str]], other: list[set[str]], other_texts:
         elsewhere.update({p for _, p in search.iter(t.lower())})
     chosen: list[str] = []
     # of parts with like numbers of texts the longest goes first, so a whole insult comes before its pieces
-    for p in sorted(spread, key=lambda p: (-int(np.log(spread[p]) * 4), -len(p), p)):
+    for p in sorted(spread, key=lambda p: (-int(math.log2(spread[p])), -len(p), p)):
         left = [w for w in words_with[p] if not any(q in w for q in chosen)]
         texts = set().union(*[texts_of[w] for w in left])
         if len(texts) >= least and len(texts) * rate >= 20 * elsewhere[p]:
             chosen.append(p)
-            if len(chosen) == CANDIDATES * LANDMARKS:
-                break
     return chosen
 
 
 @dataclass
 class ToxicityModel:
+    """``weights`` has a column for each landmark's machine; its margin is 0 at the threshold and 1 at words that hold the landmark."""
+
     kernel: Kernel
-    whiten: np.ndarray
     weights: np.ndarray
-    slope: float
-    bias: float
+    bias: np.ndarray
+    lowest: float = 0.0
 
-    def margin(self, pooled: np.ndarray) -> np.ndarray:
-        return (pooled @ self.whiten) @ self.weights[:-1] + self.weights[-1]
+    def worst(self, texts: list[set[str]], known: dict[str, float]) -> np.ndarray:
+        """The highest margin of each text's words. ``known`` keeps the margins of words."""
+        new = sorted(set().union(*texts) - known.keys()) if texts else []
+        for a in range(0, len(new) if self.kernel.landmarks else 0, AT_ONCE):
+            part = new[a: a + AT_ONCE]
+            known.update(zip(part, (self.kernel(part) @ self.weights + self.bias).max(axis=1).tolist(), strict=True))
+        return np.array([max((known.get(w, self.lowest) for w in words), default=self.lowest) for words in texts])
 
-    def score(self, pooled: np.ndarray) -> np.ndarray:
-        return sigmoid(self.slope * self.margin(pooled) + self.bias)
+    def score(self, margins: np.ndarray) -> np.ndarray:
+        return sigmoid(STEEP * margins)
 
 
-def hinge_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 400) -> np.ndarray:
+def hinge_machine(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 1e-3, rounds: int = 200) -> np.ndarray:
     """Linear machine with squared hinge loss by accelerated gradient steps; both labels weigh the same."""
     z, sign = np.hstack([x, np.ones((len(x), 1))]), np.where(y == 1, 1.0, -1.0)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = times * np.where(y == 1, 0.5 / max(1, times[y == 1].sum()), 0.5 / max(1, times[y == 0].sum()))
     rate = 1 / (2 * np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2 + ridge)
     w = ahead = np.zeros(z.shape[1])
     for k in range(rounds):
@@ -227,67 +235,79 @@ def hinge_machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
     return w
 
 
-def pool(kernel: Kernel, texts: list[set[str]], known: dict[str, np.ndarray | None]) -> np.ndarray:
-    """For each text the best kernel with each landmark. ``known`` keeps what words gave; None is no match."""
-    new = sorted(set().union(*texts) - known.keys()) if texts else []
-    if new and kernel.landmarks:
-        for a in range(0, len(new), 50_000):
-            values = kernel(new[a: a + 50_000])
-            hit = values.any(axis=1)
-            known.update((w, values[i] if hit[i] else None) for i, w in enumerate(new[a: a + 50_000]))
-    out = np.zeros((len(texts), len(kernel.landmarks)))
-    for i, words in enumerate(texts):
-        for w in words:
-            v = known.get(w)
-            if v is not None:
-                np.maximum(out[i], v, out=out[i])
-    return out
+def holding(parts: list[str], texts: list[set[str]]) -> np.ndarray:
+    """How many texts have a word with each part."""
+    return np.array([sum(any(p in w for w in words) for words in texts) for p in parts], np.int64)
+
 
+def chance(toxic: int, texts: int, share: float) -> float:
+    """The chance that at least ``toxic`` of so many texts are toxic, if each is with the chance ``share``."""
+    logs = [math.lgamma(texts + 1) - math.lgamma(k + 1) - math.lgamma(texts - k + 1) + k * math.log(share) + (texts - k) * math.log1p(-share) for k in range(toxic, texts + 1)]
+    return min(1.0, math.fsum(map(math.exp, logs)))
 
-def confirmed(pooled: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Landmarks that also tell toxic texts from others among texts that they weren't chosen from."""
-    toxic, other = (np.array((pooled[labels == v] > 0.5).sum(axis=0)) for v in (1, 0))
-    rate = max(1, (labels == 0).sum()) / max(1, (labels == 1).sum())
-    return (toxic >= min(3, support(3 * int((labels == 1).sum())) // 2)) & (toxic * rate >= 8 * other)
+
+def confirmed(parts: list[str], toxic: list[set[str]], other: list[set[str]]) -> list[str]:
+    """Parts that also tell toxic texts from others among texts that they weren't chosen from: eight times likelier there, and by more than chance, with a share of ``DISCOVERIES`` false ones."""
+    if not toxic or not other:
+        return []
+    rate, share = len(other) / len(toxic), len(toxic) / (len(toxic) + len(other))
+    counts = list(zip(holding(parts, toxic).tolist(), holding(parts, other).tolist(), strict=True))
+    odds = [chance(t, t + c, share) if t * rate >= 8 * c else 1.0 for t, c in counts]
+    sure = max((p for k, p in enumerate(sorted(odds), 1) if p <= DISCOVERIES * k / len(parts)), default=-1.0)
+    return [p for p, x in zip(parts, odds, strict=True) if x <= sure]
+
+
+def machines(landmarks: list[str], toxic: list[set[str]], clean: list[set[str]]) -> ToxicityModel:
+    """A machine for each landmark, and its threshold."""
+    kernel = Kernel(landmarks)
+    gram = kernel(landmarks)
+    roots, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    whiten = vectors / np.sqrt(np.maximum(roots, 1e-2)) @ vectors.T
+    good, bad = (Counter(w for words in texts for w in words) for texts in (clean, toxic))
+    words = sorted(good)
+    values = np.vstack([np.zeros((0, len(landmarks))), *[kernel(words[a: a + AT_ONCE]) for a in range(0, len(words), AT_ONCE)]])
+    some = np.flatnonzero(values.any(axis=1))
+    place = {words[i]: k for k, i in enumerate(some)}
+    near, times = values[some], np.array([good[words[i]] for i in some], float)
+    texts_of = [np.array([place[w] for w in t if w in place], np.int64) for t in clean]
+    holds = np.array([[z in words[i] for z in landmarks] for i in some], bool).reshape(len(some), len(landmarks))
+    weights, bias = np.zeros((len(landmarks), len(landmarks))), np.zeros(len(landmarks))
+    for k, z in enumerate(landmarks):
+        held = [w for w in bad if z in w] or [z]
+        here = np.flatnonzero((near[:, k] > 0) & ~holds[:, k])
+        x = np.vstack([near[here], kernel(held), np.zeros((1, len(landmarks)))]) @ whiten  # the last: any word that shares nothing
+        y = np.array([0] * len(here) + [1] * len(held) + [0])
+        w = hinge_machine(x, y, np.concatenate([times[here], [bad[v] or 1 for v in held], [1.0]]))
+        alpha = whiten @ w[:-1]
+        # clean texts that hold the landmark itself are quotations or wrong labels, as it is confirmed
+        rest = np.sort([0.0, *((near[of] @ alpha).max(initial=0.0) for of in texts_of if not holds[of, k].any())])
+        alarm = rest[max(0, len(rest) - 1 - int(ALARMS * len(rest) / len(landmarks)))]
+        sure = max(float(np.median(kernel(held) @ alpha)), 1e-6)
+        if alarm < sure:
+            cut = alarm + MARGIN * (sure - alarm)
+            weights[:, k], bias[k] = alpha / (sure - cut), -cut / (sure - cut)
+        else:  # clean words hold it as toxic ones do
+            bias[k] = -1.0
+    return ToxicityModel(kernel, weights, bias, float(bias.max()))
 
 
 def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     labels = np.array([v for _, v in sample], np.int64)
-    if len(set(labels.tolist())) < 2:
-        share = min(max(float(labels.mean()) if len(labels) else 0.5, 1e-6), 1 - 1e-6)
-        return ToxicityModel(Kernel([]), np.zeros((0, 0)), np.zeros(1), 0.0, float(np.log(share / (1 - share))))
+    share = min(max(float(labels.mean()) if len(labels) else 0.5, 1e-6), 1 - 1e-6)
     texts = [words_of(t) for t, _ in sample]
     single = without_copies(texts)
     sample, texts, labels = [sample[i] for i in single], [texts[i] for i in single], labels[single]
-    learn = np.arange(len(sample)) % 4 != 3 if min((labels == 0).sum(), (labels == 1).sum()) >= 40 else np.ones(len(sample), bool)
-    of = {v: [i for i in np.flatnonzero(learn) if labels[i] == v] for v in (0, 1)}
-    kernel = Kernel(choose_landmarks([texts[i] for i in of[1]], [texts[i] for i in of[0]], [sample[i][0] for i in of[0]]))
-    pooled = pool(kernel, texts, {})
-    if kernel.landmarks and not learn.all():
-        told = confirmed(pooled[~learn], labels[~learn])
-        kept = np.flatnonzero(told)[:LANDMARKS]
-    else:
-        kept = np.arange(len(kernel.landmarks))[:LANDMARKS]
-    kernel, pooled = Kernel([kernel.landmarks[i] for i in kept]), pooled[:, kept]
-    alone, times = np.zeros((0, 0)), 0  # a confirmed landmark without other insults is toxic too
-    if kernel.landmarks:
-        gram = kernel(kernel.landmarks)
-        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        whiten = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-        if not learn.all():
-            alone, times = gram, -(-int((labels == 1).sum()) // len(gram))
-    else:
-        whiten = np.zeros((0, 0))
-    model = ToxicityModel(kernel, whiten, np.zeros(len(whiten) + 1), 1.0, 0.0)
-
-    def joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.vstack([pooled[rows], *[alone] * times]), np.concatenate([labels[rows], np.ones(len(alone) * times, np.int64)])
-
-    x, y = joined(learn)
-    model.weights = hinge_machine(x @ whiten, y)
-    x, y = joined(~learn if not learn.all() else learn)
-    model.slope, model.bias = map(float, fit_logistic(model.margin(x)[:, None], y, ridge=0.1, zeros=CLEAN_WEIGHT))
-    return model
+    second = np.arange(len(sample)) % 2 == 1
+
+    def of(label: int, which: np.ndarray) -> list[int]:
+        return np.flatnonzero((labels == label) & which).tolist()
+
+    toxic, clean = ([texts[i] for i in of(v, ~second)] for v in (1, 0))
+    chosen = choose_landmarks(toxic, clean, [sample[i][0] for i in of(0, ~second)]) if toxic and clean else []
+    kept = confirmed(chosen, *([texts[i] for i in of(v, second)] for v in (1, 0)))
+    if not kept:
+        return ToxicityModel(Kernel([]), np.zeros((0, 0)), np.zeros(0), math.log(share / (1 - share)) / STEEP)
+    return machines(kept, *([texts[i] for i in of(v, second | ~second)] for v in (1, 0)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", modulus: int = 5, held_remainder: int = 0) -> DataFrame:
@@ -295,12 +315,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key
     model = fit(labelled_sample(docs, labels, label, modulus, held_remainder, PER_LABEL, MAX_BYTES, key, text))
 
     def make():
-        known: dict[str, np.ndarray | None] = {}
+        known: dict[str, float] = {}
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            scores = model.score(pool(model.kernel, [words_of(t.decode()) for t in text_bytes(batch.column(2))], known)).tolist()
+            scores = model.score(model.worst([words_of(t.decode()) for t in text_bytes(batch.column(2))], known)).tolist()
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[key, "held_out", "score", "predicted"])
 
         return each
