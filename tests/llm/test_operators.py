@@ -221,7 +221,7 @@ def test_one_insult_is_enough():
     model = toxicity.fit(sample)
 
     def score(text):
-        return model.score(model.worst([toxicity.words_of(text)], {}))[0]
+        return model.score(model.worst([toxicity.words_of(text)], set(), {}))[0]
 
     clean = " ".join(plain[:60])
     assert score(clean) < 0.5 and score("") < 0.5
@@ -243,7 +243,7 @@ def test_rare_insults_of_a_long_list_are_found():
         sample.append((" ".join([*words, used[i // 2]] if i % 2 else words), i % 2))
     sample[0] = (sample[0][0] + " blockhead", 0)  # one clean text quotes an insult
     model = toxicity.fit(sample)
-    scores = model.score(model.worst([toxicity.words_of(" ".join([*rnd.sample(plain, 30), w])) for w in [*tail, "blockhead"]], {}))
+    scores = model.score(model.worst([toxicity.words_of(" ".join([*rnd.sample(plain, 30), w])) for w in [*tail, "blockhead"]], set(), {}))
     assert sum(scores >= 0.5) >= 0.8 * len(scores) and scores[-1] >= 0.5
 
 

@@ -2,7 +2,7 @@
 
 Kernel. The common subsequences of three characters of a word and a landmark are summed, each worth
 ``DECAY`` to the number of characters that it spans, and divided by the norms; that of a longer word is
-lessened by the root of the lengths' quotient. So characters put into or left out of an insult lower it but little, and there is
+lessened by the root of the lengths' quotient, and the result is 1 at most. So characters put into or left out of an insult lower it but little, and there is
 no floor. A word whose letters can't carry ``REACH`` of the landmark's norm, by Cauchy and Schwarz, counts as 0
 without being compared; a word with an insult's letters and others between them always can.
 
@@ -60,7 +60,7 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 def words_of(text: str) -> set[str]:
     """Distinct lower-case words without punctuation around them; of longer words all windows of ``WIDTH`` at half steps; spelled-out words joined."""
     lowered = text.lower()
-    out = {_EDGES.sub("", w) for w in set(lowered.split())}
+    out = {w if w[0].isalnum() and w[-1].isalnum() else _EDGES.sub("", w) for w in set(lowered.split())}
     for spelled in _LONE.findall(lowered):
         out.add(re.sub(r"[\s.\-_*]+", "", spelled))
     long = [w for w in out if len(w) > WIDTH]
@@ -131,21 +131,26 @@ class Kernel:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)))
-        lengths = np.array([len(w) for w in words], np.int64)
+        lengths, ready = np.array([len(w) for w in words], np.int64), self._ready()
+        sizes, norm_of = np.array([len(x[0]) for x in ready]), np.array([x[1] for x in ready])
+        table = np.full((max(sizes, default=0), len(ready)), 1 << 31, np.uint32)  # a column for each landmark, filled up with what never matches
+        for k, (z, *_) in enumerate(ready):
+            table[: len(z), k] = z
         for n in np.unique(lengths[lengths >= 3]).tolist():
             of = np.flatnonzero(lengths == n)
             points = points_of([words[i] for i in of])
-            masks, norms = _masks(points), np.full(len(of), -1.0)
-            for k, (z, norm, bits, known) in enumerate(self._ready()):
+            masks, pairs = _masks(points), []
+            for k, (z, norm, bits, known) in enumerate(ready):
                 choices = np.zeros(len(of), np.int64)
                 for i, b in enumerate(bits.tolist()):
                     choices |= ((masks >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << i
                 rows = np.flatnonzero(self._reach(z, norm, bits, known, choices) >= REACH)
-                if len(rows):
-                    todo = rows[norms[rows] < 0]
-                    norms[todo] = raw_kernel(points[:, todo], points[:, todo])
-                    own = norms[rows] * min(1.0, len(z) / n) ** 0.5  # an ending added to an insult costs little
-                    out[of[rows], k] = np.minimum(1, raw_kernel(points[:, rows], z) / np.sqrt(np.maximum(own * norm, 1e-12)))
+                pairs.append((rows, np.full(len(rows), k)))
+            row, k = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+            if len(row):
+                own, back = np.unique(row, return_inverse=True)
+                norms = raw_kernel(points[:, own], points[:, own])[back] * np.minimum(1.0, sizes[k] / n) ** 0.5  # an ending added to an insult costs little
+                out[of[row], k] = np.minimum(1, raw_kernel(points[:, row], table[:, k]) / np.sqrt(np.maximum(norms * norm_of[k], 1e-12)))
         return out
 
 
@@ -210,13 +215,16 @@ class ToxicityModel:
     bias: np.ndarray
     lowest: float = 0.0
 
-    def worst(self, texts: list[set[str]], known: dict[str, float]) -> np.ndarray:
-        """The highest margin of each text's words. ``known`` keeps the margins of words."""
-        new = sorted(set().union(*texts) - known.keys()) if texts else []
-        for a in range(0, len(new) if self.kernel.landmarks else 0, AT_ONCE):
+    def worst(self, texts: list[set[str]], seen: set[str], known: dict[str, float]) -> np.ndarray:
+        """The highest margin of each text's words. ``seen`` keeps words that were compared, ``known`` the margins of those that share something with a landmark."""
+        new = sorted(set().union(*texts) - seen) if texts and self.kernel.landmarks else []
+        for a in range(0, len(new), AT_ONCE):
             part = new[a: a + AT_ONCE]
-            known.update(zip(part, (self.kernel(part) @ self.weights + self.bias).max(axis=1).tolist(), strict=True))
-        return np.array([max((known.get(w, self.lowest) for w in words), default=self.lowest) for words in texts])
+            values = self.kernel(part)
+            some = np.flatnonzero(values.any(axis=1))
+            known.update(zip([part[i] for i in some], (values[some] @ self.weights + self.bias).max(axis=1).tolist(), strict=True))
+        seen.update(new)
+        return np.array([max([known[w] for w in words if w in known], default=self.lowest) for words in texts])
 
     def score(self, margins: np.ndarray) -> np.ndarray:
         return sigmoid(STEEP * margins)
@@ -315,12 +323,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", key
     model = fit(labelled_sample(docs, labels, label, modulus, held_remainder, PER_LABEL, MAX_BYTES, key, text))
 
     def make():
+        seen: set[str] = set()
         known: dict[str, float] = {}
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if len(known) > CACHE_WORDS:
+            if len(seen) > CACHE_WORDS:
+                seen.clear()
                 known.clear()
-            scores = model.score(model.worst([words_of(t.decode()) for t in text_bytes(batch.column(2))], known)).tolist()
+            scores = model.score(model.worst([words_of(t.decode()) for t in text_bytes(batch.column(2))], seen, known)).tolist()
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[key, "held_out", "score", "predicted"])
 
         return each
