@@ -87,11 +87,15 @@ def weighted_jaccard(a: DataFrame, b: DataFrame, key: str, weight: str) -> DataF
 
 
 #: Names whose values are hidden; fixed values.
-SECRET_NAMES = ("authorization", "api_key", "apikey", "password", "secret", "token", "access_key", "cookie")
+SECRET_NAMES = ("api_key", "apikey", "password", "secret", "token", "access_key")
+#: Headers whose value is hidden up to the end of the line or a semicolon; fixed values.
+SECRET_HEADERS = ("authorization", "proxy-authorization", "x-api-key", "api-key", "ocp-apim-subscription-key", "x-auth-token", "cookie", "set-cookie")
 
 
 def redact(text: Column) -> Column:
-    """Bearer tokens and the values of secret names replaced by ``[REDACTED]``."""
-    out = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    names = "|".join(SECRET_NAMES)
-    return F.regexp_replace(out, rf'(?i)("?\b(?:{names})"?\s*[:=]\s*)("[^"]*"|(?!Bearer\b)[^\s,;}}]+)', "$1[REDACTED]")
+    """Values of secret headers and names, and bearer tokens anywhere, replaced by ``[REDACTED]``; the scheme of an authorization is kept."""
+    headers, names = "|".join(SECRET_HEADERS), "|".join(SECRET_NAMES)
+    out = F.regexp_replace(text, rf'(?i)("(?:{headers})"\s*:\s*)"[^"]*"', '$1"[REDACTED]"')
+    out = F.regexp_replace(out, rf"(?i)(?<![\w-])((?:{headers})\s*[:=]\s*(?:[A-Za-z][\w-]*[ \t]+)?)[^\s;][^\n;]*", "$1[REDACTED]")
+    out = F.regexp_replace(out, r"(?i)\bbearer\s+(?!\[REDACTED)[^\s;,\"]+", "Bearer [REDACTED]")
+    return F.regexp_replace(out, rf'(?i)("?\b(?:{names})"?\s*[:=]\s*)("[^"]*"|(?!\[REDACTED)[^\s,;}}]+)', "$1[REDACTED]")

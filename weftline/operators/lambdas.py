@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 #: Names a function body may use; fixed values.
 BUILTINS = "abs all any bool dict enumerate filter float int isinstance len list map max min range reversed round set sorted str sum tuple zip".split()
-EXCEPTIONS = "ArithmeticError AssertionError AttributeError Exception IndexError KeyError LookupError NameError OverflowError RuntimeError StopIteration TypeError ValueError ZeroDivisionError".split()
+EXCEPTIONS = "ArithmeticError AssertionError AttributeError Exception IndexError KeyError LookupError NotImplementedError OverflowError RuntimeError StopIteration TypeError ValueError ZeroDivisionError".split()
 MODULES = {"json": json, "re": re, "math": math, "np": np, "pd": pd}
 
 

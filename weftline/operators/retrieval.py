@@ -8,19 +8,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_PLACE = re.compile(r"'\{(\w+)\}'|\{(\w+)\}")
+_PLACE = re.compile(r"\{(\w+)\}")
+#: A text literal (quotes inside are doubled), a line comment or a block comment.
+_OPAQUE = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", re.S)
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
+def _veiled(text: str) -> tuple[str, list[str]]:
+    """A query whose literals hold only their numbers and whose comments are gone, and what the literals hold."""
+    held: list[str] = []
+
+    def veil(m: re.Match) -> str:
+        if not m[0].startswith("'"):
+            return " "
+        held.append(m[0][1:-1])
+        return f"'\x01{len(held) - 1}\x01'"
+
+    return _OPAQUE.sub(veil, text), held
+
+
+def _unveiled(text: str, held: list[str]) -> str:
+    return re.sub("\x01(\\d+)\x01", lambda m: held[int(m[1])], text)
+
+
 def to_spark_sql(text: str) -> str:
-    """The PostgreSQL forms that templates use, in Spark's dialect."""
-    out = text.strip().rstrip(";").strip()
+    """The PostgreSQL forms that templates use, in Spark's dialect. Literals stay as they are, a backslash in them is one too."""
+    out, held = _veiled(text)
+    out = out.strip().rstrip(";").strip()
     out = re.sub(r'"([A-Za-z_][^"]*)"', r"`\1`", out)
     out = re.sub(r"(?is)string_agg\s*\(\s*([^,()]+?)\s*,\s*('[^']*')\s+order\s+by\s+([^()]+?)\)", r"string_agg(\1, \2) WITHIN GROUP (ORDER BY \3)", out)
     out = re.sub(r"(?i)([\w.`]+)\s*(?:::jsonb?)?\s*->>\s*'([^']+)'", r"get_json_object(\1, '$.\2')", out)
     out = re.sub(r"(?i)::jsonb?\b", "", out)
     out = re.sub(r"(?i)::text\b", "::string", out)
-    return re.sub(r"(?i)::(?:double precision|float8)\b", "::double", out)
+    out = re.sub(r"(?i)::(?:double precision|float8)\b", "::double", out)
+    return _unveiled(out, [h.replace("\\", "\\\\") for h in held])
+
+
+def bound(template: str, column: Callable[[str], str]) -> str:
+    """A template whose placeholders are columns: one in a longer literal becomes part of a concatenation, so no value is spliced into the text."""
+    out, held = _veiled(template)
+
+    def literal(m: re.Match) -> str:
+        parts = _PLACE.split(held[int(m[1])])  # text, name, text, name, ... text
+        if len(parts) == 1:
+            return m[0]
+        if len(parts) == 3 and not parts[0] and not parts[2]:
+            return column(parts[1])
+        return "concat(" + ", ".join(f"CAST({column(x)} AS STRING)" if i % 2 else f"'{x}'" for i, x in enumerate(parts) if x) + ")"
+
+    return _unveiled(_PLACE.sub(lambda m: column(m[1]), re.sub("'\x01(\\d+)\x01'", literal, out)), held)
 
 
 def read_only(spark: SparkSession, query: str) -> str:
@@ -52,20 +88,21 @@ def relations(spark: SparkSession, query: str) -> list[str]:
     return sorted({f.replace(", ", ".") for f in found} - ctes)
 
 
-def per_row(params: DataFrame, template: str, order: str | None = None, view: str = "__params") -> DataFrame:
+def per_row(params: DataFrame, template: str, order: str | None = None, view: str = "__params", most: int | None = None) -> DataFrame:
     """(row_id, pos, ...) of a query template for every row of ``params`` (row_id and a column per placeholder).
 
     The template runs once as a lateral join, which Catalyst turns into joins and grouped aggregates, not
-    once per row. Placeholders become column references, so no value is spliced into the text. Rows
-    without a result are absent; ``as_tables`` brings them back. ``pos`` follows ``order`` (by default
-    the template's last ORDER BY, else all columns).
+    once per row. Placeholders become column references, also inside longer literals. Rows without a result
+    are absent; ``as_tables`` brings them back. ``pos`` follows ``order`` (by default the template's last ORDER
+    BY, else all columns). ``most`` bounds the rows of each parameter row. A
+    parameter row's rows are sorted together, as its table is one value.
     """
     spark = params.sparkSession
     names = set(params.columns) - {"row_id"}
-    unknown = {a or b for a, b in _PLACE.findall(template)} - names
+    unknown = set(_PLACE.findall(template)) - names
     if unknown:
         raise ValueError(f"no parameters for {sorted(unknown)}; there are {sorted(names)}")
-    body = read_only(spark, to_spark_sql(_PLACE.sub(lambda m: f"{view}.`{m[1] or m[2]}`", template)))
+    body = read_only(spark, to_spark_sql(bound(template, lambda name: f"{view}.`{name}`")))
     params.createOrReplaceTempView(view)
     found = spark.sql(f"SELECT {view}.row_id AS row_id, __r.* FROM {view} JOIN LATERAL ({body}) AS __r")
     if order is None:
@@ -73,7 +110,8 @@ def per_row(params: DataFrame, template: str, order: str | None = None, view: st
         order = ", ".join(re.sub(r"^\w+\.", "", x.strip()) for x in last[1].split(",")) if last else None
     rest = [f"`{c}`" for c in found.columns if c != "row_id"]
     keys = [*([o.strip() for o in order.split(",")] if order else []), *rest]
-    return found.withColumn("pos", F.expr(f"row_number() OVER (PARTITION BY row_id ORDER BY {', '.join(keys)})").cast("long") - 1)
+    placed = found.withColumn("pos", F.expr(f"row_number() OVER (PARTITION BY row_id ORDER BY {', '.join(keys)})").cast("long") - 1)
+    return placed if most is None else placed.where(F.col("pos") < most)
 
 
 def as_tables(spine: DataFrame, rows: DataFrame) -> DataFrame:
@@ -143,11 +181,20 @@ def planned(spark: SparkSession, description: str, planner: Callable[[str, dict[
     return spark.sql(read_only(spark, to_spark_sql(query)))
 
 
+#: Words of a description and the aggregates that they ask for.
+_ASKED = {"total": "sum", "sum": "sum", "average": "avg", "mean": "avg", "highest": "max", "maximum": "max", "lowest": "min", "minimum": "min"}
+
+
 def keyword_planner(description: str, schema: dict[str, list[str]]) -> str:
-    """Counts rows of the first table whose name the description holds, by the first column that it names."""
+    """A query by the description's words: of the first table that it names, the rows' count, or what an aggregate word
+    before a column asks for, by the first column after "by", where a column "is" a quoted text."""
     words = re.findall(r"\w+", description.lower())
     table = next((t for t in schema if t.lower() in words), None)
     if table is None:
         raise ValueError(f"the description names none of {sorted(schema)}")
-    column = next((c for c in schema[table] if c.lower() in words), None)
-    return f"SELECT {column}, count(*) AS n FROM {table} GROUP BY {column}" if column else f"SELECT count(*) AS n FROM {table}"
+    columns = {c.lower(): c for c in schema[table]}
+    group = next((columns[b] for a, b in zip(words, words[1:], strict=False) if a == "by" and b in columns), None)
+    shown = [f"{_ASKED[a]}({columns[b]}) AS {_ASKED[a]}_{columns[b]}" for a, b in zip(words, words[1:], strict=False) if a in _ASKED and b in columns] or ["count(*) AS n"]
+    tests = [f"{columns[c.lower()]} = '{v}'" for c, v in re.findall(r"(\w+) is '((?:[^']|'')*)'", description) if c.lower() in columns]
+    where = f" WHERE {' AND '.join(tests)}" if tests else ""
+    return f"SELECT {', '.join([*([group] if group else []), *shown])} FROM {table}{where}" + (f" GROUP BY {group}" if group else "")

@@ -171,7 +171,10 @@ class Frame:
 
     def value(self, path: str | None = None) -> DataFrame:
         """(row_id, value) at a path of the step's columns."""
-        if not path or path in ("items", "item"):
+        if path in ("items", "item"):  # the whole item
+            fields = [c for c in self.df.columns if c != "row_id"]
+            return self.df.select("row_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+        if not path:
             return self.df.select("row_id", F.col(self.column).alias("value"))
         steps = [p for p in path.split(".") if p not in ("item", "items")]
         if not steps:
@@ -198,8 +201,8 @@ class Engine:
     planner: Callable[[str, dict[str, list[str]]], str] = retrieval.keyword_planner
     scope: tuple[str, ...] = ()
 
-    def build(self, flow: Workflow, **inputs: list[str]) -> dict[str, Frame]:
-        """All steps as lazy frames, in order."""
+    def build(self, flow: Workflow, given_frames: dict[str, Frame] | None = None, **inputs: list[str]) -> dict[str, Frame]:
+        """All steps as lazy frames, in order. Steps that ``given_frames`` has are taken from there."""
         given = {**{k: list(v) for k, v in flow.inputs.items()}, **inputs}
         wanted = {i for i, s in flow.steps.items() if s.op == "InputOp"}
         if missing := wanted - set(given):
@@ -212,6 +215,9 @@ class Engine:
         done: dict[str, Frame] = {}
         for i in flow.order():
             step = flow.steps[i]
+            if given_frames and i in given_frames:
+                done[i] = given_frames[i]
+                continue
             try:
                 if step.op == "RouterOp":
                     done |= self._route(step, done)

@@ -30,13 +30,51 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | No
 
 
 def write_values(df: DataFrame, location: str, column: str = "value") -> None:
-    """Values in row order as text: below a folder (a name that ends in /) a file per value, else one folder of lines."""
+    """Values in row order as text, as they are: below a folder (a name that ends in /) item-000001.txt and so on, a file per value, else one folder of lines.
+
+    Executors write the values; the driver only gives the files their names.
+    """
     text = df.select("row_id", coerce_text(F.col(column), df.schema[column].dataType).alias("value"))
-    if location.endswith("/"):
-        named = text.withColumn("item", F.format_string("item-%06d", F.col("row_id") + 1))
-        named.select("item", "value").write.mode("overwrite").partitionBy("item").option("lineSep", "\u0000").text(location)
-    else:
-        text.orderBy("row_id").select(F.regexp_replace("value", "\n", "\\\\n")).write.mode("overwrite").text(location)
+    if not location.endswith("/"):
+        text.orderBy("row_id").select("value").write.mode("overwrite").text(location)
+        return
+    named = text.select(F.format_string("item-%06d", F.col("row_id") + 1).alias("item"), "value")
+    named.write.mode("overwrite").partitionBy("item").option("lineSep", "\u0000").text(location)
+    files = _folder(df.sparkSession, location)
+    for part in files.listStatus():
+        if part.isDirectory() and part.getPath().getName().startswith("item="):
+            for f in files.fs.listStatus(part.getPath()):
+                target = files.path(f"{location}{part.getPath().getName()[5:]}.txt")
+                files.fs.rename(f.getPath(), target)
+            files.fs.delete(part.getPath(), True)
+
+
+class _folder:
+    """A folder of any file system that Spark reads."""
+
+    def __init__(self, spark: SparkSession, location: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.here = self.path(location)
+        self.fs = self.here.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def listStatus(self) -> list:
+        return list(self.fs.listStatus(self.here))
+
+
+def write_outputs(outputs: dict[str, DataFrame], location: str, all_outputs: bool = True) -> list[str]:
+    """Each output of a run in a folder of its own below ``location``, or only the first; the folders that were written."""
+    out = []
+    for name, df in list(outputs.items())[: None if all_outputs else 1]:
+        write_values(df, f"{location.rstrip('/')}/{name}")
+        out.append(f"{location.rstrip('/')}/{name}")
+    return out
+
+
+def sample_rows(spark: SparkSession, lines: DataFrame, schema: str, column: str = "value", most: int = 100) -> DataFrame:
+    """Records of JSON lines, for a look at a source: blank and bad lines and lines that hold no object are skipped, ``most`` rows stay."""
+    text = F.trim(F.col(column))
+    objects = lines.where(text.startswith("{") & F.from_json(text, "map<string,string>").isNotNull())
+    return objects.select(F.from_json(F.col(column), schema).alias("r")).where("r IS NOT NULL").limit(most).select("r.*")
 
 
 def write(df: DataFrame, location: str, kind: str = "parquet", partition_by: list[str] | None = None) -> None:
