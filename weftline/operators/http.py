@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -54,6 +56,16 @@ def fetch_from_pages(queries: DataFrame, request: HttpRequest, pages: DataFrame)
     return found.select("row_id", F.when(missing, 404).otherwise(200).alias("status_code"), "body", error.alias("error"))
 
 
+def over_network(method: str, url: str, body: str | None) -> tuple[int, str]:
+    """A plain request with the standard library; error statuses are results."""
+    request = urllib.request.Request(url, body.encode() if body is not None else None, {"Content-Type": "application/json"} if body is not None else {}, method=method)
+    try:
+        with urllib.request.urlopen(request, timeout=30) as answer:
+            return answer.status, answer.read().decode("utf-8", "replace")
+    except urllib.error.HTTPError as bad:
+        return bad.code, ""
+
+
 def fetch(queries: DataFrame, request: HttpRequest, fetcher: Callable[[str, str, str | None], tuple[int, str]]) -> DataFrame:
     """Over ``fetcher(method, url, body) -> (status, text)``: bounded threads in each task, retries with doubling waits."""
     kind = queries.schema["value"].dataType

@@ -101,16 +101,43 @@ def structured(df: DataFrame, fields: list[Field], column: str = "output") -> Da
     return out.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
-def enforced(df: DataFrame, prompt: str, pattern: str, attempts: int, backend: Backend = DIGEST) -> DataFrame:
-    """``df`` with output, attempts and valid: rows whose answer doesn't match ``pattern`` are asked again, others not."""
+#: JSON schema types and the SQL types that read them.
+_JSON_TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "array": "array<string>", "object": "map<string,string>"}
+
+
+def conforms(text: Column, schema: dict) -> Column:
+    """Whether a text is JSON of a flat schema: an object with its required properties, of the named types, within minimum, maximum, enum and pattern."""
+    kinds = schema.get("properties") or {}
+    fields = "struct<" + ",".join(f"`{k}`:{_JSON_TYPES[v.get('type', 'string')]}" for k, v in kinds.items()) + ">"
+    keys = F.json_object_keys(text)
+    good = keys.isNotNull()
+    parsed = F.from_json(text, fields) if kinds else None
+    for k in schema.get("required") or []:
+        good = good & F.array_contains(keys, k)
+    if schema.get("additionalProperties") is False:
+        good = good & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in kinds]).cast("array<string>"))) == 0)
+    for k, rule in kinds.items():
+        value = parsed.getField(k)
+        tests = F.lit(True)
+        for name, test in (("minimum", lambda v, x: v >= x), ("maximum", lambda v, x: v <= x), ("enum", lambda v, x: v.isin(*x)), ("pattern", lambda v, x: v.rlike(x))):
+            if name in rule:
+                tests = tests & test(value, rule[name])
+        good = good & (~F.array_contains(keys, k) | (value.isNotNull() & tests))
+    return F.coalesce(good, F.lit(False))
+
+
+def enforced(df: DataFrame, prompt: str, pattern: str | None, attempts: int, backend: Backend = DIGEST, json_schema: dict | None = None) -> DataFrame:
+    """``df`` with output, attempts and valid: rows whose answer doesn't match ``pattern`` or ``json_schema`` are asked again, others not. A null prompt is the text None."""
     if not 1 <= attempts <= 10:
         raise ValueError("1 to 10 attempts")
+    if (pattern is None) == (json_schema is None):
+        raise ValueError("a pattern or a JSON schema is needed")
     from weftline.plans.shared import cut
 
-    done, open_ = None, df.withColumn("__p", F.col(prompt))
+    done, open_ = None, df.withColumn("__p", F.coalesce(F.col(prompt), F.lit("None")))
     for k in range(1, attempts + 1):
         asked = cut(backend.generate(open_.drop("output"), "__p", "output"))
-        good = F.coalesce(F.col("output").rlike(pattern), F.lit(False))
+        good = F.coalesce(F.col("output").rlike(pattern), F.lit(False)) if pattern is not None else conforms(F.col("output"), json_schema)
         keep = asked if k == attempts else asked.where(good)
         part = keep.withColumn("attempts", F.lit(k)).withColumn("valid", good)
         done = part if done is None else done.unionByName(part)
@@ -118,6 +145,15 @@ def enforced(df: DataFrame, prompt: str, pattern: str, attempts: int, backend: B
     return done.drop("__p")
 
 
+def fanned_out(embedded: DataFrame, expected: DataFrame) -> DataFrame:
+    """(row_id, row, embedding): ``embedded`` (row_id, embeddings) with an entry for each of a request's vectors; ``expected`` (row_id, n) says how many it must have, another number is an error."""
+    met = embedded.join(expected, "row_id")
+    wrong = F.size("embeddings") != F.col("n")
+    text = F.concat(F.lit("row "), F.col("row_id").cast("string"), F.lit(": "), F.size("embeddings").cast("string"), F.lit(" vectors, not "), F.col("n").cast("string"))
+    checked = F.when(wrong, F.raise_error(text).cast(embedded.schema["embeddings"].dataType)).otherwise(F.col("embeddings"))
+    return met.select("row_id", F.posexplode(checked).alias("row", "embedding"))
+
+
 def embed(df: DataFrame, column: str, backend: Backend = DIGEST) -> DataFrame:
     """``df`` with ``embedding``; blank texts are an error."""
     blank = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""

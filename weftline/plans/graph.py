@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.backends import DIGEST, Backend
+from weftline.functions.backends import DIGEST, ApiBackend, Backend, posted
+from weftline.functions.generation import Generation
 from weftline.functions.paths import column_at, error_as_null, walk
 from weftline.functions.text import coerce_text, frame_columns, render
 from weftline.operators import http, lambdas, model, reshape, retrieval, rows
@@ -192,7 +193,7 @@ class Frame:
 
 @dataclass
 class Engine:
-    """Builds workflows over a session. ``pages`` answers HTTP steps, ``objects`` (path, content) object retrieval, ``planner`` planned queries."""
+    """Builds workflows over a session. ``fetcher(method, url, body)`` or, offline, ``pages`` answers HTTP steps, ``post`` chat services, ``objects`` (path, content) object retrieval, ``planner`` planned queries."""
 
     spark: SparkSession
     backend: Backend = DIGEST
@@ -200,6 +201,16 @@ class Engine:
     objects: DataFrame | None = None
     planner: Callable[[str, dict[str, list[str]]], str] = retrieval.keyword_planner
     scope: tuple[str, ...] = ()
+    fetcher: Callable[[str, str, str | None], tuple[int, str]] | None = None
+    post: Callable[[str, dict, dict, float], dict] = posted
+
+    def _model(self, s: Step) -> tuple[Backend, Generation]:
+        """What answers a step: the service that its config names, or the engine's backend with the config's settings."""
+        config = Generation.of(s.settings.get("config"))
+        if config.api:
+            return ApiBackend(config, self.post), config
+        made = getattr(self.backend, "configured", None)
+        return (made(config) if made and config.request else self.backend), config
 
     def build(self, flow: Workflow, given_frames: dict[str, Frame] | None = None, **inputs: list[str]) -> dict[str, Frame]:
         """All steps as lazy frames, in order. Steps that ``given_frames`` has are taken from there."""
@@ -284,7 +295,14 @@ class Engine:
         params = {p["label"]: (self._input(p["data"]) if "data" in p else done[p["node"]], p.get("path")) for p in spec.get("params") or []}
         mode = spec.get("mode", "sql")
         if mode == "agent":
-            found = retrieval.planned(self.spark, spec["description"], self.planner, list(spec.get("schema_scope") or self.scope))
+            description = spec["description"]
+            if params:  # one description for the step, so one row
+                df, _ = self._columns(params)
+                asked = df.select(render(description, frame_columns(df, list(params))).alias("d")).limit(2).collect()
+                if len(asked) != 1:
+                    raise WorkflowError(f"{s.id}: a planned query takes parameters of one row")
+                description = asked[0]["d"]
+            found = retrieval.planned(self.spark, description, self.planner, list(spec.get("schema_scope") or self.scope))
             grouped = found.withColumn("row_id", F.lit(0).cast("long")).withColumn("pos", F.expr(f"row_number() OVER (PARTITION BY row_id ORDER BY {', '.join(f'`{c}`' for c in found.columns)})").cast("long") - 1)
             spine = rows.literal(self.spark, [""])
             return Frame(retrieval.as_tables(spine, grouped), "table", 1, grouped)
@@ -295,7 +313,7 @@ class Engine:
             keys = df.select("row_id", render(spec["template"], frame_columns(df, list(params))).alias("value"))
             encoding = spec.get("encoding") or retrieval.encoding_of(spec["template"])
             return Frame(retrieval.object_contents(keys, self.objects, encoding=encoding), "content", count)
-        grouped = retrieval.per_row(df, spec["template"], spec.get("order_by"), view=f"__params_{hashlib.md5(s.id.encode()).hexdigest()[:12]}")
+        grouped = retrieval.per_row(df, spec["template"], spec.get("order_by"), view=f"__params_{hashlib.md5(s.id.encode()).hexdigest()[:12]}", most=spec.get("max_rows"))
         return Frame(retrieval.as_tables(df, grouped), "table", count, grouped)
 
     def _LambdaOp(self, s: Step, done: dict[str, Frame]) -> Frame:
@@ -322,6 +340,7 @@ class Engine:
 
     def _LLMChatOp(self, s: Step, done: dict[str, Frame]) -> Frame:
         template, kwargs, paths, system, turns = self._parts(s, done)
+        backend, config = self._model(s)
         if s.settings.get("rowwise_template"):
             columns = s.settings["rowwise_columns"]
             source = next(done[c["node"]] for c in columns if done[c["node"]].grouped is not None)
@@ -335,7 +354,7 @@ class Engine:
                     table = table.withColumn(c["label"], F.col(field_))
             if seed := s.settings.get("rowwise_seed"):
                 table = table.withColumn("__row_seed", model.row_seed(F.col(seed["path"].split(".")[-1])))
-            answered = model.chat_rowwise(table, s.settings["rowwise_template"], [c["label"] for c in columns], system, self.backend, seed="__row_seed" if seed else None)
+            answered = model.chat_rowwise(table, s.settings["rowwise_template"], [c["label"] for c in columns], system, backend, seed="__row_seed" if seed else None)
             return Frame(reshape.regroup(source.df, answered, "output", "output"), "output", source.count, answered)
         if s.settings.get("aggregate_table"):
             parts = s.settings["aggregate_table"]
@@ -351,12 +370,12 @@ class Engine:
                 spine, count = self._columns({k: (done[r], paths.get(k)) for k, r in kwargs.items()})
             else:
                 spine, count = done[parts[0]["node"]].df.select("row_id"), done[parts[0]["node"]].count
-            answered = model.chat_table(spine, table, [p["label"] for p in parts], template, list(kwargs), system, self.backend)
+            answered = model.chat_table(spine, table, [p["label"] for p in parts], template, list(kwargs), system, backend)
             return Frame(answered.select("row_id", "output"), "output", count)
         if source := s.settings.get("rowwise_messages"):
             frame = done[source["node"]].value(source.get("path"))
             asked = frame.select("row_id", F.col("value").alias("__j"))
-            return Frame(model.chat(asked, model.conversations(asked, "__j"), self.backend).select("row_id", "output"), "output", done[source["node"]].count)
+            return Frame(model.chat(asked, model.conversations(asked, "__j"), backend).select("row_id", "output"), "output", done[source["node"]].count)
         refs, turn_columns = {}, []
         for i, m in enumerate(turns):
             if "node" in m:
@@ -367,6 +386,12 @@ class Engine:
         if not refs:
             refs["__prompt"] = (self._input(["\n".join(m.get("content", "") for m in turns if m["role"] == "user")]), None)
         df, count = self._columns(refs)
+        if condition := s.settings.get("condition"):  # before the model: a false condition asks nothing
+            gate = done[condition["node"]]
+            if gate.count != 1:
+                raise WorkflowError(f"{s.id}: a condition needs a step of one row")
+            truth = gate.value(condition.get("path")).select(F.lower(F.col("value").cast("string")).isin("true", "1", "yes").alias("__go"))
+            df = df.join(F.broadcast(truth.where("__go").limit(1))).drop("__go")
         for i, m in enumerate(turns):
             if "node" in m:
                 turn_columns.append((m["role"], coerce_text(F.col(f"t{i}"), df.schema[f"t{i}"].dataType)))
@@ -380,31 +405,33 @@ class Engine:
         if earlier := s.settings.get("history"):  # an upstream step's transcript goes ahead
             df = df.join(done[earlier].df.select("row_id", F.col("history").alias("__h")), "row_id")
             transcript = F.concat(F.col("__h"), transcript)
-        answered = model.chat(df, transcript, self.backend, return_history=bool(s.settings.get("return_history")))
-        keep = [c for c in ("row_id", "output", "history") if c in answered.columns]
+        if rule := config.output_enforcement:
+            asked = df.withColumn("__t", transcript)
+            asked = asked.withColumn("__q", model.prompt_text(F.col("__t")))
+            answered = model.enforced(asked, "__q", rule.text_regex, rule.max_attempts, backend, rule.json_schema)
+            answered = answered.withColumn("history", F.concat(F.col("__t"), model.messages(("assistant", F.col("output")))))
+        else:
+            answered = model.chat(df, transcript, backend, return_history=bool(s.settings.get("return_history")))
+        keep = [c for c in ("row_id", "output", "history", "attempts", "valid") if c in answered.columns]
         answered = answered.select(*keep)
         if fields := s.settings.get("structural_outputs"):
             answered = model.structured(answered, [model.Field(**{k: tuple(v) if k == "candidates" else v for k, v in f.items()}) for f in fields])
-        if condition := s.settings.get("condition"):
-            gate = done[condition["node"]]
-            if gate.count != 1:
-                raise WorkflowError(f"{s.id}: a condition needs a step of one row")
-            truth = gate.value(condition.get("path")).select(F.lower(F.col("value").cast("string")).isin("true", "1", "yes").alias("__go"))
-            answered = answered.join(F.broadcast(truth.limit(1))).where("__go").drop("__go")
         return Frame(answered, "output", count)
 
     def _LLMCompletionOp(self, s: Step, done: dict[str, Frame]) -> Frame:
+        backend, _ = self._model(s)
         source = done[s.settings.get("prompt") or s.inputs[0]]
         df = source.value()
-        return Frame(model.completion(df, coerce_text(F.col("value"), df.schema["value"].dataType), self.backend).select("row_id", "output"), "output", source.count)
+        return Frame(model.completion(df, coerce_text(F.col("value"), df.schema["value"].dataType), backend).select("row_id", "output"), "output", source.count)
 
     def _LLMVisionOp(self, s: Step, done: dict[str, Frame]) -> Frame:
+        backend, _ = self._model(s)
         source = done[s.settings["image_source"]]
         template, kwargs, paths, _, _ = self._parts(s, done)
         images = reshape.flatten(source.value(s.settings.get("image_path")), "value", "content") if isinstance(source.value(s.settings.get("image_path")).schema["value"].dataType, T.ArrayType) else source.value(s.settings.get("image_path")).select("row_id", F.lit(0).cast("long").alias("pos"), F.col("value").alias("content"))
         for k, r in kwargs.items():
             images = images.join(done[r].value(paths.get(k)).withColumnRenamed("value", k), "row_id")
-        out = model.vision(source.df, images, template or "describe", list(kwargs), self.backend)
+        out = model.vision(source.df, images, template or "describe", list(kwargs), backend)
         return Frame(out.withColumnRenamed("value", "output"), "output", source.count)
 
     def _ImageGenerationOp(self, s: Step, done: dict[str, Frame]) -> Frame:
@@ -422,15 +449,45 @@ class Engine:
         return Frame(out, "output", candidates.count)
 
     def _HttpFetchOp(self, s: Step, done: dict[str, Frame]) -> Frame:
-        if self.pages is None:
-            raise WorkflowError(f"{s.id}: the engine has no pages")
+        if self.pages is None and self.fetcher is None:
+            raise WorkflowError(f"{s.id}: the engine has neither a fetcher nor pages")
         config = {k: v for k, v in (s.settings.get("config") or {}).items() if k in ("retries", "concurrency", "delay_s", "fail_open")}
         request = http.HttpRequest(s.settings["url"], s.settings.get("method", "GET"), s.settings.get("params") or {}, s.settings.get("body"), **config)
         source = done[s.settings.get("query") or s.inputs[0]]
-        got = http.fetch_from_pages(source.value(), request, self.pages)
+        got = http.fetch(source.value(), request, self.fetcher) if self.fetcher else http.fetch_from_pages(source.value(), request, self.pages)
         return Frame(got.withColumn("json", F.col("body")), "json", source.count)
 
 
 def output_value(result: Any, path: str) -> Any:
     """A value of a plain result, by path."""
     return walk(result, path)
+
+
+def merged(*flows: Workflow, name: str = "merged") -> Workflow:
+    """One workflow of several; a step, input or output that two of them name is an error."""
+    steps: dict[str, Step] = {}
+    inputs: dict[str, tuple[str, ...]] = {}
+    outputs: list[Output] = []
+    for flow in flows:
+        if both := set(steps) & set(flow.steps):
+            raise WorkflowError(f"steps of two workflows: {sorted(both)}")
+        steps |= flow.steps
+        inputs |= flow.inputs
+        outputs += flow.outputs
+    return Workflow(name, steps, tuple(outputs), inputs)
+
+
+def step_id(scope: str, name: str) -> str:
+    """A stable id of a step: its scope, its name and a digest of both."""
+    return f"{scope}_{name}_{hashlib.blake2b(f'{scope}/{name}'.encode(), digest_size=8).hexdigest()}"
+
+
+def data(id_: str, values: Any) -> Step:
+    """A source step from a string, a list of strings, or a list of turns."""
+    if isinstance(values, str):
+        values = [values]
+    if isinstance(values, list) and values and all(isinstance(v, dict) and {"role", "content"} == set(v) for v in values):
+        return Step(id_, "MessageOp", (), {"messages": values})
+    if isinstance(values, list) and all(isinstance(v, str) for v in values):
+        return Step(id_, "DataOp", (), {"data": values})
+    raise WorkflowError(f"{id_}: data is a string, a list of strings, or a list of turns")
