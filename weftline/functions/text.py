@@ -96,6 +96,7 @@ def redact(text: Column) -> Column:
     """Values of secret headers and names, and bearer tokens anywhere, replaced by ``[REDACTED]``; the scheme of an authorization is kept."""
     headers, names = "|".join(SECRET_HEADERS), "|".join(SECRET_NAMES)
     out = F.regexp_replace(text, rf'(?i)("(?:{headers})"\s*:\s*)"[^"]*"', '$1"[REDACTED]"')
-    out = F.regexp_replace(out, rf"(?i)(?<![\w-])((?:{headers})\s*[:=]\s*(?:[A-Za-z][\w-]*[ \t]+)?)[^\s;][^\n;]*", "$1[REDACTED]")
+    out = F.regexp_replace(out, rf"(?i)(?<![\w-])((?:proxy-)?authorization\s*[:=]\s*(?:[A-Za-z][\w-]*[ \t]+)?)[^\s;][^\n;]*", "$1[REDACTED]")
+    out = F.regexp_replace(out, rf"(?i)(?<![\w-])((?!(?:proxy-)?authorization)(?:{headers})\s*[:=]\s*)[^\s;][^\n;]*", "$1[REDACTED]")
     out = F.regexp_replace(out, r"(?i)\bbearer\s+(?!\[REDACTED)[^\s;,\"]+", "Bearer [REDACTED]")
     return F.regexp_replace(out, rf'(?i)("?\b(?:{names})"?\s*[:=]\s*)("[^"]*"|(?!\[REDACTED)[^\s,;}}]+)', "$1[REDACTED]")

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from weftline.functions.paths import as_text
+
 #: Names a function body may use; fixed values.
 BUILTINS = "abs all any bool dict enumerate filter float int isinstance len list map max min range reversed round set sorted str sum tuple zip".split()
 EXCEPTIONS = "ArithmeticError AssertionError AttributeError Exception IndexError KeyError LookupError NotImplementedError OverflowError RuntimeError StopIteration TypeError ValueError ZeroDivisionError".split()
@@ -71,10 +73,6 @@ def materialise(code: str, name: str | None = None):
     return space[name]
 
 
-def _text(value: Any) -> str:
-    return value if isinstance(value, str) else json.dumps(value)
-
-
 def _plain(value: Any) -> Any:
     if isinstance(value, np.generic):
         return value.item()
@@ -88,7 +86,7 @@ def apply_row(df: DataFrame, columns: list[str], code: str, name: str | None = N
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = materialise(code, name)
         for frame in frames:
-            yield frame.assign(output=[_text(f(tuple(map(_plain, row)))) for row in frame[columns].itertuples(index=False, name=None)])
+            yield frame.assign(output=[as_text(f(tuple(map(_plain, row)))) for row in frame[columns].itertuples(index=False, name=None)])
 
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields)
     return df.mapInPandas(run, f"{schema}, output string")
@@ -111,7 +109,7 @@ def apply_columns(df: DataFrame, columns: list[str], code: str, name: str | None
         if aligned and len(result) != len(frame):
             raise LambdaError(f"the function gave {len(result)} values for {len(frame)} rows")
         ids = frame["row_id"].tolist() if aligned else range(len(result))
-        return pd.DataFrame({**{k: [frame[k].iloc[0]] * len(result) for k in key}, "row_id": list(ids), "output": [_text(x) for x in result]})
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] * len(result) for k in key}, "row_id": pd.Series(list(ids), dtype="int64"), "output": pd.Series([as_text(x) for x in result], dtype=object)})
 
     kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in key)
     return df.select(*key, "row_id", *columns).groupBy(*key).applyInPandas(run, f"{kinds}row_id long, output string")

@@ -171,6 +171,13 @@ def classify(queries: DataFrame, candidates: DataFrame, apply_sigmoid: bool = Tr
     return scored.select("row_id", F.col("row_id").alias("index"), (sigmoid(F.col("__s")) if apply_sigmoid else F.col("__s")).alias("output"))
 
 
+def blocks(rows: DataFrame, asked: DataFrame, key: str, size: int = 256) -> DataFrame:
+    """Every row with every row of a stated query set ``asked``: the set is cut into blocks by ``key``, and a block and all rows meet by its number."""
+    count = max(1, -(-asked.count() // size))
+    cut = asked.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(count)))
+    return rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).join(cut, "__block").drop("__block")
+
+
 def vision(spine: DataFrame, images: DataFrame, template: str, columns: list[str], backend: Backend = DIGEST) -> DataFrame:
     """(row_id, value): for each row the answers to its images, in order. ``images`` has row_id, pos, content and ``columns``."""
     text = render(template, frame_columns(images, columns))

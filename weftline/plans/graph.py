@@ -383,7 +383,9 @@ class Engine:
         if template:
             text = self._rendered(template, kwargs, paths, done)
             refs["__prompt"] = (text, None)
-        if not refs:
+        if earlier := s.settings.get("history"):  # an upstream step's transcript goes ahead
+            refs["__h"] = (done[earlier], "history")
+        if not set(refs) - {"__h"}:
             refs["__prompt"] = (self._input(["\n".join(m.get("content", "") for m in turns if m["role"] == "user")]), None)
         df, count = self._columns(refs)
         if condition := s.settings.get("condition"):  # before the model: a false condition asks nothing
@@ -402,8 +404,7 @@ class Engine:
         if "__prompt" in refs and not any(r == "user" for r, _ in turn_columns):
             turn_columns.append(("user", F.col("__prompt")))
         transcript = model.messages(*turn_columns)
-        if earlier := s.settings.get("history"):  # an upstream step's transcript goes ahead
-            df = df.join(done[earlier].df.select("row_id", F.col("history").alias("__h")), "row_id")
+        if earlier:
             transcript = F.concat(F.col("__h"), transcript)
         if rule := config.output_enforcement:
             asked = df.withColumn("__t", transcript)

@@ -184,9 +184,14 @@ def topk_join(spark, sf_dir):
 
 @query("""SELECT s.s_suppkey, count(DISTINCT p.p_brand)::BIGINT AS brands FROM supplier s LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey LEFT JOIN part p ON p.p_partkey = l.l_partkey GROUP BY s.s_suppkey""")
 def dependent_retrieval(spark, sf_dir):
-    suppliers, lines, parts = (table(spark, sf_dir, t) for t in ("supplier", "lineitem", "part"))
-    first = suppliers.select("s_suppkey").join(lines.select("l_suppkey", "l_partkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return first.join(parts.select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("s_suppkey").agg(F.countDistinct("p_brand").alias("brands"))
+    """Two templates, the second reads what the first found: a row of its table is a parameter row."""
+    register(spark, sf_dir, ["lineitem", "part"])
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_suppkey").alias("supplier"))
+    first = retrieval.per_row(suppliers, "SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_suppkey = {supplier}")
+    asked = first.select(F.struct("row_id", "pos").alias("row_id"), "part")
+    second = retrieval.per_row(asked, "SELECT p_brand FROM part WHERE p_partkey = {part}", view="__parts")
+    brands = second.groupBy(F.col("row_id.row_id").alias("s_suppkey")).agg(F.countDistinct("p_brand").alias("brands"))
+    return suppliers.select(F.col("row_id").alias("s_suppkey")).join(brands, "s_suppkey", "left").withColumn("brands", F.coalesce("brands", F.lit(0).cast("long")))
 
 
 @query("SELECT p_brand, count(*)::BIGINT AS n FROM part GROUP BY p_brand")
@@ -267,11 +272,34 @@ def aggregate_table(spark, sf_dir):
 @query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)')) AS q FROM benchmark WHERE item_id % 50 = 0), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)')) AS c FROM documents)
 SELECT item_id, doc_id, round(1 / (1 + exp(-(8 * (CASE WHEN len(q) = 0 OR len(c) = 0 THEN 0.0 ELSE len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))) END) - 4))), 9) AS score FROM b, d""")
 def classification_pairs(spark, sf_dir):
-    """A stated query set, every fiftieth test item, against all documents."""
+    """A stated query set, every fiftieth test item, against all documents: shared words are counted where they meet, the rest follows from the sets' sizes."""
     asked = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select("item_id", X.token_set(F.col("text")).alias("q"))
     docs = table(spark, sf_dir, "documents").select("doc_id", X.token_set(F.col("text")).alias("c"))
-    pairs = docs.crossJoin(asked)
-    return pairs.select("item_id", "doc_id", F.round(model.sigmoid(8 * X.jaccard(F.col("q"), F.col("c")) - 4), 9).alias("score"))
+    shared = docs.select("doc_id", F.explode("c").alias("w")).join(asked.select("item_id", F.explode("q").alias("w")), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+    sizes = docs.select("doc_id", F.size("c").alias("nc"))
+    pairs = model.blocks(sizes, asked.select("item_id", F.size("q").alias("nq")), "item_id").join(shared, ["item_id", "doc_id"], "left")
+    both = F.coalesce("shared", F.lit(0))
+    near = F.when((F.col("nq") > 0) & (F.col("nc") > 0), both / (F.col("nq") + F.col("nc") - both)).otherwise(0.0)
+    return pairs.select("item_id", "doc_id", F.round(model.sigmoid(8 * near - 4), 9).alias("score"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text FROM conversations), p AS (SELECT a.conv_id, coalesce(a.text, '') AS q, coalesce(b.text, '') AS c FROM t a JOIN t b ON b.conv_id = a.conv_id AND a.turn = 0 AND b.turn = 1),
+s AS (SELECT conv_id, list_distinct(regexp_extract_all(lower(q), '([a-z0-9_]+)')) AS q, list_distinct(regexp_extract_all(lower(c), '([a-z0-9_]+)')) AS c FROM p)
+SELECT conv_id AS row_id, conv_id AS "index", round(1 / (1 + exp(-(8 * (CASE WHEN len(q) = 0 OR len(c) = 0 THEN 0.0 ELSE len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))) END) - 4))), 9) AS output FROM s""")
+def classification_aligned(spark, sf_dir):
+    """Each conversation's first turn against its second, row by row."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("row_id"), "turn", F.coalesce("text", F.lit("")).alias("value"))
+    out = model.classify(turns.where("turn = 0").select("row_id", "value"), turns.where("turn = 1").select("row_id", "value"))
+    return out.withColumn("output", F.round("output", 9))
+
+
+@query("""WITH q AS (SELECT list_distinct(regexp_extract_all(lower('the question of a name'), '([a-z0-9_]+)')) AS q), d AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_]+)')) AS c FROM benchmark)
+SELECT item_id AS row_id, item_id AS "index", round(8 * (CASE WHEN len(c) = 0 THEN 0.0 ELSE len(list_intersect(q, c)) / len(list_distinct(list_concat(q, c))) END) - 4, 9) AS output FROM d, q""")
+def classification_one_query(spark, sf_dir):
+    """One query against all candidates, plain scores."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("value"))
+    out = model.classify(rows.literal(spark, ["the question of a name"]), items, apply_sigmoid=False, single_query=True)
+    return out.withColumn("output", F.round("output", 9))
 
 
 @query("""WITH q AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0)
@@ -280,7 +308,7 @@ def embedding_topk_cosine(spark, sf_dir):
     """A stated query set, every fiftieth vector, against all others: the ten nearest of each."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
-    scored = vectors.join(asked, F.col("vec_id") != F.col("qid")).select("qid", "vec_id", cosine(F.col("embedding"), F.col("qe")).alias("score"))
+    scored = model.blocks(vectors, asked, "qid").where("vec_id <> qid").select("qid", "vec_id", cosine(F.col("embedding"), F.col("qe")).alias("score"))
     best = scored.withColumn("k", F.expr("row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)")).where("k <= 10")
     return best.select("qid", "vec_id", F.round("score", 6).alias("score"))
 
@@ -321,10 +349,10 @@ def structural_outputs(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT conv_id, turn, md5('user: ' || coalesce(text, 'None')) AS x, md5(text) AS o1 FROM conversations),
-t AS (SELECT conv_id, turn, text, md5(text) AS o1, md5(text || chr(10) || '(attempt 2)') AS o2 FROM conversations WHERE text IS NOT NULL)
+t AS (SELECT conv_id, turn, text, md5(coalesce(text, 'None')) AS o1, md5(coalesce(text, 'None') || chr(10) || '(attempt 2)') AS o2 FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(o1, '^[0-9]') THEN o1 ELSE o2 END AS output, CASE WHEN regexp_matches(o1, '^[0-9]') THEN 1 ELSE 2 END AS attempts, regexp_matches(o1, '^[0-9]') OR regexp_matches(o2, '^[0-9]') AS valid FROM t""")
 def output_enforcement(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return model.enforced(turns, "text", "^[0-9]", 2).select("conv_id", "turn", "output", "attempts", "valid")
 
 
@@ -402,15 +430,29 @@ def policy_fair_turn(spark, sf_dir):
 
 
 @query("""WITH i AS (SELECT p_partkey AS item_id, [p_brand] AS models, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '([a-z0-9_]+)')) AS words, p_size::DOUBLE AS size FROM part),
-p AS (SELECT a.item_id AS a, b.item_id AS b, a.models AS am, b.models AS bm, a.words AS aw, b.words AS bw, a.size AS sa, b.size AS sb FROM i a JOIN i b ON b.item_id = a.item_id + 1)
+p AS (SELECT a.item_id AS a, b.item_id AS b, a.models AS am, b.models AS bm, a.words AS aw, b.words AS bw, a.size AS sa, b.size AS sb FROM i a JOIN i b ON a.item_id % 50 = 0 AND b.item_id <> a.item_id)
 SELECT a, b, round(1 - (0.7 * (am[1] = bm[1])::INT + 0.2 * (CASE WHEN len(aw) = 0 OR len(bw) = 0 THEN 0.0 ELSE len(list_intersect(aw, bw)) / len(list_distinct(list_concat(aw, bw))) END) + 0.1 * (CASE WHEN greatest(sa, sb) > 0 THEN least(sa, sb) / greatest(sa, sb) ELSE 1.0 END)), 9) AS distance FROM p""")
 def affinity_pairs(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
-    items = parts.select(F.col("p_partkey").alias("item_id"), F.array("p_brand").alias("models"), X.token_set(F.concat_ws(" ", "p_name", "p_type")).alias("words"), F.col("p_size").cast("double").alias("size"))
-    pairs = items.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"))
+    """A stated query set, every fiftieth part, against all others."""
+    items = _parts_as_items(spark, sf_dir)
+    ids = items.select(F.col("item_id").alias("b"))
+    pairs = model.blocks(ids, items.where("item_id % 50 = 0").select(F.col("item_id").alias("a")), "a").where("a <> b")
     return policies.affinity(items, pairs).select("a", "b", F.round("distance", 9).alias("distance"))
 
 
+def _parts_as_items(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    words = X.token_set(F.concat_ws(" ", "p_name", "p_type"))
+    return parts.select(F.col("p_partkey").alias("item_id"), F.array("p_brand").alias("models"), words.alias("words"), F.col("p_size").cast("double").alias("size"))
+
+
+@query()
+def affinity_batch(spark, sf_dir):
+    """Ten parts of the queue's head that belong together; tested against a plain clustering."""
+    items = _parts_as_items(spark, sf_dir)
+    return policies.affinity_batch(items.withColumn("user_id", F.col("item_id") % 3).withColumn("enqueued_at", F.timestamp_seconds(F.col("item_id") * 60)), 10, head=64)
+
+
 @query("SELECT event_id AS job_id, event_type AS status FROM events WHERE event_type = 'view' ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 25 OFFSET 25")
 def job_listing_page(spark, sf_dir):
     jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("submitted_at"))
@@ -464,16 +506,29 @@ def ordered_dedup(spark, sf_dir):
     return rows.keep_first(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
+_HEADERS = ("Authorization: Basic dXNlcjpwYXNz", "x-api-key: k1 k2", '{"Authorization": "Basic abc"}', "cookie=a b", "sent Bearer a.b-c twice", "my token: t1, kept")
+_HIDDEN = ("Authorization: Basic [REDACTED]", "x-api-key: [REDACTED]", '{"Authorization": "[REDACTED]"}', "cookie=[REDACTED]", "sent Bearer [REDACTED] twice", "my token: [REDACTED], kept")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_HIDDEN)) + " END || chr(10) || c_name AS text FROM customer")
+def redaction_of_headers(spark, sf_dir):
+    cases = F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.redact(F.concat(cases, F.lit("\n"), F.col("c_name"))).alias("text"))
+
+
 @query("""SELECT c_custkey, 'Authorization: Bearer [REDACTED]; user=' || c_name AS text FROM customer""")
 def redaction(spark, sf_dir):
     text = F.concat(F.lit("Authorization: Bearer abc"), F.col("c_custkey").cast("string"), F.lit("; user="), F.col("c_name"))
     return table(spark, sf_dir, "customer").select("c_custkey", X.redact(text).alias("text"))
 
 
-@query("""SELECT p_partkey, (count(*) FILTER (x BETWEEN 0 AND 255) = 64)::BOOLEAN AS whole FROM (SELECT p_partkey, unnest(range(64)) AS x FROM part) GROUP BY 1""")
+@query("""SELECT p_partkey, x::BIGINT AS place, ('0x' || substr(md5(p_name), 1 + 2 * (x % 16)::INT, 2))::INT AS pixel FROM part, range(64) t(x)""")
 def image_generation_stub(spark, sf_dir):
+    """Every pixel of every bitmap."""
     out = model.render_image(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("value")), "value")
-    return out.select("p_partkey", (F.octet_length("image") == 64 + len("P5 8 8 255\n")).alias("whole"))
+    head = len("P5 8 8 255\n")
+    at = out.select("p_partkey", "image", F.explode(F.sequence(F.lit(0), F.octet_length("image") - head - 1)).alias("place"))
+    return at.select("p_partkey", F.col("place").cast("long").alias("place"), F.conv(F.hex(F.substring("image", F.col("place") + head + 1, F.lit(1))), 16, 10).cast("int").alias("pixel"))
 
 
 @query("""SELECT row_id, count(*)::BIGINT AS n, md5(string_agg(md5('see ' || url || chr(10) || 'image ' || md5(html)), ',' ORDER BY page_id)) AS digest FROM (SELECT page_id % 10 AS row_id, page_id, url, html FROM pages) GROUP BY row_id""")

@@ -140,6 +140,7 @@ def from_n8n(text: str) -> Workflow:
     for source, links in (doc.get("connections") or {}).items():
         for target in (t["node"] for group in links.get("ai_languageModel", []) for t in group):
             models[target] = next((n.get("parameters") or {} for n in doc["nodes"] if n["name"] == source), {})
+    sources_of_models = {source for source, links in (doc.get("connections") or {}).items() if links.get("ai_languageModel")}
     feeds: dict[str, list[str]] = {}
     for source, links in (doc.get("connections") or {}).items():
         for t in (t["node"] for group in links.get("main", []) for t in group):
@@ -174,8 +175,20 @@ def from_n8n(text: str) -> Workflow:
                 entry["messages"] = [{"role": "system", "content": "\n".join(system)}]
             if tables:
                 entry["aggregate_table"] = tables
-        else:
+        elif kind in ("embeddings", "embeddingsOpenAi"):
+            entry = {"id": name, "op": "EmbeddingOp", "content": feeds[name][0], "config": {"model": p["model"]} if p.get("model") else {}}
+        elif kind == "httpRequest":
+            url, found = expressions(p["url"])
+            entry = {"id": name, "op": "HttpFetchOp", "url": re.sub(r"\{\w+\}", "{query}", url), "query": found[0]["node"] if found else feeds[name][0], "method": p.get("method", "GET")}
+        elif kind == "textClassifier":
+            query, candidates = (expressions(p[k])[1][0]["node"] for k in ("query", "candidates"))
+            entry = {"id": name, "op": "ClassificationOp", "query": query, "candidates": candidates}
+        elif kind == "imageGeneration":
+            entry = {"id": name, "op": "ImageGenerationOp", "content": feeds[name][0]}
+        elif name in sources_of_models or kind in ("stickyNote", "noOp"):
             continue
+        else:
+            raise WorkflowError(f"{name}: a node of type {node['type']} can't be read")
         entry = {k: v for k, v in entry.items() if v is not None}
         steps[name] = _step(entry)
     ends = [s for s in steps if not any(s in t.references() for t in steps.values())]
