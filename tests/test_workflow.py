@@ -1,9 +1,12 @@
 """The workflow engine: paths, templates, routing, functions, documents, rounds, jobs, and queries against DuckDB."""
 
 import json
+import os
 import subprocess
 import sys
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
+from threading import Thread
 
 import duckdb
 import pytest
@@ -11,12 +14,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline import queries
+from weftline import queries, workflow_queries
 from weftline.functions import paths, text
 from weftline.functions.backends import CallableBackend
+from weftline.jobs import policies
 from weftline.operators import http, lambdas, model, reshape, retrieval, rows
 from weftline.operators.router import Router, RouteRule
-from weftline.plans.dynamic import Library, parse_decision, run_rounds
+
+from weftline.plans.dynamic import Library, parse_decision, posted_planner, run_rounds
 from weftline.plans.graph import Engine, WorkflowError
 from weftline.sources import tables
 from weftline.spec.documents import expressions, from_n8n, from_native, from_yaml
@@ -28,10 +33,10 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize(
     ("value", "path", "expected"),
     [
-        ({"output": "hi"}, "output", "hi"),
-        ({"metadata": {"prompt": "hello"}}, "metadata.prompt", "hello"),
-        ({"table": '{"symbol":{"0":"NVDA"}}'}, "table.symbol", {"0": "NVDA"}),
-        ({"index": 0, "status_code": 500, "error": "boom"}, "json", None),
+        ({"output": "so"}, "output", "so"),
+        ({"metadata": {"prompt": "ask"}}, "metadata.prompt", "ask"),
+        ({"table": '{"name":{"0":"Peru"}}'}, "table.name", {"0": "Peru"}),
+        ({"index": 3, "status_code": 502, "error": "no answer"}, "json", None),
         ({"json": {"choices": [{"message": {"content": "x"}}]}}, "json.choices[0].message.content", "x"),
         ({"rows": [{"a": "r0"}, {"a": "r1"}]}, "rows.a", ["r0", "r1"]),
         ({"a": 1}, "", {"a": 1}),
@@ -200,6 +205,130 @@ def test_rounds(spark):
     assert library.expand({"ref": "q", "id": "z", "inputs": ["Name"]})["data_spec"]["params"] == [{"label": "p", "node": "Name"}]
 
 
+def plain_batch(distance, enqueued, k):
+    """Average linkage over all pairs, recomputed at every step."""
+    n = len(distance)
+
+    def mean(pairs):
+        pairs = list(pairs)
+        return round(sum(distance[a][b] for a, b in pairs) / len(pairs), 9) if pairs else 0.0
+
+    def subset(members):
+        offers = []
+        for seed in members:
+            taken = [seed]
+            while len(taken) < k:
+                rest = [m for m in members if m not in taken]
+                taken.append(min(rest, key=lambda m: (mean((m, t) for t in taken), enqueued[m], m)))
+            offers.append((mean((a, b) for i, a in enumerate(taken) for b in taken[i + 1:]), min(enqueued[m] for m in taken), taken))
+        return min(offers, key=lambda o: o[:2])
+
+    clusters, best = [[i] for i in range(n)], None
+    while len(clusters) > 1:
+        i, j = min(((i, j) for i in range(len(clusters)) for j in range(i + 1, len(clusters))), key=lambda x: mean((a, b) for a in clusters[x[0]] for b in clusters[x[1]]))
+        both = clusters[i] + clusters[j]
+        clusters = [c for x, c in enumerate(clusters) if x not in (i, j)] + [both]
+        if len(both) >= k and (best is None or subset(both)[:2] < best[:2]):
+            best = subset(both)
+    return best[2]
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10_000), st.integers(4, 9), st.integers(2, 4))
+def test_affinity_batch(seed, n, k):
+    import numpy as np
+
+    rnd = np.random.default_rng(seed)
+    d = rnd.integers(1, 1000, (n, n)) / 1000
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    assert sorted(policies.linked_batch(d, list(range(n)), k)) == sorted(plain_batch(d.tolist(), list(range(n)), k))
+
+
+def test_affinity_batch_takes_an_item_of_each_user(spark):
+    queue = spark.createDataFrame([(i, ["m"] if i < 6 else [f"m{i}"], ["w"], 1.0, i % 3, i) for i in range(12)], "item_id long, models array<string>, words array<string>, size double, user_id int, at long")
+    out = policies.affinity_batch(queue.withColumn("enqueued_at", F.timestamp_seconds("at")), 4).orderBy("place").collect()
+    assert {r["item_id"] % 3 for r in out[:3]} == {0, 1, 2} and all(r["item_id"] < 6 for r in out)
+    assert policies.affinity_batch(queue.where("false").withColumn("enqueued_at", F.timestamp_seconds("at")), 4).count() == 0
+
+
+class Stub(BaseHTTPRequestHandler):
+    calls: list = []
+
+    def do_GET(self):
+        self.send_response(404 if self.path.endswith("none") else 200)
+        self.end_headers()
+        if not self.path.endswith("none"):
+            self.wfile.write(json.dumps({"path": self.path}).encode())
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Stub.calls.append((self.headers.get("Authorization"), body))
+        if len(Stub.calls) == 1:  # the first request fails
+            self.send_response(503)
+            self.end_headers()
+            return
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps({"choices": [{"message": {"content": body["messages"][-1]["content"].upper()}}]}).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_services_over_the_network(spark):
+    secret = os.environ["HOME"]  # a variable that Python workers have too
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        flow = from_yaml(f"inputs: {{n: [x]}}\nops: [{{id: h, op: HttpFetchOp, url: '{url}/{{query}}', query: n}}, {{id: c, op: LLMChatOp, prompt: {{template: 'ask {{n}}', format_kwargs: {{n: n}}}}, config: {{model: m, temperature: 0.1, api: {{url: '{url}', authorization: HOME, concurrency: 1}}}}}}]\noutputs: [{{name: h, ref: h, path: json.path}}, {{name: c, ref: c}}]")
+        engine = Engine(spark, fetcher=http.over_network)
+        out = engine.run(flow, n=["a", "none"])
+        assert {r["row_id"]: r["value"] for r in out["h"].collect()} == {0: "/a", 1: "null"}
+        assert secret not in out["c"]._jdf.queryExecution().toString()
+        assert {r["row_id"]: r["value"] for r in out["c"].collect()} == {0: "ASK A", 1: "ASK NONE"}
+        assert all(key == secret and body["temperature"] == 0.1 and body["model"] == "m" for key, body in Stub.calls)
+    finally:
+        server.shutdown()
+
+
+def test_a_false_condition_asks_nothing(spark, tmp_path):
+    def make():
+        def answer(prompts):
+            (tmp_path / "asked").touch()
+            return prompts
+
+        return answer
+
+    flow = from_yaml("inputs: {n: [x], go: ['no']}\nops: [{id: a, op: LLMChatOp, prompt: {template: '{n}', format_kwargs: {n: n}}, condition: {node: go}}]\noutputs: [{name: a, ref: a}]")
+    assert Engine(spark, backend=CallableBackend(make)).run(flow, n=["a", "b"])["a"].count() == 0
+    assert not (tmp_path / "asked").exists()
+
+
+def test_n8n_nodes_that_cannot_be_read():
+    doc = {"nodes": [{"name": "X", "type": "n8n-nodes-base.slack", "parameters": {}}], "connections": {}}
+    with pytest.raises(WorkflowError, match="slack"):
+        from_n8n(json.dumps(doc))
+
+
+def test_vectors_that_are_missing(spark):
+    got = spark.createDataFrame([(0, [[1.0], [2.0]])], "row_id long, embeddings array<array<float>>")
+    with pytest.raises(Exception, match="2 vectors, not 3"):
+        model.fanned_out(got, got.select("row_id", F.lit(3).alias("n"))).collect()
+
+
+def test_planned_queries_wait_and_ask_again():
+    waits, answers = [], iter([OSError("down"), {"choices": []}, {"choices": [{"message": {"content": "STOP"}}]}])
+
+    def post(body):
+        found = next(answers)
+        if isinstance(found, OSError):
+            raise found
+        return found
+
+    assert posted_planner(post, "m", "goal", wait=waits.append)("seen", 0) == "STOP" and waits == [1.0, 2.0]
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     events = tables.table(spark, DATA, "events")
     events.write.parquet(str(tmp_path / "in"))
@@ -212,7 +341,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
 def test_sources_and_sinks(spark, tmp_path):
     df = rows.literal(spark, ["b", "a"])
     tables.write_values(df, str(tmp_path / "items") + "/")
-    assert len(list(Path(tmp_path / "items").rglob("*.txt"))) == 2
+    assert [p.name for p in sorted(Path(tmp_path / "items").glob("*.txt"))] == ["item-000001.txt", "item-000002.txt"]
     for kind in ("parquet", "orc", "json"):
         tables.write(df, str(tmp_path / kind), kind)
     assert tables.read(spark, str(tmp_path / "json"), "jsonl", "row_id long, value string").count() == 2
@@ -221,7 +350,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert retrieval.object_contents(store.select(F.lit(0).cast("long").alias("row_id"), F.col("path").alias("value")).limit(1), store).first()["content"]
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(workflow_queries.ORACLES))
 def test_query_against_duckdb(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
