@@ -7,14 +7,17 @@ have equal anchors at equal offsets, so comparing strings with the same anchor m
 1. Screen. The leads of all anchors are spread by hash and sorted; a document learns which of its leads
    another document has too. Leads that a bounded sample finds in many documents skip this step.
 2. Suffixes. Splitters from the sample range-partition the shared suffixes by their leading bytes. A
-   suffix carries the bytes that any 50-byte string around its anchor can cover. Buckets sort by
-   multikey quicksort over 8-byte characters; in a run of equal leads the strings at each offset are
-   compared, and all but those of the least document are marked. Strings around hot leads would
-   make one run too long: they are spread by their own hash, the least document of each batch goes
-   ahead, and its rest is marked at once; so equal strings of all buckets meet.
+   suffix carries the bytes that any 50-byte string around its anchor can cover. Buckets sort the suffixes
+   by multikey quicksort over 8-byte characters, and the bytes before the anchors, read backwards, likewise.
+   Each suffix is compared with its neighbour in both orders, byte by byte. A string that starts o bytes before
+   its anchor stands where neighbours share 50 - o bytes onwards and o bytes backwards; all but those of
+   the least document are marked. Equal leads are never parted by a splitter, so no string crosses a boundary.
+   Strings around hot leads would make one run too long: they are spread by a 64-bit hash of their own, by which they are compared too,
+   the least document of each batch goes ahead, and its rest is marked at once; so equal strings of all buckets meet.
 3. Marks go back to the documents, which drop the covered bytes.
 
-Strings are compared by 64-bit rolling hashes inside a run. Null and empty texts, and texts under 50
+How many buckets and groups of documents there are follows from the texts' bytes, so one holds ``BUCKET_BYTES`` on
+average at any size. Ids are integers; other types are refused. Null and empty texts, and texts under 50
 bytes, keep all bytes. A text repeated in rows of one doc_id does not count against itself. Rows without
 an id lose nothing and count for no other. Each input row gives one row; ties cannot occur, as only a
 smaller id counts. Further columns are not read, and ``remove_repeats`` carries them along.
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mix, pack, random_table, release, released, released_pair, shuffle_partitions, unpack
+from weftline.llm.common import integer_key, mix, pack, random_table, release, released, released_pair, shuffle_partitions, unpack
 
 LENGTH, LEAD = 50, 26
 _SPREAD = LENGTH - LEAD  # furthest that an anchor stands from its string's start
@@ -38,6 +41,8 @@ _SPREAD = LENGTH - LEAD  # furthest that an anchor stands from its string's star
 BLOCK, GATHER = 1 << 17, 8 << 20
 #: Suffixes whose strings are compared at once, as far as a run of equal leads allows.
 COMPARED = 40_000
+#: Bytes of text for a bucket, and for two groups of documents, on average.
+BUCKET_BYTES = 32 << 20
 #: Longest piece of one text whose positions fit the sort key.
 PIECE = 1 << 22
 #: Documents in the sample; share of them that makes a lead hot; leads kept for splitters.
@@ -364,42 +369,60 @@ def _suffix_map(hot: np.ndarray, splitters: np.ndarray, buckets: int):
     return run
 
 
+def _characters(columns: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as characters of eight."""
+    width = -(-columns.shape[1] // 8) * 8
+    padded = np.zeros((len(columns), width), np.uint8)
+    padded[:, : columns.shape[1]] = columns
+    return [padded.view(">u8")[:, i].astype(np.uint64) for i in range(width // 8)]
+
+
+def shared_with_neighbour(columns: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row of ``order`` shares with the row before it; the first has none."""
+    out = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        rows = columns[order]
+        same = rows[1:] == rows[:-1]
+        out[1:] = np.where(same.all(axis=1), columns.shape[1], same.argmin(axis=1))
+    return out
+
+
 def _compare(docs: np.ndarray, contents: np.ndarray, los: np.ndarray, his: np.ndarray) -> np.ndarray:
     """For each suffix a mask of its strings that a smaller document's suffix holds too."""
-    width = _SPREAD + LENGTH
-    lead = np.zeros((len(docs), 32), np.uint8)
-    lead[:, :LEAD] = contents[:, _SPREAD: _SPREAD + LEAD]
-    words = [lead.view(">u8")[:, i].astype(np.uint64) for i in range(4)]
-    order = multikey_order(words)
-    starts = _runs(*[w[order] for w in words])
-    del lead, words
-    size = np.diff(np.append(starts, len(order)))
-    run = np.repeat(np.arange(len(starts)), size)
-    many = np.repeat(size > 1, size)
+    order = multikey_order(_characters(contents[:, _SPREAD: _SPREAD + LEAD]))
+    run = np.cumsum(shared_with_neighbour(contents[:, _SPREAD: _SPREAD + LEAD], order) < LEAD)
+    size = np.bincount(run)
+    many = size[run] > 1
     order, run = order[many], run[many]
     out = np.zeros(len(docs), np.uint32)
     at = 0
     while at < len(order):  # whole runs, some ten thousand suffixes at a time
         upto = int(np.searchsorted(run, run[min(at + COMPARED, len(order)) - 1], side="right"))
-        rows = order[at:upto]
-        columns = np.ascontiguousarray(contents[rows].T)
-        prefix = np.zeros((width + 1, len(rows)), np.uint64)
-        for c in range(width):
-            prefix[c + 1] = prefix[c] * _power(1) + _CODES[columns[c]]
-        salt = mix(run[at:upto].astype(np.uint64) + np.uint64(1))
-        lo, hi, doc, masks = los[rows], his[rows], docs[rows], np.zeros(len(rows), np.uint32)
-        for o in range(_SPREAD + 1):
-            here = np.flatnonzero((lo >= o) & (hi <= o))
-            if len(here):
-                a = _SPREAD - o
-                keys = mix(prefix[a + LENGTH][here] - prefix[a][here] * _power(LENGTH)) ^ salt[here]
-                late = here[~_keep_least(keys, doc[here])]
-                masks[late] |= np.uint32(1) << (o - hi[late]).astype(np.uint32)
-        out[rows] = masks
+        out[order[at:upto]] = _compare_runs(docs[order[at:upto]], contents[order[at:upto]], los[order[at:upto]], his[order[at:upto]])
         at = upto
     return out
 
 
+def _compare_runs(docs: np.ndarray, contents: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The masks of some suffixes, from the neighbours in suffix order and in the order of the bytes before, read backwards."""
+    sides = []
+    for columns in (contents[:, _SPREAD:], contents[:, :_SPREAD][:, ::-1]):
+        order = multikey_order(_characters(columns))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        sides.append((place, shared_with_neighbour(columns, order)))
+    (ahead, shared_ahead), (back, shared_back) = sides
+    masks = np.zeros(len(docs), np.uint32)
+    for o in range(_SPREAD + 1):
+        here = np.flatnonzero((lo >= o) & (hi <= o))
+        if len(here) > 1:
+            # neighbours that share enough bytes are of one kind
+            kinds = np.cumsum(shared_ahead < LENGTH - o)[ahead[here]] * np.int64(len(docs) + 1) + np.cumsum(shared_back < o)[back[here]]
+            late = here[~_keep_least(kinds, docs[here])]
+            masks[late] |= np.uint32(1) << (o - hi[late]).astype(np.uint32)
+    return masks
+
+
 def _suffix_bucket(groups: int):
     def run(table: pa.Table) -> pa.Table:
         blobs = [unpack(b) for b in table.column("blob").to_pylist()]
@@ -487,18 +510,20 @@ def _sampled(texts: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np
 
 def _marked(docs: DataFrame, key: str, text: str, buckets: int | None, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     """(group, id, row, text) of every row of ``docs``, with the columns ``carry`` as a struct, and the groups' marks."""
-    buckets = buckets or shuffle_partitions(docs.sparkSession)
-    groups = 2 * buckets
+    integer_key(docs, key)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] * bool(carry)
     whole = docs.select(F.col(key).cast("long").alias("id"), body.alias("text"), *carried)
     texts = whole.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    hot, splitters = _sampled(texts, docs.count(), buckets)
-    sent = texts.select("id", "text").mapInArrow(_screen_map(hot, buckets), "bucket int, blob binary")
-    told = sent.groupBy("bucket").applyInArrow(released(_screen_bucket(groups)), "group int, blob binary")
-    dealt = whole.select(F.coalesce(_group_column(F.col("id"), groups), F.pmod(F.hash("text"), F.lit(groups))).alias("group"), "id", F.xxhash64("id", "text").alias("row"), "text", *["carried"] * bool(carry))
-    suffixes = dealt.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(released_pair(_suffix_map(hot, splitters, buckets)), "bucket int, blob binary")
-    return dealt, suffixes.groupBy("bucket").applyInArrow(released(_suffix_bucket(groups)), "group int, blob binary")
+    total = whole.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = buckets or max(shuffle_partitions(docs.sparkSession), -(-(total["bytes"] or 0) // BUCKET_BYTES))
+    groups = 2 * buckets
+    hot, splitters = _sampled(texts, total["rows"], buckets)
+    sent = texts.select("id", "text").mapInArrow(_screen_map(hot, buckets), "bucket int, blob binary").repartition(buckets, "bucket")
+    told = sent.groupBy("bucket").applyInArrow(released(_screen_bucket(groups)), "group int, blob binary").repartition(buckets, "group")
+    dealt = whole.select(F.coalesce(_group_column(F.col("id"), groups), F.pmod(F.hash("text"), F.lit(groups))).alias("group"), "id", F.xxhash64("id", "text").alias("row"), "text", *["carried"] * bool(carry)).repartition(buckets, "group")
+    suffixes = dealt.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(released_pair(_suffix_map(hot, splitters, buckets)), "bucket int, blob binary").repartition(buckets, "bucket")
+    return dealt, suffixes.groupBy("bucket").applyInArrow(released(_suffix_bucket(groups)), "group int, blob binary").repartition(buckets, "group")
 
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
