@@ -301,6 +301,45 @@ def test_license_scan(docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def edits_within(text, phrase, k):
+    """(start, end) of all parts of a text that are at most k edits off a phrase, by the edit distance's table."""
+    for a in range(len(text) + 1):
+        row = list(range(len(phrase) + 1))
+        if row[-1] <= k:
+            yield a, a
+        for b in range(a, min(len(text), a + len(phrase) + k)):
+            new = [row[0] + 1]
+            for i, c in enumerate(phrase):
+                new.append(min(row[i + 1] + 1, new[i] + 1, row[i] + (c != text[b])))
+            row = new
+            if row[-1] <= k:
+                yield a, b + 1
+
+
+def test_license_labels_against_all_parts_of_a_text():
+    rnd, scan = random.Random(12), license_scan.Scanner()
+    for n, notice in enumerate(license_scan.NOTICES):
+        for trial in range(12):
+            text = list(notice.phrase)
+            for _ in range(rnd.randint(0, notice.edits + 1)):
+                i = rnd.randrange(len(text))
+                text[i: i + rnd.choice([0, 1])] = rnd.choice([[], ["x"], ["q", "z"]])
+            joined = " ".join(["".join(rnd.choices("aeimt", k=3)), *"".join(text).split(), "end"])
+            plain = {(a, b) for a, b in edits_within(joined, notice.phrase, notice.edits) if b > a and scan._named(joined, notice, a, b)}
+            found = [x for x in scan.fuzzy(joined) if x[0] == notice.label and x[3] <= notice.edits]
+            assert bool(plain) == bool(found), (joined, plain, found)
+
+
+def test_licenses_that_look_alike():
+    scan = license_scan.Scanner()
+    for text in ("under the mpl license", "Apache License Version 1.1", "under the bsd license", "under the isc license"):
+        assert scan(text.encode())["labels"] == "", text
+    for text, label in (("under the mlt license", "mit"), ("apache licence version 2.0", "apache-2"), ("Mozila Public License", "mpl"), ("gnu leser general public license", "lgpl"), ("gnu general publik license", "gpl")):
+        assert label in scan(text.encode())["labels"].split(","), text
+    twice = scan(b"under teh mit license under the mit license")["spans"]
+    assert [(x["start"], x["errors"]) for x in twice] == [(0, 2), (22, 0)]
+
+
 def test_lm_score(docs, empty):
     rows_in = [(r["doc_id"], r["text"]) for r in docs.collect()]
     tokens = [(d, [*SPACE_WORDS.findall(lower(t)), None]) for d, t in rows_in]

@@ -2,7 +2,8 @@
 
 A notice that may hold k edits is split into k+1 pieces; in any match one piece stands unchanged, so an
 Aho-Corasick automaton of all pieces finds every candidate place. There the regex library matches the
-notice with at most k errors and gives the span. Exact places of the base phrases are counted as words.
+notice with at most k errors and gives the span. The words that tell licenses apart, a name or a version, may have
+one error at most and must not be another license's. Exact places of the base phrases are counted as words.
 
 Null and empty texts have no words and no places: counts 0, first_word and last_word null, labels
 empty, score 0. Texts are searched whole; each row gives one row; further columns are not read.
@@ -27,26 +28,38 @@ class Notice:
     phrase: str
     label: str
     edits: int = 0
+    names: tuple[str, ...] = ()
 
 
 #: The base phrases, matched as whole words.
 BASE = (Notice("under the mit license", "mit"), Notice("apache license version 2", "apache-2"), Notice("cc by nc", "cc-by-nc"))
 #: What the method looks for besides, with up to so many edits.
 NOTICES = (
-    Notice("under the mit license", "mit", 2),
+    Notice("under the mit license", "mit", 2, ("mit",)),
     Notice("permission is hereby granted free of charge", "mit", 4),
-    Notice("apache license version 2", "apache-2", 2),
-    Notice("creative commons attribution noncommercial", "cc-by-nc", 3),
-    Notice("creative commons attribution sharealike", "cc-by-sa", 3),
-    Notice("gnu general public license", "gpl", 2),
-    Notice("gnu lesser general public license", "lgpl", 2),
-    Notice("mozilla public license", "mpl", 2),
+    Notice("apache license version 2", "apache-2", 2, ("apache", "2")),
+    Notice("creative commons attribution noncommercial", "cc-by-nc", 3, ("noncommercial",)),
+    Notice("creative commons attribution sharealike", "cc-by-sa", 3, ("sharealike",)),
+    Notice("gnu general public license", "gpl", 2, ("gnu", "general")),
+    Notice("gnu lesser general public license", "lgpl", 2, ("gnu", "lesser")),
+    Notice("mozilla public license", "mpl", 2, ("mozilla",)),
     Notice("redistribution and use in source and binary forms", "bsd", 4),
 )
+#: Names of other licenses that are one letter off a name above; numbers count as such too.
+OTHERS = frozenset("mpl mit bsd gpl lgpl isc npl epl eupl gnu nist nit mitre apache".split())
 #: Any byte that no word holds becomes a space; A-Z become a-z.
 _MAP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def near(word: str, name: str) -> bool:
+    """Whether a word is a name, or one edit off it and no other license's name or number."""
+    if word == name:
+        return True
+    if word in OTHERS or word.isdigit() or name.isdigit() or abs(len(word) - len(name)) > 1:
+        return False
+    return regex.fullmatch(f"(?:{regex.escape(name)}){{e<=1}}", word) is not None
+
+
 class Scanner:
     def __init__(self, base: tuple[Notice, ...] = BASE, notices: tuple[Notice, ...] = NOTICES):
         self.base, self.notices = base, notices
@@ -76,26 +89,33 @@ class Scanner:
 
     def fuzzy(self, joined: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, errors) of the notices, in characters of the joined words."""
-        regions: dict[int, list[list[int]]] = {}
+        regions: dict[int, set[tuple[int, int]]] = {}
         for end, (length, uses) in self.seeds.iter(joined):
             for n, offset in uses:
                 k, size = self.notices[n].edits, len(self.notices[n].phrase)
                 a = max(0, end + 1 - length - offset - k)
-                b = a + size + 2 * k
-                spans = regions.setdefault(n, [])
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
+                regions.setdefault(n, set()).add((a, min(a + size + 3 * k, len(joined))))
         found = []
         for n, spans in regions.items():
-            for a, b in spans:
-                if b - a < len(self.notices[n].phrase):
-                    continue
-                for m in self.patterns[n].finditer(joined, a, min(b, len(joined))):
-                    found.append((self.notices[n].label, m.start(), m.end(), sum(m.fuzzy_counts)))
+            notice, places = self.notices[n], []
+            for a, b in sorted(spans):  # each seed's own place, so a better match nearby hides none
+                m = self.patterns[n].search(joined, a, b)
+                if m and self._named(joined, notice, m.start(), m.end()):
+                    places.append((sum(m.fuzzy_counts), m.start(), m.end()))
+            taken: list[tuple[int, int]] = []
+            for errors, a, b in sorted(places):  # of matches that overlap the best
+                if all(b <= x or a >= y for x, y in taken):
+                    taken.append((a, b))
+                    found.append((notice.label, a, b, errors))
         return found
 
+    @staticmethod
+    def _named(joined: str, notice: Notice, start: int, end: int) -> bool:
+        """Whether the words that a match touches hold the notice's names."""
+        start, end = joined.rfind(" ", 0, start + 1) + 1, joined.find(" ", end - 1 if end > start else end)
+        words = joined[start: end if end >= 0 else len(joined)].split(" ")
+        return all(any(near(w, name) for w in words) for name in notice.names)
+
     def __call__(self, text: bytes) -> dict:
         words = [w for w in self.words(text) if w]
         joined = " ".join(words)

@@ -47,7 +47,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
