@@ -10,6 +10,7 @@ from math import fsum, log10
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm import bpe_codec, decontaminate, license_scan, lm_score, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
@@ -187,6 +188,25 @@ def test_classifiers_on_held_out_rows(spark, toxic, score, modulus, held):
     assert score(docs.where("false"), labels, label="y").count() == 0
 
 
+@pytest.mark.parametrize("score", [quality_classifier.score_quality, toxicity.score_toxicity])
+def test_classifiers_on_odd_rows(spark, docs, empty, score):
+    """Nulls, empty and very long texts, repeated rows and ids, and clashing columns."""
+    labels = spark.createDataFrame([(i, i % 2, "x", 0.1) for i, _ in corpus()] * 2, "doc_id long, y int, text string, score double")
+    rows = score(docs, labels, label="y").collect()
+    assert len(rows) == docs.count() and set(rows[0].asDict()) == {"doc_id", "held_out", "score", "predicted"}
+    by_id(score(docs, labels, label="y"))
+    assert score(empty, labels, label="y").count() == 0
+    whole = {r["doc_id"]: r["score"] for r in rows}
+    again = docs.where("doc_id < 6").withColumn("text", F.concat(F.repeat(F.lit("word "), 400_000), F.col("text")))
+    assert all(0 <= r["score"] <= 1 for r in score(docs.union(again.withColumn("doc_id", F.col("doc_id") + 5000)), labels, label="y").collect()) and whole
+
+
+@pytest.mark.parametrize("make", [near_dedup.near_duplicates, suffix_dedup.repeated_bytes, lm_score.score_documents])
+def test_ids_that_are_no_integers_are_refused(spark, make):
+    with pytest.raises(TypeError, match="integer"):
+        make(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_toxic_words_with_gaps_are_near():
     kernel = toxicity.Kernel(["idiot"])
     same, gapped, wide, other = kernel(["idiot", "id.iot", "i-d.iot", "garden"])[:, 0]
@@ -502,20 +522,58 @@ def test_decontamination_by_many_windows(spark):
         assert "Join" not in plan.split("scalar-subquery")[0] and "Aggregate" not in plan.split("scalar-subquery")[0]
 
 
+def without_repeats(text, others):
+    """A text less the bytes of 50-byte strings that earlier texts hold, whole characters only."""
+    b = text.encode()
+    known = {o[p: p + 50] for o in others for p in range(len(o) - 49)}
+    gone = bytearray(len(b))
+    for p in range(len(b) - 49):
+        if b[p: p + 50] in known:
+            gone[p: p + 50] = b"\1" * 50
+    out, at = [], 0
+    for c in text:
+        n = len(c.encode())
+        out += [] if all(gone[at: at + n]) else [c]
+        at += n
+    return "".join(out)
+
+
+def write_tables(spark, folder, texts, items):
+    rows = [(i, t, "en", "src", len(t or "")) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage against a plain version, on rows of which some repeat."""
     import corpus_pipeline
 
-    texts = [(i, t, "en", "src", len(t or "")) for i, t in corpus()]
-    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, corpus()[20][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts, items = [*corpus(), corpus()[7], corpus()[20]], [(1, corpus()[20][1])]
+    write_tables(spark, tmp_path, texts, items)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     kept = corpus_pipeline.apply_quality_rules(spark, docs, str(tmp_path))
+    good = {r["doc_id"] for r in quality_rules.assess(docs).where("kept").collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in texts if i in good)
     single = corpus_pipeline.drop_near_copies(spark, kept, str(tmp_path))
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
-    assert {r["doc_id"] for r in single.collect()} == {i for i, c in components(rows, 5)[1].items() if c == i}
+    assert {r["doc_id"] for r in single.collect()} == {i for i, c in components(dict(rows).items(), 5)[1].items() if c == i}
     cleaned = corpus_pipeline.cut_repeated_passages(spark, single, str(tmp_path))
+    left = {r["doc_id"]: r["text"] for r in single.collect()}
+    want = {i: without_repeats(t, [o.encode() for j, o in left.items() if j < i]) for i, t in left.items()}
+    assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == {i: t for i, t in want.items() if t}
     assert cleaned.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in cleaned.collect())
     clean = corpus_pipeline.drop_contaminated(spark, cleaned, str(tmp_path))
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, x in contamination([(i, t) for i, t in want.items() if t], items).items() if not x[3]}
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in clean.collect()}
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+    library, final = Tokenizer.from_file(tokenizer_path(WORD_BPE)), {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert {r["doc_id"]: r["token_ids"] for r in out.collect()} == {i: library.encode(t, add_special_tokens=False).ids for i, t in final.items()}
+
+
+@pytest.mark.parametrize("what", ["documents", "benchmark"])
+def test_pipeline_on_empty_tables(spark, tmp_path, what):
+    import corpus_pipeline
+
+    write_tables(spark, tmp_path, [] if what == "documents" else corpus(), [] if what == "benchmark" else [(1, "x y z")])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert (out.count() == 0) == (what == "documents")

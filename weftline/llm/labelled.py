@@ -12,7 +12,8 @@ from weftline.llm.common import crc_remainder
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_remainder: int, counts: dict[int, int], max_bytes: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
     """At most ``counts[v]`` texts of each label v, of at most ``max_bytes`` bytes, none held out, in a fixed order.
 
-    Labels of rows that say both 0 and 1 are left out. The chosen labels are few, so they are broadcast.
+    Labels of rows that say both 0 and 1 are left out. An id has one text, the least if its rows differ, so an id that
+    repeats brings no more. The chosen labels are few, so they are broadcast.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (crc_remainder(F.col(key), modulus) != held_remainder))
     single = known.groupBy(F.col(key).alias("__k")).agg(F.min(label).alias("__v"), F.max(label).alias("__w")).where("__v = __w").select("__k", "__v")
@@ -21,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     for c in chosen[1:]:
         picked = picked.union(c)
     texts = docs.where(F.octet_length(F.col(text)) <= max_bytes).select(F.col(key).alias("__id"), F.col(text).cast("string").alias("__t"))
-    rows = texts.join(F.broadcast(picked), F.col("__id") == F.col("__k")).select("__k", "__t", "__v").collect()
+    rows = texts.join(F.broadcast(picked), F.col("__id") == F.col("__k")).groupBy("__k", "__v").agg(F.min("__t").alias("__t")).collect()
     return [(t, v) for _, _, t, v in sorted((hash_order(r["__k"]), str(r["__k"]), r["__t"], int(r["__v"])) for r in rows)]
 
 

@@ -44,6 +44,8 @@ PART_BYTES, MOST_PARTS, ROUNDS = 8 << 20, 1 << 16, 3
 FAN, HELD = 64, 1 << 20
 #: Sampled documents for frequent words, and the share of them that makes a word frequent.
 SAMPLE_DOCS, FREQUENT_SHARE = 3000, 0.005
+#: Words that travel with the plan at most; those beyond go the other, as exact way.
+FREQUENT_WORDS = 200_000
 #: Bytes of text handled at once, and gathered to a block that asks for costs.
 BLOCK, GATHER = 1 << 21, 8 << 20
 CACHE_BITS = 22
@@ -344,7 +346,7 @@ def _frequent(docs: DataFrame, total: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(_distinct(texts[part], of)[1].view(np.int64))], names=["word"])
 
     least = max(8, int(min(total, SAMPLE_DOCS) * FREQUENT_SHARE))
-    top = sample.select("text").mapInArrow(words, "word long").groupBy("word").count().where(F.col("count") >= least).collect()
+    top = sample.select("text").mapInArrow(words, "word long").groupBy("word").count().where(F.col("count") >= least).orderBy(F.desc("count"), "word").limit(FREQUENT_WORDS).collect()
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 

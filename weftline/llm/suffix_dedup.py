@@ -47,6 +47,8 @@ BUCKET_BYTES = 32 << 20
 PIECE = 1 << 22
 #: Documents in the sample; share of them that makes a lead hot; leads kept for splitters.
 SAMPLE_DOCS, HOT_SHARE, SPLITTER_LEADS = 3000, 0.01, 20_000
+#: Leads that are treated as hot at most; those beyond go the other, as exact way.
+HOT_LEADS = 200_000
 _CODES = random_table(71, 256)
 _BASE = int(random_table(72, 1)[0])
 
@@ -501,7 +503,7 @@ def _sampled(texts: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np
 
     seen = sample.select("text").mapInArrow(leads, "lead long, text binary").groupBy("lead").agg(F.count("*").alias("c"), F.first("text").alias("text"))
     least = max(8, int(min(total, SAMPLE_DOCS) * HOT_SHARE))
-    top = seen.where(F.col("c") >= least).select("lead").collect()  # at most the sample's leads / least
+    top = seen.where(F.col("c") >= least).orderBy(F.desc("c"), "lead").limit(HOT_LEADS).select("lead").collect()
     hot = np.sort(np.array([r["lead"] for r in top], np.int64).view(np.uint64))
     texts_ = [r["text"] for r in seen.where(F.col("c") < least).orderBy(F.xxhash64("lead")).limit(SPLITTER_LEADS).select("text").collect()]
     ordered = np.sort(np.array(texts_, f"S{LEAD}")) if texts_ else np.zeros(0, f"S{LEAD}")
