@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_remainder, map_batches, text_bytes
+from weftline.llm.common import crc_remainder, map_batches, mix, random_table, text_bytes
 from weftline.llm.labelled import labelled_sample, sigmoid
 
 PER_LABEL, MAX_BYTES = {0: 2000, 1: 1200}, 32_768
@@ -157,9 +157,14 @@ class Kernel:
 def without_copies(texts: list[set[str]]) -> list[int]:
     """Indices of the texts that are no near copy of an earlier one, so copies of one text don't make its words frequent."""
     seen: set[tuple] = set()
-    out = []
+    out, salts = [], random_table(61, 12)
     for i, words in enumerate(texts):
-        keys = {(k, *(min((zlib.crc32(w.encode(errors="replace"), 3 * k + j) for w in words), default=-1 - i) for j in range(3))) for k in range(4)}
+        if words:
+            hashes = np.array([zlib.crc32(w.encode(errors="replace")) for w in words], np.uint64)
+            least = mix(hashes[:, None] * salts[None, :]).min(axis=0).tolist()
+            keys = {(k, *least[3 * k: 3 * k + 3]) for k in range(4)}
+        else:
+            keys = {(-1, i)}
         if not keys & seen:
             out.append(i)
         seen |= keys
@@ -245,7 +250,8 @@ def hinge_machine(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float
 
 def holding(parts: list[str], texts: list[set[str]]) -> np.ndarray:
     """How many texts have a word with each part."""
-    return np.array([sum(any(p in w for w in words) for words in texts) for p in parts], np.int64)
+    joined = ["\n".join(words) for words in texts]
+    return np.array([sum(p in t for t in joined) for p in parts], np.int64)
 
 
 def chance(toxic: int, texts: int, share: float) -> float:
@@ -305,7 +311,7 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     texts = [words_of(t) for t, _ in sample]
     single = without_copies(texts)
     sample, texts, labels = [sample[i] for i in single], [texts[i] for i in single], labels[single]
-    second = np.arange(len(sample)) % 2 == 1
+    second = np.array([zlib.crc32(t.encode(errors="replace")) >> 7 & 1 for t, _ in sample], bool)
 
     def of(label: int, which: np.ndarray) -> list[int]:
         return np.flatnonzero((labels == label) & which).tolist()
