@@ -303,7 +303,8 @@ class Engine:
                     raise WorkflowError(f"{s.id}: a planned query takes parameters of one row")
                 description = asked[0]["d"]
             found = retrieval.planned(self.spark, description, self.planner, list(spec.get("schema_scope") or self.scope))
-            grouped = found.withColumn("row_id", F.lit(0).cast("long")).withColumn("pos", F.expr(f"row_number() OVER (PARTITION BY row_id ORDER BY {', '.join(f'`{c}`' for c in found.columns)})").cast("long") - 1)
+            # numbered by a parallel sort; only a prompt over the whole table gathers it
+            grouped = rows.numbered(found, *found.columns).withColumnRenamed("row_id", "pos").withColumn("row_id", F.lit(0).cast("long"))
             spine = rows.literal(self.spark, [""])
             return Frame(retrieval.as_tables(spine, grouped), "table", 1, grouped)
         df, count = self._columns(params) if params else (rows.literal(self.spark, [""]).select("row_id"), 1)
