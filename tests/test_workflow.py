@@ -366,6 +366,17 @@ def test_query_against_duckdb(spark, name):
     assert sorted(plain(r) for r in found.select(*[F.col(f"`{n}`") for n in names]).collect()) == sorted(map(plain, twin.fetchall()))
 
 
+@pytest.mark.parametrize("name", ["http_fetch"])
+def test_pages_that_share_urls(spark, tmp_path, name):
+    page = [(0, "u", "a"), (1, "u", "b"), (2, "u", "b"), (3, "v", "c"), (4, "u/none", None), (5, "u", "d"), (6, None, "e"), (7, None, "f"), (8, "v", "")]
+    spark.createDataFrame(page, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    twin = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in twin.description]
+    assert sorted(map(str, (tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(names).collect()))) == sorted(map(str, twin.fetchall()))
+
+
 def test_entry_without_the_training_data_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     for p in ("__spark_entry__.py", "weftline"):

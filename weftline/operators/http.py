@@ -48,10 +48,13 @@ class HttpRequest:
 
 
 def fetch_from_pages(queries: DataFrame, request: HttpRequest, pages: DataFrame) -> DataFrame:
-    """Offline: the page whose url a row asks for; no page is status 404, with an error if the request fails open."""
+    """Offline: the page whose url a row asks for; no page is status 404, with an error if the request fails open. A page without a body is found.
+
+    A url names one page: a row that asks for a url of several pages gets a row from each.
+    """
     asked = queries.select("row_id", request.url_of(F.col("value"), queries.schema["value"].dataType).alias("url"))
-    found = asked.join(pages.select("url", F.col("html").alias("body")), "url", "left")
-    missing = F.col("body").isNull()
+    found = asked.join(pages.select("url", F.col("html").alias("body"), F.lit(True).alias("__found")), "url", "left")
+    missing = F.col("__found").isNull()
     error = F.when(missing, F.lit("not found") if request.fail_open else F.raise_error(F.concat(F.lit("not found: "), F.col("url"))))
     return found.select("row_id", F.when(missing, 404).otherwise(200).alias("status_code"), "body", error.alias("error"))
 
