@@ -366,7 +366,7 @@ def test_query_against_duckdb(spark, name):
     assert sorted(plain(r) for r in found.select(*[F.col(f"`{n}`") for n in names]).collect()) == sorted(map(plain, twin.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["http_fetch"])
+@pytest.mark.parametrize("name", ["http_fetch", "object_contents"])
 def test_pages_that_share_urls(spark, tmp_path, name):
     page = [(0, "u", "a"), (1, "u", "b"), (2, "u", "b"), (3, "v", "c"), (4, "u/none", None), (5, "u", "d"), (6, None, "e"), (7, None, "f"), (8, "v", "")]
     spark.createDataFrame(page, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

@@ -82,9 +82,10 @@ outputs: [{name: found, ref: found, path: items.table}]
 @query("""SELECT page_id AS row_id, CASE WHEN page_id % 3 <> 0 THEN html END AS content FROM pages""")
 def object_contents(spark, sf_dir):
     """Objects by key; a missing object is null."""
-    pages = table(spark, sf_dir, "pages")
-    store = pages.where("page_id % 3 <> 0").select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return retrieval.object_contents(pages.select(F.col("page_id").alias("row_id"), F.col("url").alias("value")), store)
+    # pages share urls, so an object is stored at its page's url and id
+    pages = table(spark, sf_dir, "pages").withColumn("path", F.concat_ws("#", "url", "page_id"))
+    store = pages.where("page_id % 3 <> 0").select("path", F.encode("html", "UTF-8").alias("content"))
+    return retrieval.object_contents(pages.select(F.col("page_id").alias("row_id"), F.col("path").alias("value")), store)
 
 
 @query("""SELECT r.i::BIGINT AS row_id, md5(html) AS value FROM (SELECT page_id - 1 AS i, url FROM pages WHERE page_id BETWEEN 1 AND 3) r JOIN pages USING (url)""")
