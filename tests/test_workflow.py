@@ -9,6 +9,7 @@ from pathlib import Path
 from threading import Thread
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,7 +19,7 @@ from weftline import queries, workflow_queries
 from weftline.functions import paths, text
 from weftline.functions.backends import CallableBackend
 from weftline.jobs import policies
-from weftline.operators import http, lambdas, model, reshape, retrieval, rows
+from weftline.operators import grid, http, lambdas, model, reshape, retrieval, rows
 from weftline.operators.router import Router, RouteRule
 
 from weftline.plans.dynamic import Library, parse_decision, posted_planner, run_rounds
@@ -377,6 +378,21 @@ def test_pages_that_share_urls(spark, tmp_path, name):
     assert sorted(map(str, (tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).select(names).collect()))) == sorted(map(str, twin.fetchall()))
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_nearest_vectors(spark, tmp_path, monkeypatch, many):
+    """Copies, scaled copies, zeros, null vectors and one common vector, in one cell and in many; as DuckDB ranks them."""
+    if many:
+        monkeypatch.setattr(grid, "MOST", 500)
+    rng = np.random.default_rng(3)
+    some = rng.normal(size=(40, 5)).round(2)
+    vectors = [some[rng.integers(40)].tolist() for _ in range(150)] + [(2 * some[i]).tolist() for i in range(40)] + [some[0].tolist()] * 30 + [[0.0] * 5, None]
+    spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = queries.QUERIES["embedding_topk_cosine"](spark, str(tmp_path))
+    assert sorted(map(str, (tuple(r) for r in found.select("qid", "vec_id", "score").collect()))) == sorted(map(str, con.execute(queries.ORACLES["embedding_topk_cosine"]).fetchall()))
+
+
 def test_entry_without_the_training_data_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     for p in ("__spark_entry__.py", "weftline"):

@@ -160,13 +160,3 @@ DIGEST = DigestBackend()
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two equally long arrays; null if either is all zero."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
