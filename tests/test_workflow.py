@@ -393,6 +393,16 @@ def test_nearest_vectors(spark, tmp_path, monkeypatch, many):
     assert sorted(map(str, (tuple(r) for r in found.select("qid", "vec_id", "score").collect()))) == sorted(map(str, con.execute(queries.ORACLES["embedding_topk_cosine"]).fetchall()))
 
 
+def test_affinity_to_all(spark, monkeypatch):
+    """The same distances as of single pairs, in many cells; empty, null and repeated values."""
+    monkeypatch.setattr(policies, "AFFINITY_PAIRS", 40)
+    items = [(i, [["m"], ["m", "n"], [], [None]][i % 4], [["x"], ["y", "x"], ["y", "z", "y"], [], None][i % 5], [None, 0.0, 3.0, 5.0][i % 4 if i % 7 else 0]) for i in range(60)]
+    queue = spark.createDataFrame(items, "item_id long, models array<string>, words array<string>, size double")
+    pairs = queue.where("item_id % 10 = 0").select(F.col("item_id").alias("a")).crossJoin(queue.select(F.col("item_id").alias("b"))).where("a <> b")
+    plain, found = ({(r["a"], r["b"]): r["distance"] for r in df.collect()} for df in (policies.affinity(queue, pairs), policies.affinity_to_all(queue, "item_id % 10 = 0")))
+    assert len(found) == 6 * 59 and found == plain
+
+
 def test_entry_without_the_training_data_operators(tmp_path):
     root = Path(__file__).resolve().parent.parent
     for p in ("__spark_entry__.py", "weftline"):
