@@ -1,5 +1,6 @@
 """Each operator against a plain version: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import time
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm import bpe_codec, decontaminate, license_scan, lm_score, near_dedup, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
-from weftline.llm.common import Scratch
+from weftline.llm.common import Scratch, scratch_below
 from weftline.llm.components import connected_components
 from weftline.llm.queries import BYTE_BPE, WORD_BPE, tokenizer_path
 
@@ -577,3 +578,23 @@ def test_pipeline_on_empty_tables(spark, tmp_path, what):
     write_tables(spark, tmp_path, [] if what == "documents" else corpus(), [] if what == "benchmark" else [(1, "x y z")])
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert (out.count() == 0) == (what == "documents")
+
+
+def test_scratch_frees_shuffles(spark, tmp_path):
+    """A step's shuffle files are gone soon after the next table is written."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        found = manager.getAllFiles()
+        return {str(found.apply(i).getName()) for i in range(found.size())}
+
+    before = files()
+    with scratch_below(str(tmp_path)):
+        scratch = Scratch(spark)
+        scratch.keep(spark.range(1000).repartition(7))
+        scratch.keep(spark.range(1))
+    for _ in range(50):
+        if not any(x.startswith("shuffle") for x in files() - before):
+            return
+        time.sleep(0.1)
+    raise AssertionError(sorted(files() - before))

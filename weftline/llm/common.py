@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -118,6 +119,12 @@ def scratch_below(folder: str) -> Iterator[None]:
         _below.pop()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that have ended: it does so only once the driver collects garbage, which large tables don't bring about."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder, so no lineage is kept; those that nothing reads any more are removed."""
 
@@ -132,6 +139,8 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.kept.append((out, path))
+        del df
+        free_shuffles(self.spark)
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -282,15 +282,17 @@ def _prefixes(sets: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFr
 
 
 def _further_links(inside: DataFrame, bodies: DataFrame, scratch: Scratch) -> DataFrame:
-    """(la, lb): links between components of the members (rep, n, label) of mixed buckets."""
+    """(la, lb): links between components of the members (rep, n, label) of mixed buckets. ``bodies`` is removed once their sets are taken from it."""
     sets = scratch.keep(inside.join(bodies, "rep"))
+    scratch.drop(bodies)
     spots = scratch.keep(_prefixes(sets, *_frequent(sets)))
     least = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep"))["rep"].alias("cluster")
     mixed = spots.groupBy("shingle").agg(least, F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("shingle", "cluster")
     clusters = scratch.keep(split_join(spots, mixed, ["shingle"]).select("cluster", "rep", "n", "label").distinct())
+    scratch.drop(spots)
     # written first, so no task runs the comparison and the union-find side by side
-    out = scratch.keep(_compare_in_blocks(clusters, bodies))
-    scratch.drop(sets, spots, clusters)
+    out = scratch.keep(_compare_in_blocks(clusters, sets.select("rep", "body")))
+    scratch.drop(sets, clusters)
     return out
 
 
@@ -314,7 +316,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("bucket")
     inside = split_join(labelled, mixed, ["bucket"], "left_semi").select("rep", "n", "label").distinct()
     wider = connected_components(_further_links(inside, bodies, scratch), scratch)
-    scratch.drop(members, labelled, bodies)
+    scratch.drop(members, labelled)
 
     of = classes.select("f1", "f2", "n", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
     of = split_join(of.drop("component"), wider.withColumnRenamed("node", "label"), ["label"], "left").select("f1", "f2", "n", F.coalesce("component", "label").alias("found"))
