@@ -598,3 +598,27 @@ def test_scratch_frees_shuffles(spark, tmp_path):
             return
         time.sleep(0.1)
     raise AssertionError(sorted(files() - before))
+
+
+def test_near_dedup_shuffles_what_it_needs(spark, monkeypatch):
+    """Blocks of a large mixed group are copied in waves, texts that no bucket holds are not shuffled; the result stays."""
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    texts = [(i, " ".join(f"n{i}x{k}" if rnd.random() < 0.05 else w for k, w in enumerate(base))) for i in range(120)]
+    docs = spark.createDataFrame(texts + [(i, " ".join(rnd.choices("abcdefgh", k=3) + [f"z{i}"])) for i in range(1000, 1400)], "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+
+    def run():
+        seen, made = [], near_dedup.split_join
+        with monkeypatch.context() as patch:
+            patch.setattr(near_dedup, "split_join", lambda left, right, on, how="inner": seen.append(made(left, right, on, how)) or seen[-1])
+            found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, shingle_words=4).collect()}
+        return found, sum("t" in df.columns and "body" in df.columns for df in seen)
+
+    whole, once = run()
+    monkeypatch.setattr(near_dedup, "WAVE_BYTES", 1)
+    parted, waves = run()
+    assert once == 1 < waves and parted == whole == components(docs.collect(), 4)[1]
+    ids = spark.range(0, 5000, 50).toDF("rep")
+    kept = {r["rep"] for r in near_dedup._perhaps_among(spark.range(5000).union(spark.sql("SELECT CAST(NULL AS long)")).toDF("rep"), ids, "rep").collect()}
+    assert kept >= set(range(0, 5000, 50)) and len(kept) < 110

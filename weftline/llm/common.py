@@ -143,6 +143,18 @@ class Scratch:
         free_shuffles(self.spark)
         return out
 
+    def keep_in_turn(self, frames: Iterator[DataFrame]) -> DataFrame:
+        """The rows of one or more frames of one schema as one table. A frame is made when the one before is written and its shuffle files can go."""
+        path = f"{self.folder}/{len(self.kept)}"
+        for df in frames:
+            df.write.mode("append").parquet(path)
+            schema = df.schema
+            del df
+            free_shuffles(self.spark)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.kept.append((out, path))
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables of ``keep`` that no later step reads."""
         for path in (p for df, p in self.kept if any(df is t for t in tables)):

@@ -24,6 +24,7 @@ and they are kept. Ties do not arise, as the least id wins. Further columns are
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +41,10 @@ BANDS, ROWS = 28, 5
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 4096
 #: For the order of shingles only: sampled documents, the longest of them in shingles, the documents that make a shingle frequent, and frequent shingles that are known at most.
 SAMPLE_DOCS, SAMPLE_SIZE, FREQUENT, KNOWN = 2000, 5000, 8, 100_000
+#: Bytes of sets that block comparisons copy at once: about so many, or this multiple of the sets' own bytes. The rest is copied once those copies are gone.
+WAVE_BYTES, WAVE_SHARE = 256 << 20, 3
+#: 64-bit words of the map by which most texts that no bucket holds are told.
+MAP_WORDS = 1 << 19
 #: Shingles whose signatures are made at once.
 CHUNK = 60_000
 _EMPTY = np.uint64(2**64 - 1)
@@ -144,6 +149,13 @@ def _alike(small, large) -> F.Column:
     return 100 * F.least(small, large) >= 80 * F.greatest(small, large)
 
 
+def _perhaps_among(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose key ``known`` holds and few others, by a broadcast bitmap of hashes: what no join needs is not shuffled. The map's size is bounded, so with very many keys more rows stay."""
+    word, bit = F.expr(f"pmod(shiftright(xxhash64({key}), 6), {MAP_WORDS})").alias("__word"), F.expr(f"shiftleft(1L, int(pmod(xxhash64({key}), 64)))")
+    bits = known.groupBy(word).agg(F.bit_or(bit).alias("__bits"))
+    return rows.withColumn("__word", word).join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(bit) != 0).drop("__word", "__bits")
+
+
 def _sets_of(reps: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(rep, body): the sorted shingle hashes of the documents that ``reps`` names, one for each text where rows share an id."""
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).cast("string").alias("t"))
@@ -156,7 +168,7 @@ def _sets_of(reps: DataFrame, docs: DataFrame, key: str, text: str, size: int) -
 
         return each
 
-    return map_batches(reps.join(texts, "rep"), "rep long, body binary", make)
+    return map_batches(reps.join(_perhaps_among(texts, reps, "rep"), "rep"), "rep long, body binary", make)
 
 
 def _share(s: np.ndarray, t: np.ndarray) -> bool:
@@ -215,18 +227,22 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"la": pa.array([x for x, _ in links], pa.int64()), "lb": pa.array([r for _, r in links], pa.int64())})
 
 
-def _compare_in_blocks(clusters: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Links (la, lb) between components whose members (cluster, rep, n, label) are in one cluster.
+def _compare_in_blocks(clusters: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (la, lb) between components whose members (cluster, rep, n, label) are in one cluster. ``sets``: (rep, n, body).
 
     A cluster's largest component and the rest are cut into blocks of bounded size; each block of the rest
     meets each other block in a task of its own, so no task grows with the cluster and no pair is emitted.
-    A cluster that fits a block is one: all its members count as the rest.
+    A cluster that fits a block is one: all its members count as the rest. A block is copied to each of its
+    tasks, in a large cluster many times; so tasks are dealt to waves by their hash, and a wave's copies go
+    before the next wave's are made.
     """
     counts = clusters.groupBy("cluster", "label").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
     top = counts.groupBy("cluster").agg(F.max(F.struct("c", "label", "size")).alias("top"), F.sum("c").alias("c"), F.sum("size").alias("size")).where("c > top.c")
     mains, minors = (F.ceil(F.greatest(c / BLOCK, 8 * n / BLOCK_BYTES)).cast("int") for c, n in ((F.col("top.c"), F.col("top.size")), (F.col("c") - F.col("top.c"), F.col("size") - F.col("top.size"))))
     one = (F.col("c") <= BLOCK) & (8 * F.col("size") <= BLOCK_BYTES)
-    top = top.select("cluster", F.when(~one, F.col("top.label")).alias("main"), F.when(one, 0).otherwise(mains).alias("mains"), F.when(one, 1).otherwise(minors).alias("minors"))
+    top = top.select("cluster", F.when(~one, F.col("top.label")).alias("main"), F.when(one, 0).otherwise(mains).alias("mains"), F.when(one, 1).otherwise(minors).alias("minors"), F.when(one, F.col("size")).otherwise(F.col("top.size") * minors + (F.col("size") - F.col("top.size")) * (minors + mains)).alias("copies"))
+    copies = 8 * (top.agg(F.sum(F.col("copies").cast("double"))).first()[0] or 0)
+    top = top.drop("copies")
     dealt = split_join(clusters, top, ["cluster"]).withColumn("is_main", F.col("label").eqNullSafe(F.col("main")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("minors"))).cast("int"))
 
@@ -241,8 +257,16 @@ def _compare_in_blocks(clusters: DataFrame, bodies: DataFrame) -> DataFrame:
         F.transform(of_mains, lambda m: task(F.col("own"), m, True, F.lit(-1))),
     )
     spread = dealt.select("cluster", "rep", "label", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_rest)).alias("t"))
-    full = split_join(spread, bodies, ["rep"]).select("cluster", "t.i", "t.j", "t.main", "t.side", "label", "body")
-    return full.groupBy("cluster", "i", "j", "main").applyInArrow(released(_block_links), "la long, lb long")
+    own = 8 * (sets.agg(F.sum("n")).first()[0] or 0)
+    waves = max(1, math.ceil(copies / max(WAVE_BYTES, WAVE_SHARE * own)))
+
+    def wave(k: int) -> DataFrame:
+        some = spread.where(F.pmod(F.xxhash64("cluster", "t.i", "t.j", "t.main"), F.lit(waves)) == k)
+        full = split_join(some, sets.select("rep", "body"), ["rep"]).select("cluster", "t.i", "t.j", "t.main", "t.side", "label", "body")
+        return full.groupBy("cluster", "i", "j", "main").applyInArrow(released(_block_links), "la long, lb long")
+
+    # written here, so no task runs the comparison and the union-find side by side
+    return scratch.keep_in_turn(wave(k) for k in range(waves))
 
 
 def prefix(body: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -290,8 +314,7 @@ def _further_links(inside: DataFrame, bodies: DataFrame, scratch: Scratch) -> Da
     mixed = spots.groupBy("shingle").agg(least, F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("shingle", "cluster")
     clusters = scratch.keep(split_join(spots, mixed, ["shingle"]).select("cluster", "rep", "n", "label").distinct())
     scratch.drop(spots)
-    # written first, so no task runs the comparison and the union-find side by side
-    out = scratch.keep(_compare_in_blocks(clusters, sets.select("rep", "body")))
+    out = _compare_in_blocks(clusters, sets, scratch)
     scratch.drop(sets, clusters)
     return out
 
