@@ -413,3 +413,21 @@ def test_entry_without_the_training_data_operators(tmp_path):
     shutil.copytree(root / "weftline", tmp_path / "weftline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'digest_workflow' in q and not any(k.startswith('op') and k[2].isdigit() for k in q), list(q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/tmp"})
+
+
+def test_affinity_to_all_shuffles_few_copies(spark, monkeypatch):
+    """The number of pairs that are held at once does not raise the number of copies that are shuffled."""
+    from weftline.operators import grid
+
+    made, dealt = [], grid._dealt
+    monkeypatch.setattr(grid, "_dealt", lambda *a: made.append(dealt(*a)) or made[-1])
+    queue = spark.range(600).selectExpr("id AS item_id", "array(concat('m', id % 3)) AS models", "array('w', concat('x', id % 7)) AS words", "double(id % 11) AS size")
+    found = []
+    for most in (1 << 20, 9):
+        monkeypatch.setattr(policies, "AFFINITY_PAIRS", most)
+        found.append(sorted(tuple(r) for r in policies.affinity_to_all(queue, "item_id % 50 = 0").collect()))
+    assert len(found[0]) == 12 * 599 and found[0] == found[1]
+    assert [df.count() for df in made] == [612, 612]
+    monkeypatch.setattr(grid, "HELD", 5)  # queries in more than one part
+    monkeypatch.setattr(grid, "WORTH", 500)
+    assert sorted(tuple(r) for r in policies.affinity_to_all(queue, "item_id % 50 = 0").collect()) == found[0]
